@@ -30,12 +30,18 @@ from pyspark.sql.window import Window
 from panelforge.llm.common import shared_folder, table, whole, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocation a partition takes the room of what it holds and not megabytes of log.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hit digests are broadcast up to so many; beyond that the byte check joins by shuffle.
 BROADCAST_DIGESTS = 100_000
 
 
 @contextmanager
-def _conf(spark: SparkSession, **values: str):
+def _conf(spark: SparkSession, values: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -57,8 +63,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def stream_state(spark: SparkSession, feed_path: str, schema: T.StructType, state_path: str) -> DataFrame:
     """Runs all new files of ``feed_path`` through the keyed state; returns it: digest, keep_id, locator, n."""
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    with _conf(spark, **settings):
+    with _conf(spark, SETTINGS):
         (
             spark.readStream.schema(schema).parquet(feed_path)
             .groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("last"), F.count(F.lit(1)).alias("n"))
