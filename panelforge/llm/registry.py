@@ -1,7 +1,7 @@
 """Queries of this folder and their SQL."""
 
-from panelforge.llm import exact_dedup, html_extract, language_id, secret_scan, toxicity, url_filter
+from panelforge.llm import exact_dedup, html_extract, language_id, near_dedup, packing, secret_scan, token_store, toxicity, url_filter
 
-MODULES = (language_id, html_extract, exact_dedup, url_filter, secret_scan, toxicity)
+MODULES = (language_id, packing, html_extract, exact_dedup, url_filter, secret_scan, toxicity, token_store, near_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
