@@ -273,6 +273,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group the document with the smallest id."""
+    gone = near_groups(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def _allowed(most: int):
     def run(batches):
         for batch in batches:
