@@ -63,6 +63,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         at = end
 
 
+def solid(texts: pa.Array) -> pa.Array:
+    """A copy as large strings, null as the empty text, that starts at the beginning of its buffers: some Arrow kernels
+    misread a slice that was cast."""
+    return pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+
+
 class Words:
     """Words of many texts: ``codes`` into ``vocab`` for all words in order, and ``bounds`` of each text (len + 1)."""
 
@@ -86,7 +92,7 @@ def _coded(parts) -> Words:
 
 def words(texts: pa.Array, lower: bool = True) -> Words:
     """Runs of characters other than ASCII white space; ``lower`` folds A-Z only. Null is the empty text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = solid(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)

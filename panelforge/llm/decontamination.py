@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, table, whole, words
+from panelforge.llm.common import slices, solid, table, whole, words
 
 SHINGLE, OVERLAP, K1, B = 5, 0.8, 1.2, 0.75
 BLOCK_ITEMS, ITEMS_PER_INDEX = 16, 20_000
@@ -186,7 +186,7 @@ class Index:
 
 def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(word numbers, their texts, vocabulary) of many texts, as ``plain_words`` has them."""
-    w = words(pc.utf8_lower(pc.fill_null(texts, "")), lower=False)
+    w = words(pc.utf8_lower(solid(texts)), lower=False)
     vocab = [bare(v) for v in w.vocab]
     real = np.array([bool(v) for v in vocab], bool)
     keep = real[w.codes] if len(w.codes) else np.zeros(0, bool)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from panelforge.llm.common import _coded
+from panelforge.llm.common import _coded, solid
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A space that does not open a part: at the end or before white space (a wide reading of the latter).
@@ -97,7 +97,7 @@ class Encoder:
         """The ids of every text; null is the empty text."""
         if not len(texts):
             return []
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = solid(texts)
         before = self.n, self.used
         odd = pc.match_substring_regex(texts, ODD_SPACE)
         split = _coded(pc.split_pattern(pc.if_else(odd, "", texts), " "))
