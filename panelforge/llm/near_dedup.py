@@ -159,41 +159,83 @@ def _confirmed(percent: int):
     return run
 
 
-def _sketches(block: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(block), -1)
+def _matrix(block: pd.DataFrame, column: str) -> np.ndarray:
+    if column == "sketch":
+        return np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(block), -1)
+    return np.array([np.asarray(x) for x in block[column]], np.int64).reshape(len(block), -1)
 
 
-def _possible(probes: pd.DataFrame, others: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probe, other, differing bits) of the pairs of different components that sizes and sketches allow."""
+def _possible(probes: pd.DataFrame, others: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which (probe, other) pairs to confirm here: of different components, allowed by sizes and sketches, and with no
+    earlier band in common, as that band's bucket sees the pair too."""
     most = most_differing(percent / 100)
-    p, o = _sketches(probes), _sketches(others)
-    pn, on = probes["n"].to_numpy(), others["n"].to_numpy()
-    out = []
+    pn, on = probes["n"].to_numpy()[:, None], others["n"].to_numpy()[None]
+    fits = (probes["component"].to_numpy()[:, None] != others["component"].to_numpy()[None]) & (100 * np.minimum(pn, on) >= percent * np.maximum(pn, on))
+    if not fits.any():
+        return fits
+    p, o = _matrix(probes, "bands"), _matrix(others, "bands")
+    for band in range(int(np.flatnonzero(p[0] == probes["key"].iloc[0])[0])):
+        fits &= p[:, band, None] != o[None, :, band]
+    p, o = _matrix(probes, "sketch"), _matrix(others, "sketch")
     for at in range(0, len(p), 64):
-        bits = np.bitwise_count(p[at : at + 64, None] ^ o[None]).sum(axis=2, dtype=np.int64)
-        fits = (bits <= most) & (probes["component"].to_numpy()[at : at + 64, None] != others["component"].to_numpy()[None])
-        fits &= 100 * np.minimum(pn[at : at + 64, None], on[None]) >= percent * np.maximum(pn[at : at + 64, None], on[None])
-        i, j = np.nonzero(fits)
-        out.append((i + at, j, bits[i, j]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+        rows = slice(at, at + 64)
+        if fits[rows].any():
+            fits[rows] &= np.bitwise_count(p[rows, None] ^ o[None]).sum(axis=2, dtype=np.int64) <= most
+    return fits
+
 
+BLOCK = "key bigint, i int, j int, rep bigint, component bigint, n bigint, bands array<bigint>, sketch binary, probe boolean"
 
-BLOCK = "key bigint, i int, j int, rep bigint, component bigint, n bigint, sketch binary, probe boolean"
+
+def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return block[block["probe"]].reset_index(drop=True), block[~block["probe"]].reset_index(drop=True)
 
 
 def _screened(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        probes, others = block[block["probe"]].reset_index(drop=True), block[~block["probe"]].reset_index(drop=True)
-        i, j, _ = _possible(probes, others, percent)
-        return pd.concat([probes.iloc[np.unique(i)], others.iloc[np.unique(j)]])[list(block.columns)]
+        probes, others = _sides(block)
+        if not len(probes) or not len(others):
+            return block.iloc[:0]
+        fits = _possible(probes, others, percent)
+        return pd.concat([probes[fits.any(axis=1)], others[fits.any(axis=0)]])[list(block.columns)]
 
     return run
 
 
+#: Cells of a block's membership matrix up to which all its intersections are one product; beyond, pair by pair.
+MATRIX_CELLS = 40_000_000
+
+
+def _links(probes: list[np.ndarray], others: list[np.ndarray], fits: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs of ``fits`` that are similar enough on the full sets."""
+    sets = [*probes, *others]
+    sizes = np.array([len(x) for x in sets])
+    vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(sets) * len(vocab) <= MATRIX_CELLS:
+        held = np.zeros((len(sets), len(vocab)), np.float32)
+        held[np.repeat(np.arange(len(sets)), sizes), at] = 1
+        shared = np.rint(held[: len(probes)] @ held[len(probes) :].T).astype(np.int64)
+        union = sizes[: len(probes), None] + sizes[None, len(probes) :] - shared
+        return fits & (100 * shared >= percent * union)
+    out = np.zeros_like(fits)
+    for i, j in zip(*np.nonzero(fits), strict=True):
+        out[i, j] = _linked(probes[i], others[j], percent)
+    return out
+
+
 def _forest(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        probes, others = block[block["probe"]].reset_index(drop=True), block[~block["probe"]].reset_index(drop=True)
-        i, j, bits = _possible(probes, others, percent)
+        probes, others = _sides(block)
+        empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(probes) or not len(others):
+            return empty
+        own = [[np.frombuffer(x, np.uint64) for x in side["own"]] for side in (probes, others)]
+        i, j = np.nonzero(_links(*own, _possible(probes, others, percent), percent))
+        if not len(i):
+            return empty
+        # One link for each pair of components, then a spanning forest of those.
+        a, b = probes["component"].to_numpy()[i], others["component"].to_numpy()[j]
+        ends, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -203,20 +245,25 @@ def _forest(percent: int):
             return x
 
         edges = []
-        for t in np.argsort(bits, kind="stable"):
-            a, b = probes.iloc[i[t]], others.iloc[j[t]]
-            if (x := find(int(a["component"]))) != (y := find(int(b["component"]))) and _linked(a["own"], b["own"], percent):
+        for (x, y), t in zip(ends.T.tolist(), first, strict=True):
+            if (x := find(x)) != (y := find(y)):
                 root[max(x, y)] = min(x, y)
-                edges.append((int(a["rep"]), int(b["rep"])))
+                edges.append((probes["rep"].iloc[i[t]], others["rep"].iloc[j[t]]))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+#: Ids up to so many are broadcast to pick their texts where they lie; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def _set_table(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, own): the sets of the documents ``ids`` (rep)."""
-    rows = texts.join(ids.distinct(), texts["doc_id"] == F.col("rep"), "inner").select("rep", "text")
-    return written(rows.mapInArrow(_sets(k), "rep bigint, own binary").dropDuplicates(["rep"]))
+    """(rep, own): the sets of the documents ``ids`` (rep). A repeated row gives its set again, which adds no link."""
+    ids = written(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    rows = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["rep"]).select("rep", "text")
+    return written(rows.mapInArrow(_sets(k), "rep bigint, own binary"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,12 +300,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     placed = written(placed.withColumn("probe", F.col("component") != F.col("main")))
     sizes = placed.groupBy("key").agg(F.sum(F.col("probe").cast("long")).alias("probes"), F.count(F.lit(1)).alias("all")).filter("probes > 0")
     # How often a member is in a block: a probe in each chunk of the others and the reverse.
-    dealt = placed.filter("rep <> centre").join(sizes, "key").join(reps.select("rep", "n", "sketch"), "rep")
+    dealt = placed.filter("rep <> centre").join(sizes, "key").join(reps.select("rep", "n", "bands", "sketch"), "rep")
     of = lambda total: F.ceil(F.col(total) / CHUNK).cast("int")
     own = lambda total: F.pmod(F.xxhash64("rep"), of(total)).cast("int")
     span = lambda total: F.explode(F.sequence(F.lit(0), of(total) - 1))
-    as_probe = dealt.filter("probe").select("key", own("probes").alias("i"), span("all").alias("j"), "rep", "component", "n", "sketch", F.lit(True).alias("probe"))
-    as_other = dealt.select("key", span("probes").alias("i"), own("all").alias("j"), "rep", "component", "n", "sketch", F.lit(False).alias("probe"))
+    as_probe = dealt.filter("probe").select("key", own("probes").alias("i"), span("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(True).alias("probe"))
+    as_other = dealt.select("key", span("probes").alias("i"), own("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(False).alias("probe"))
     blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")])
     screened = written(blocks.groupBy("key", "i", "j").applyInPandas(_screened(percent), BLOCK))
     if not screened.isEmpty():
