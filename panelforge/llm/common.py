@@ -48,6 +48,8 @@ def held_out(c: str = "doc_id") -> Column:
 
 #: Texts of one batch are worked on in slices of about so many bytes, however many rows Arrow delivers.
 SLICE_BYTES = 8 << 20
+#: The same where the work on a text takes several times its room, as token ids do.
+SMALL_SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, table, words
+from panelforge.llm.common import SMALL_SLICE_BYTES, slices, table, words
 from panelforge.llm.tokens import encoder
 
 LENGTH, DIMENSIONS, DEPTH, BUCKETS, TIE_BITS = 1024, 4, 11, 1 << 14, 18
@@ -121,7 +121,7 @@ def _packed(length: int, path: str | None):
     def run(batches):
         enc, at, base = encoder(path), 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text")), strict=True):
                     raw = np.append(ids, np.uint32(0)).astype("<u4")

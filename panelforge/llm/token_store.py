@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import shared_folder, slices, table
+from panelforge.llm.common import SMALL_SLICE_BYTES, shared_folder, slices, table
 from panelforge.llm.tokens import encoder
 
 MAGIC, BLOCK, SHARD_IDS, NULL_ID, END = b"PFB1", 1024, 1 << 18, -(1 << 63), 0
@@ -132,7 +132,7 @@ def _shards(path: str | None):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack_shard(doc_ids, documents)], pa.binary())})
 
         for batch in batches:
-            for cut in slices(batch, "text"):
+            for cut in slices(batch, "text", SMALL_SLICE_BYTES):
                 for doc_id, ids in zip(cut.column("doc_id").to_pylist(), enc.encode(cut.column("text")), strict=True):
                     doc_ids.append(NULL_ID if doc_id is None else doc_id)
                     documents.append(np.append(ids, np.uint32(END)))
