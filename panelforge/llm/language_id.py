@@ -223,7 +223,7 @@ def _chunk_tokens(chunk: str) -> list[str]:
 
 
 #: Scores of chunks seen before, by worker; emptied when it holds so many.
-KNOWN_CHUNKS = 1_000_000
+KNOWN_CHUNKS = 600_000
 
 
 def chunk_scores(model: LanguageModel, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
