@@ -158,7 +158,16 @@ def _pairs(agg):
     return op
 
 
-corr_ts, cov_ts = _pairs(F.corr), _pairs(F.covar_samp)
+cov_ts = _pairs(F.covar_samp)
+
+
+def corr_ts(x, y, w, keys: Keys = KEYS):
+    """Built from its parts: the built-in correlation fails on a flat frame under ANSI rules."""
+    frame = keys.rows(w)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)
+    return F.when(F.count(a).over(frame) == w, F.try_divide(F.covar_pop(a, b).over(frame), nonzero(spread)))
 
 
 def beta_ts(y, x, w, keys: Keys = KEYS):

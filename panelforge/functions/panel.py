@@ -49,6 +49,11 @@ def nonzero(x: Column) -> Column:
     return F.when(x != 0, x)
 
 
+def correlation(a: str, b: str) -> Column:
+    """The correlation of two complete columns as an aggregate; null where either is flat."""
+    return F.try_divide(F.covar_pop(a, b), nonzero(F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def truth(mask: Column) -> Column:
     """A mask as boolean; a missing mask counts as true."""
     return F.coalesce(mask.cast("double"), F.lit(1.0)) != 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.factor import clip, cs_rank
-from panelforge.functions.panel import KEYS, Keys, finite, nonzero
+from panelforge.functions.panel import KEYS, Keys, correlation, nonzero
 
 PERIODS = 3276
 Z95 = 1.959963984540054
@@ -18,8 +18,8 @@ Z95 = 1.959963984540054
 def information_coefficients(df: DataFrame, f: str = "f", r: str = "r", keys: Keys = KEYS) -> DataFrame:
     """(time, ic, n): the correlation of factor and return over the names of each time; null for two pairs or fewer."""
     both = F.col(f).isNotNull() & F.col(r).isNotNull()
-    g = df.filter(both).groupBy(keys.time).agg(F.corr(f, r).alias("c"), F.count(F.lit(1)).alias("n"))
-    return g.select(keys.time, F.when(F.col("n") > 2, finite(F.col("c"))).alias("ic"), "n")
+    g = df.filter(both).groupBy(keys.time).agg(correlation(f, r).alias("c"), F.count(F.lit(1)).alias("n"))
+    return g.select(keys.time, F.when(F.col("n") > 2, F.col("c")).alias("ic"), "n")
 
 
 def rank_information_coefficients(df: DataFrame, f: str = "f", r: str = "r", keys: Keys = KEYS) -> DataFrame:
@@ -95,8 +95,8 @@ def cross_lag_rank_ic(df: DataFrame, f: str, r: str, lags: list[int], least: int
         return counts.select("lag", column, (F.sum("c").over(w) - (F.col("c") - 1) / 2).alias(f"rank_{column}"))
 
     ranked = rows.join(average_rank("f"), ["lag", "f"]).join(average_rank("r"), ["lag", "r"])
-    g = ranked.groupBy("lag").agg(F.corr("rank_f", "rank_r").alias("c"), F.count(F.lit(1)).alias("n"))
-    return g.select("lag", F.when(F.col("n") >= least, finite(F.col("c"))).otherwise(0.0).alias("ic"), "n")
+    g = ranked.groupBy("lag").agg(correlation("rank_f", "rank_r").alias("c"), F.count(F.lit(1)).alias("n"))
+    return g.select("lag", F.when(F.col("n") >= least, F.col("c")).otherwise(0.0).alias("ic"), "n")
 
 
 def coverage_start(df: DataFrame, f: str, share: float = 0.5, keys: Keys = KEYS) -> DataFrame:

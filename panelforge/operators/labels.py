@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.functions.panel import finite, nonzero
+from panelforge.functions.panel import correlation, nonzero
 
 
 def three_classes(r: Column, low: float = -0.01, high: float = 0.01) -> Column:
@@ -110,7 +110,7 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     y, e = F.col(truth), F.col(prediction) - F.col(truth)
     g = df.filter(y.isNotNull() & F.col(prediction).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(truth).alias("__v"),
-        finite(F.corr(truth, prediction)).alias("correlation"), F.avg((F.signum(y) == F.signum(F.col(prediction))).cast("double")).alias("sign_accuracy"),
+        correlation(truth, prediction).alias("correlation"), F.avg((F.signum(y) == F.signum(F.col(prediction))).cast("double")).alias("sign_accuracy"),
     )
     return g.withColumn("rmse", F.sqrt("mse")).withColumn("r2", 1 - F.try_divide(F.col("mse"), nonzero(F.col("__v")))).drop("__v")
 

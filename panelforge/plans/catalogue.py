@@ -220,8 +220,8 @@ def pnl_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same at a hundredth of the exposure: the synthetic prices jump too much to compound."""
-    return pnl_series(spark, sf_dir).withColumn("pnl", F.col("pnl") / 100)
+    """The same at a ten-thousandth of the exposure: the synthetic prices jump too much to compound."""
+    return pnl_series(spark, sf_dir).withColumn("pnl", F.col("pnl") / 10000)
 
 
 @query("factor_momentum", PANEL_SQL + "SELECT CAST(ts AS VARCHAR) AS ts, round(ic + 1e-8, 6) + 0.0 AS ic, n FROM ic")
@@ -255,12 +255,12 @@ def sharpe_ci(spark, sf_dir):
     return E.sharpe(pnl_series(spark, sf_dir), "pnl").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "sharpe", "low", "high")])
 
 
-@query("drawdown", PNL_SQL + ", c AS (SELECT ts, list_reduce(list(1 + coalesce(pnl / 100, 0)) OVER (ORDER BY ts), lambda a, b: a * b) AS equity FROM pnl), p AS (SELECT *, max(equity) OVER (ORDER BY ts) AS peak FROM c) SELECT CAST(ts AS VARCHAR) AS ts, round(equity, 6) AS equity, round(peak, 6) AS peak, round(equity / peak - 1 + 1e-8, 6) + 0.0 AS drawdown FROM p")
+@query("drawdown", PNL_SQL + ", c AS (SELECT ts, list_reduce(list(1 + coalesce(pnl / 10000, 0)) OVER (ORDER BY ts), lambda a, b: a * b) AS equity FROM pnl), p AS (SELECT *, max(equity) OVER (ORDER BY ts) AS peak FROM c) SELECT CAST(ts AS VARCHAR) AS ts, round(equity, 6) AS equity, round(peak, 6) AS peak, round(equity / peak - 1 + 1e-8, 6) + 0.0 AS drawdown FROM p")
 def drawdown(spark, sf_dir):
     return E.equity(small_pnl(spark, sf_dir), "pnl", "ts").select(F.expr(DAY), F.round("equity", 6).alias("equity"), F.round("peak", 6).alias("peak"), r6("drawdown").alias("drawdown"))
 
 
-@query("performance", PNL_SQL + ", s2 AS (SELECT ts, pnl / 100 AS pnl FROM pnl WHERE pnl IS NOT NULL), c AS (SELECT ts, pnl, list_reduce(list(1 + pnl) OVER (ORDER BY ts), lambda a, b: a * b) AS equity FROM s2), d AS (SELECT *, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd FROM c) SELECT count(*) AS n, round(last(equity ORDER BY ts) - 1, 6) AS total_return, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(min(dd), 6) AS max_drawdown, round(avg(pnl) * sqrt(52.0) / stddev_samp(pnl), 6) AS sharpe, round(pow(last(equity ORDER BY ts), 52.0 / count(*)) - 1, 6) AS annual_return FROM d")
+@query("performance", PNL_SQL + ", s2 AS (SELECT ts, pnl / 10000 AS pnl FROM pnl WHERE pnl IS NOT NULL), c AS (SELECT ts, pnl, list_reduce(list(1 + pnl) OVER (ORDER BY ts), lambda a, b: a * b) AS equity FROM s2), d AS (SELECT *, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd FROM c) SELECT count(*) AS n, round(last(equity ORDER BY ts) - 1, 6) AS total_return, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(min(dd), 6) AS max_drawdown, round(avg(pnl) * sqrt(52.0) / stddev_samp(pnl), 6) AS sharpe, round(pow(last(equity ORDER BY ts), 52.0 / count(*)) - 1, 6) AS annual_return FROM d")
 def performance(spark, sf_dir):
     return E.performance(small_pnl(spark, sf_dir), "pnl", "ts", 52).select("n", *[F.round(c, 6).alias(c) for c in ("total_return", "win_rate", "max_drawdown", "sharpe", "annual_return")])
 
