@@ -234,3 +234,66 @@ def without_common_chunks(df: DataFrame, text: str, other: str, new: str, size:
         return pd.Series([one(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b, strict=True)])
 
     return df.withColumn(new, kept(word_chunks(F.col(text), size), word_chunks(F.col(other), size)))
+
+
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` white-space separated words, a stand-in for cutting at a number of model tokens."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda t: t != ""), 1, n), " ")
+
+
+@F.pandas_udf(T.StringType())
+def compatible_text(x: pd.Series) -> pd.Series:
+    """Unicode compatibility form (NFKD), without control and zero-width characters."""
+    import unicodedata
+
+    def one(t):
+        return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if c in "\n\t\r" or unicodedata.category(c) not in ("Cc", "Cf"))
+
+    return x.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def char_chunks(x: pd.Series, size: pd.Series) -> pd.Series:
+    """Chunks of at most ``size`` characters, cut at the last white space where there is one."""
+
+    def one(t, n):
+        if t is None:
+            return None
+        out, t = [], t.strip()
+        while len(t) > n:
+            at = t.rfind(" ", 0, n + 1)
+            at = at if at > 0 else n
+            out.append(t[:at].rstrip())
+            t = t[at:].lstrip()
+        return out + [t] if t else out
+
+    return pd.Series([one(t, int(n)) for t, n in zip(x, size, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def repaired_json(x: pd.Series) -> pd.Series:
+    """JSON text with common slips mended (typographic quotes, trailing commas, bare keys, open ends); null if it still
+    does not parse."""
+    import json
+    import re
+
+    def one(t):
+        if t is None:
+            return None
+        t = t.strip().translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})
+        t = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', t)
+        t = re.sub(r",\s*([}\]])", r"\1", t)
+        closing = []
+        for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", t):
+            if c in "{[":
+                closing.append("}" if c == "{" else "]")
+            elif c in "}]" and closing:
+                closing.pop()
+        t = re.sub(r",\s*$", "", t) + "".join(reversed(closing))
+        try:
+            json.loads(t)
+        except ValueError:
+            return None
+        return t
+
+    return x.map(one)

@@ -842,3 +842,106 @@ def stream_sessions(spark, sf_dir):
 @query("stream_average")
 def stream_average(spark, sf_dir):
     return drained(spark, sf_dir, lambda R, e: R.streaming_average(e, "event_type", "ts", "value", 0.2)).select("event_type", stamp("ts").alias("ts"), F.round("average", 6).alias("average"))
+
+
+# ---- relational operators as the flows use them ------------------------------------------------------------------
+
+
+@query("value_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def value_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("semi_join", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def semi_join(spark, sf_dir):
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(rich, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("common_names", "SELECT user_id FROM events WHERE event_type = 'signup' INTERSECT SELECT user_id FROM events WHERE event_type = 'view'")
+def common_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.filter("event_type = 'signup'").select("user_id").intersect(e.filter("event_type = 'view'").select("user_id"))
+
+
+@query("missing_names", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def missing_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select("o_custkey"))
+
+
+@query("top_customers", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 10")
+def top_customers(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
+    return g.orderBy(F.desc("t"), "o_custkey").limit(10).select("o_custkey", F.round("t", 2).alias("total"))
+
+
+@query("brand_volume_rank", "WITH v AS (SELECT p_brand, sum(l_quantity) / count(DISTINCT CAST(l_shipdate AS DATE)) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT p_brand, round(v + 1e-8, 6) AS mean_volume, rank() OVER (ORDER BY v DESC) AS r FROM v")
+def brand_volume_rank(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    g = rows.groupBy("p_brand").agg((F.sum("l_quantity") / F.count_distinct(F.to_date("l_shipdate"))).alias("v"))
+    return g.select("p_brand", r6("v").alias("mean_volume"), F.rank().over(Window.orderBy(F.desc("v"))).alias("r"))
+
+
+@query("single_segment_days", "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, min(o_orderstatus) AS status FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1")
+def single_segment_days(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.min("o_orderstatus").alias("status"), F.count_distinct("o_orderstatus").alias("k"))
+    return g.filter("k = 1").select(F.col("d").cast("string").alias("day"), "status")
+
+
+@query("return_matrix", BARS_SQL + "SELECT CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"max(CASE WHEN ticker = 'Brand#{k}' THEN close END) AS brand_{k}" for k in (1, 2, 3)) + " FROM bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ts")
+def return_matrix(spark, sf_dir):
+    names = ["Brand#1", "Brand#2", "Brand#3"]
+    wide = B.to_matrix(weekly_bars(spark, sf_dir).filter(F.col("ticker").isin(*names)), "close", names)
+    return wide.select(F.expr(DAY), *[F.col(f"`{n}`").alias(n.lower().replace("#", "_")) for n in names])
+
+
+@query("aligned_factor", EVENTS_SQL + ", u AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY ticker, ts) = 1), l AS (SELECT ticker, ts, lag(price, 1) OVER (PARTITION BY ticker ORDER BY ts) AS f FROM u) SELECT ticker, strftime(time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS bin, last(f ORDER BY ts) AS f FROM l WHERE f IS NOT NULL GROUP BY ALL")
+def aligned_factor(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    single = events(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker", "ts"))).filter("n = 1").withColumn("f", F.col("price"))
+    return B.lagged_factor(single, "f", 30).select("ticker", stamp("bin").alias("bin"), "f")
+
+
+# ---- whole flows ---------------------------------------------------------------------------------------------------
+
+REPORTED = {"momentum": MOMENTUM, "level": call("cs_rank", "volume"), "twin": call("cs_rank", "volume"), "reversal": call("neg", call("ts_zscore", "close", 8))}
+
+
+@query("factor_report")
+def factor_report(spark, sf_dir):
+    from panelforge.plans import flows
+
+    panel = B.forward_return(weekly_bars(spark, sf_dir), "close", 1)
+    r = flows.factor_report(panel, REPORTED, "r", 52)
+    return r.select("factor", "times", *[F.round(c, 6).alias(c) for c in ("mean_ic", "t_stat", "sharpe")])
+
+
+@query("backtest")
+def backtest(spark, sf_dir):
+    from panelforge.plans import flows
+
+    return flows.backtest(factor_panel(spark, sf_dir), "f", "r", 1, 16.0, 52).select(F.expr(DAY), r6("pnl").alias("pnl"))
+
+
+@query("leakage_check")
+def leakage_check(spark, sf_dir):
+    """How many (week, ticker) values of the flagship change when only later rows do: none."""
+    import datetime
+
+    from panelforge.plans import flows
+
+    panel = weekly_bars(spark, sf_dir)
+    times = [datetime.date(1996, 1, 1), datetime.date(1997, 6, 2), datetime.date(1999, 3, 1)]
+    return flows.leaks(panel, MOMENTUM, ["close"], times).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mean_vectors", "WITH c AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, count(*) / 64.0 AS n, round(sum(CAST(x AS DOUBLE)) / (count(*) / 64.0) + 1e-8, 5) + 0.0 AS total FROM c GROUP BY label")
+def mean_vectors(spark, sf_dir):
+    from panelforge.plans import flows
+
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    m = flows.mean_vectors(e, ["label"], "v")
+    return m.select("label", F.col("n").cast("double").alias("n"), (F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) + 1e-8, 5) + F.lit(0.0)).alias("total"))

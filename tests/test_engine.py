@@ -103,3 +103,61 @@ def test_neutralised_residuals_are_orthogonal(spark):
     pdf = pd.DataFrame({"ticker": [f"T{i}" for i in range(20)], "ts": 1, "f": rng.normal(size=20), "a": rng.normal(size=20), "b": rng.normal(size=20), "c": rng.normal(size=20)})
     out = kernels.neutralized(spark.createDataFrame(pdf), "f", ["a", "b", "c"], "r").toPandas()
     assert np.abs(out[["a", "b", "c"]].T @ out["r"]).max() < 1e-9
+
+
+def test_leaks_are_caught(panel):
+    from panelforge.plans import flows
+
+    df = panel[1].filter("x is not null").select("ticker", "ts", "y", "x")
+    times = [pd.Timestamp("2024-01-01 20:00"), pd.Timestamp("2024-01-02 10:00")]
+    assert flows.leaks(df, call("ts_mean", "x", 3), ["x", "y"], times).isEmpty()
+    kept = flows.without_leaks(df, {"mean": call("ts_mean", "y", 3)}, ["x", "y"], times)
+    assert list(kept) == ["mean"]
+    # A cross-section over shifted times is honest; a column that holds the next row's value is not.
+    from panelforge.functions.panel import KEYS
+
+    peeking = lambda d: d.withColumn("z", F.lead("y", 1).over(KEYS.series()))
+    assert peeking(df).filter("z is not null").count() > 0
+
+
+def test_report_counts_equal_factors_once(panel):
+    from panelforge.operators import bars
+    from panelforge.plans import flows
+
+    df = bars.forward_return(panel[1].na.fill(10.0, ["x"]), "x", 1)
+    r = {x["factor"]: x for x in flows.factor_report(df, {"a": call("cs_rank", "y"), "b": call("cs_rank", "y"), "c": call("neg", "y")}, "r", 52).collect()}
+    assert set(r) == {"a", "c"} and r["a"]["mean_ic"] * r["c"]["mean_ic"] < 0
+    one = flows.combined(panel[1], ["x", "y"], n=10, least=5).select("alpha").toPandas()["alpha"]
+    assert one.notna().all() and one.abs().max() < 4
+
+
+def test_text_udfs(spark):
+    df = spark.createDataFrame([('{a: 1, "b": [1, 2,', "aaa bbb ccc ddd"), ("nope", None)], "j string, t string")
+    got = df.select(X.repaired_json("j").alias("j"), X.char_chunks("t", F.lit(7)).alias("c"), X.compatible_text(F.lit("ﬁ​x")).alias("n"), X.first_words(F.lit("a  b c"), 2).alias("w")).collect()
+    assert [got[0].j, got[0].c, got[0].n, got[0].w, got[1].j, got[1].c] == ['{"a": 1, "b": [1, 2]}', ["aaa bbb", "ccc ddd"], "fix", "a b", None, None]
+
+
+def test_streams_agree_with_tables(spark, tmp_path):
+    from panelforge.streaming import stream as R
+
+    pdf = pd.DataFrame({"k": ["a", "b"] * 50, "ts": pd.date_range("2024-01-01", periods=100, freq="7min"), "v": np.arange(100.0)})
+    spark.createDataFrame(pdf).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = R.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    for _ in range(2):  # the second run has nothing left to do
+        R.into_table(R.streaming_average(rows, "k", "ts", "v", 0.5), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas().sort_values("ts")["average"].to_numpy()
+    np.testing.assert_allclose(got, pdf.groupby("k")["v"].transform(lambda v: v.ewm(alpha=0.5, adjust=False).mean()).to_numpy())
+
+
+def test_sources_and_logs(spark, tmp_path):
+    from panelforge.sources import io
+
+    for name in ("AAA", "BBB"):
+        (tmp_path / "bars").mkdir(exist_ok=True)
+        (tmp_path / "bars" / f"{name}.csv").write_text("ts,open,high,low,close,volume\n2024-01-01 09:30:00,1,2,0.5,1.5,10\n2024-01-01 09:31:00,1,2,0.5,oops,10\n")
+    got = io.read_series_files(spark, f"{tmp_path}/bars/*.csv").collect()
+    assert sorted({r["ticker"] for r in got}) == ["AAA", "BBB"] and sum(r["close"] is None for r in got) == 2
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, v int, s string")
+    io.append_log(log, f"{tmp_path}/log")
+    io.append_log(log.limit(0), f"{tmp_path}/log")
+    assert {(r["k"], r["s"]) for r in io.upserted(spark.read.parquet(f"{tmp_path}/log"), ["k"], "v").collect()} == {("a", "y"), ("b", "z")}
