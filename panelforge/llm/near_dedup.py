@@ -306,11 +306,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     span = lambda total: F.explode(F.sequence(F.lit(0), of(total) - 1))
     as_probe = dealt.filter("probe").select("key", own("probes").alias("i"), span("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(True).alias("probe"))
     as_other = dealt.select("key", span("probes").alias("i"), own("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(False).alias("probe"))
-    blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")])
+    # A block is small in bytes and large in work: it is dealt to a fixed number of tasks, not to as few as the bytes fill.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")]).repartition(tasks, "key", "i", "j")
     screened = written(blocks.groupBy("key", "i", "j").applyInPandas(_screened(percent), BLOCK))
     if not screened.isEmpty():
         sets = _set_table(texts, screened.select("rep"), shingle)
-        more = screened.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(_forest(percent), "a bigint, b bigint")
+        more = screened.join(sets, "rep").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(_forest(percent), "a bigint, b bigint")
         found = written(components(edges.unionByName(written(more.distinct()))))
 
     named = found.select(F.col("node").alias("rep"), "component")
