@@ -36,11 +36,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that close an open element of the given kinds when they start.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SECTIONS = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
-WORDS_AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|header|masthead|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|pagination|pager|search|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
+WORDS_AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|masthead|complementary|contentinfo|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|pagination|pager|search|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
+HEADER = re.compile(r"(?:^|[^a-z])header(?:[^a-z]|$)", re.I)  # boilerplate unless it is the article's own
 WORDS_FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|entry|post|story|main|body|text|page)(?:[^a-z]|$)", re.I)
 
 #: Weights of the classifier: log odds that a block is content.
-BIAS, IN_ARTICLE, IN_MAIN, IN_SECTION, MARKED_AGAINST, MARKED_FOR, LINKED, LONG, LISTED, HEADED = -0.6, 3.2, 2.4, -6.0, -5.0, 0.8, -3.0, 1.2, -0.4, 0.3
+BIAS, IN_ARTICLE, IN_MAIN, IN_SECTION, MARKED_AGAINST, MARKED_FOR, LINKED, LONG, LISTED, PARAGRAPH = -0.6, 3.2, 2.4, -6.0, -5.0, 0.8, -3.0, 1.2, -0.2, 1.4
 SMOOTH = 0.9
 
 
@@ -143,7 +144,7 @@ def log_odds(block: Block) -> float:
         if name in SECTIONS and not (name == "header" and inner):
             x += IN_SECTION
         if marks:
-            if WORDS_AGAINST.search(marks):
+            if WORDS_AGAINST.search(marks) or (not inner and HEADER.search(marks)):
                 x += MARKED_AGAINST
             elif WORDS_FOR.search(marks):
                 x += MARKED_FOR
@@ -151,8 +152,8 @@ def log_odds(block: Block) -> float:
     x += LINKED * min(1.0, block.linked / n) + LONG * min(n, 200) / 200
     if block.tag == "li":
         x += LISTED
-    if block.tag[:1] == "h" and block.tag[1:].isdigit():
-        x += HEADED
+    if block.tag in ("p", "pre", "blockquote") or (block.tag[:1] == "h" and block.tag[1:].isdigit()):
+        x += PARAGRAPH
     return x
 
 
@@ -166,7 +167,7 @@ def _near(a: Block, b: Block) -> float:
             break
         common += 1
     for name, _, marks in (*a.path[common:], *b.path[common:]):
-        if name in SECTIONS or name in ("article", "main") or (marks and WORDS_AGAINST.search(marks)):
+        if name in SECTIONS or name in ("article", "main") or (marks and (WORDS_AGAINST.search(marks) or HEADER.search(marks))):
             return 0.0
     return SMOOTH / (1 + len(pa_) + len(pb) - 2 * common)
 

@@ -166,6 +166,9 @@ def test_main_text():
     &eacute; four.</p><div class="related"><a href=x>More</a></div></article><aside>Side</aside><form><p>Name</p></form>
     <section class="comments"><p>Nice post, thank you all very much for it</p></section><footer>&copy; me"""
     assert html_extract.main_text(page) == "Head & line One two. Three é four."
+    plain = '<div class="site-header">Top</div><div role="navigation"><p>Go</p></div><h1>A</h1><p>Short one.<ul><li>x</ul><p>Two.</p><div id="comments"><p>First!</p></div>'
+    assert html_extract.main_text(plain) == "A Short one. x Two."
+    assert html_extract.main_text('<article><div class="entry-header"><h1>T</h1></div><p>x</p></article>') == "T x"
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p") == ""
     assert html_extract.main_text("<article><p>" + "word " * 50_000) == ("word " * 50_000).strip()
 
