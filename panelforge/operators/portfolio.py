@@ -180,3 +180,41 @@ def smoothed_alpha(df: DataFrame, alpha: str, half_life: float, new: str, keys:
     from panelforge.operators.kernels import ewm
 
     return ewm(df, {new: (alpha, 2 ** (-1 / half_life))}, keys)
+
+
+def penalised_weights(alpha: np.ndarray, loadings: np.ndarray, factor_variance: np.ndarray, residual_variance: np.ndarray, start: np.ndarray | None = None, neutral: np.ndarray | None = None, penalty: float = 1.0, gross: float = 1.0, box: float = 0.02, trade: float = 0.01, rounds: int = 400) -> np.ndarray:
+    """max alpha'x - penalty * sqrt(x'Cx) for a factor covariance C = B diag(f) B' + diag(d), with sum x = 0,
+    neutral x = 0 (rows are exposures), |x| <= box, |x - start| <= trade and sum |x| <= gross: subgradient steps, each
+    followed by projection on the equalities and the box in turn; the result is feasible to 1e-6."""
+    n = len(alpha)
+    start = np.zeros(n) if start is None else start
+    rows = np.vstack([np.ones((1, n)), *([neutral] if neutral is not None else [])])
+    onto = np.eye(n) - np.linalg.pinv(rows) @ rows
+    low, high = np.maximum(-box, start - trade), np.minimum(box, start + trade)
+
+    def feasible(x: np.ndarray) -> np.ndarray:
+        p, q = np.zeros(n), np.zeros(n)
+        for _ in range(200):  # Dykstra between the subspace and the box
+            y = onto @ (x + p)
+            p = x + p - y
+            z = np.clip(y + q, low, high)
+            q = y + q - z
+            if np.abs(z - x).max() < 1e-12 and np.abs(rows @ z).max() < 1e-9:
+                break
+            x = z
+        x = onto @ x
+        return x * min(1.0, gross / max(np.abs(x).sum(), 1e-12))
+
+    def risk(x: np.ndarray) -> tuple[float, np.ndarray]:
+        g = loadings @ (factor_variance * (loadings.T @ x)) + residual_variance * x
+        r = float(np.sqrt(max(x @ g, 1e-18)))
+        return r, g / r
+
+    x = best = feasible(start.copy())
+    top = alpha @ best - penalty * risk(best)[0]
+    for k in range(rounds):
+        grad = alpha - penalty * risk(x)[1]
+        x = feasible(x + box / np.sqrt(k + 1) * grad / max(np.abs(grad).max(), 1e-12))
+        if (value := alpha @ x - penalty * risk(x)[0]) > top:
+            best, top = x, value
+    return best

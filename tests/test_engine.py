@@ -161,3 +161,13 @@ def test_sources_and_logs(spark, tmp_path):
     io.append_log(log, f"{tmp_path}/log")
     io.append_log(log.limit(0), f"{tmp_path}/log")
     assert {(r["k"], r["s"]) for r in io.upserted(spark.read.parquet(f"{tmp_path}/log"), ["k"], "v").collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_penalised_weights_are_feasible():
+    rng = np.random.default_rng(2)
+    n = 30
+    alpha, loadings = rng.normal(size=n) * 0.1, rng.normal(size=(n, 3))
+    neutral = rng.normal(size=(2, n))
+    w = portfolio.penalised_weights(alpha, loadings, np.array([0.2, 0.1, 0.05]), rng.uniform(0.01, 0.1, n), neutral=neutral, penalty=0.1)
+    assert np.abs(w).max() <= 0.01 + 1e-6 and abs(w.sum()) < 1e-6 and np.abs(neutral @ w).max() < 1e-6 and np.abs(w).sum() <= 1 + 1e-6
+    assert alpha @ w > 0
