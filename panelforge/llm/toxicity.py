@@ -19,6 +19,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -111,7 +113,7 @@ def _featurised(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "toxic", "buckets"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **rates) -> tuple[float, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, **rates) -> tuple[float, np.ndarray, np.ndarray]:
     """Fits on about ``max_rows`` labelled rows outside the held-out fold."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out())
     total = marked.count()
@@ -119,9 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **rates) ->
         return -50.0, np.zeros(0, np.int64), np.zeros(0)
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, max_rows / total) * 1_000_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(_featurised, "doc_id bigint, toxic int, buckets binary").toPandas()
-    got = got.sort_values(["doc_id", "toxic"], kind="stable")
-    return fit([(np.frombuffer(b, np.int32).astype(np.int64), int(y)) for b, y in zip(got["buckets"], got["toxic"], strict=True)], **rates)
+    got = rows.mapInArrow(_featurised, "doc_id bigint, toxic int, buckets binary").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    # Views of the received buffers: the sample is held once, as 32-bit buckets.
+    views = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in got.column("buckets")]
+    model = fit(list(zip(views, got.column("toxic").to_pylist(), strict=True)), **rates)
+    del views, got
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 class Scorer:
