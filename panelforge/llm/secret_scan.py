@@ -1,13 +1,19 @@
 """Secret scan with a worklist of decoded layers.
 
 The whole text is scanned; then every layer that can be unwrapped from it (URL
-escapes, Unicode and character-reference escapes, base64, zlib or gzip under
-base64) goes onto a worklist, is scanned in turn and unwrapped further, until no
+escapes, Unicode and character-reference escapes, base64 of either alphabet,
+zlib or gzip under base64, with all members and whatever is compressed inside
+them) goes onto a worklist, is scanned in turn and unwrapped further, until no
 new layer appears. A layer that was seen before (same characters at the same
 place) is not visited again, so cycles end. Each character of a layer knows the
 code points of the original text that it came from, and so every finding is
 reported as a span of the original text.
 
+A run of base64 may hold a path or a name before the encoded part, so it is read
+from its start and from behind each of + / - _. Bytes that are not clean UTF-8
+are read byte by byte (latin-1), and their stretches of UTF-16 as such; a finding
+of such a rough reading yields to one of a clean reading at the same place.
+
 Kinds, in the order that breaks ties: assign (a name such as password followed
 by a value of six characters or more; the span covers the whole match), access
 (AKIA and upper-case letters or digits, 20 in all), hex (24 lower-case digits).
@@ -20,7 +26,6 @@ gives an empty result; other columns are not read. Texts are never cut.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import html
 import re
@@ -40,7 +45,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: the same spans as [0-9a-f]+
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
-BASE64_RUN = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PARTS = tuple(re.compile(f"[A-Za-z0-9{x}]{{16,}}") for x in ("+/", "_-", "+_-"))  # of a run: one alphabet, or between slashes
+BEHIND = re.compile(r"[+/_-]")
+#: What may start a gzip or zlib stream, at the start of a run or behind a sign.
+PACKED = re.compile(r"(?<![A-Za-z0-9])(?:H4sI|[CGKOSWae][A-P])")
+STANDARD = str.maketrans("-_", "+/")
+GZIP = b"\x1f\x8b\x08"
+#: Bytes without any of these hold neither a finding nor a further layer.
+WORTH = re.compile(rb"passw|secret|token|api_?key|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#", re.I)
+WIDE = re.compile(rb"(?:[\t-\r -~]\x00){8,}[\t-\r -~]?")  # UTF-16 of either byte order
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,13 +72,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """Decoded characters and, for each, the first and last-plus-one code point of the original text."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "rough")
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, rough: bool = False):
+        self.text, self.starts, self.ends, self.rough = text, starts, ends, rough
 
     def key(self) -> bytes:
-        place = b"%d:%d:" % (self.starts[0], self.ends[-1]) if len(self.text) else b""
+        place = b"%d:%d:%d:" % (self.rough, self.starts[0], self.ends[-1]) if len(self.text) else b""
         return hashlib.blake2b(place + self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
@@ -77,13 +91,62 @@ def _printable(raw: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+def _packed(raw: bytes, at: int) -> bool:
+    """Whether a gzip or zlib header stands at ``at``."""
+    return raw[at : at + 3] == GZIP or (len(raw) > at + 1 and raw[at] & 0x8F == 8 and (raw[at] << 8 | raw[at + 1]) % 31 == 0)
+
+
+def _stream(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, whether it is whole) of the stream at ``at``, up to the first damaged byte. Read in growing
+    steps, so that a short stream costs little before a long rest."""
+    d, got, step = zlib.decompressobj(47), [], 256
+    while at < len(raw) and not d.eof:
+        before, piece = d.copy(), memoryview(raw)[at : at + step]
         try:
-            return zlib.decompressobj(47).decompress(raw)
+            got.append(d.decompress(piece))
         except zlib.error:
-            return None
-    return None
+            try:
+                for k in range(len(piece)):
+                    got.append(before.decompress(piece[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(got), at + k, False
+        at += len(piece) - len(d.unused_data)
+        step = min(2 * step, 1 << 20)
+    return b"".join(got), at, d.eof
+
+
+def _members(raw: bytes):
+    """(start, end, content) of the streams in ``raw``: at its start, behind one another, and gzip behind anything else."""
+    at = 0
+    while at < len(raw):
+        if not _packed(raw, at) and (at := raw.find(GZIP, at)) < 0:
+            return
+        out, end, complete = _stream(raw, at)
+        if out:
+            yield at, end, out
+        at = end if complete else at + 2
+
+
+def _inflated(raw: bytes):
+    """(start, end, content) of the streams in ``raw`` and, at the place of the outer one, of all streams inside them."""
+    seen = set()
+    work = list(_members(raw))
+    while work:
+        a, b, out = work.pop()
+        if (k := (a, b, hashlib.blake2b(out, digest_size=16).digest())) not in seen:
+            seen.add(k)
+            yield a, b, out
+            work += [(a, b, x) for _, _, x in _members(out)]
+
+
+def _rough(raw: bytes):
+    """(text, index of each character's first byte, bytes a character) of what may be read in bytes that are not clean."""
+    if WORTH.search(raw):
+        yield raw.decode("latin-1"), np.arange(len(raw)), 1
+    for m in WIDE.finditer(raw):
+        new = m[0][::2].decode("ascii")
+        yield new, m.start() + 2 * np.arange(len(new)), 2
 
 
 def _char_places(text: str, byte_places: np.ndarray) -> np.ndarray:
@@ -120,7 +183,7 @@ def _replaced(layer: Layer | None, text: str, pattern: re.Pattern, decode) -> La
     if not changed:
         return None
     keep(at, len(text))
-    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
+    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), bool(layer and layer.rough))
 
 
 def _unquoted(run: str) -> str | None:
@@ -143,44 +206,73 @@ def _unescaped(run: str) -> str | None:
         return None
 
 
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
 def _unpacked(layer: Layer | None, text: str):
     """Layers held in base64 runs of ``text``, inflated where compressed."""
+    above = bool(layer and layer.rough)
+
+    def placed(new: str, lo: np.ndarray, hi: np.ndarray, rough: bool) -> Layer:
+        return Layer(new, layer.starts[lo] if layer else lo, layer.ends[hi - 1] if layer else hi, rough or above)
+
     for m in BASE64_RUN.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
         a, b = m.span()
-        if (out := _inflated(raw)) is not None and (new := _printable(out)):
-            lo, hi = np.full(len(new), a), np.full(len(new), b)
-        elif new := _printable(raw):
-            at = _char_places(new, np.arange(len(raw)))
-            nxt = np.append(at[1:], len(raw))
-            lo, hi = a + at * 4 // 3, np.minimum(a + -(-nxt * 4 // 3), b)
-        else:
-            continue
-        yield Layer(new, layer.starts[lo] if layer else lo, layer.ends[hi - 1] if layer else hi)
+        own = m[0].rstrip("=")
+        run = own.translate(STANDARD)
+        done: dict[int, int] = {}  # by place in a group of four: streams before here are known, and gzip ones behind it
+        for p in PACKED.finditer(own):
+            s = p.start()
+            head = _decoded(run[s : s + 4])
+            if not _packed(head, 0) or (s % 4 in done and (head == GZIP or s < done[s % 4])):
+                continue
+            done[s % 4] = s
+            for x, y, out in _inflated(_decoded(run[s:])):
+                done[s % 4] = max(done[s % 4], s + y * 4 // 3)
+                lo, hi = a + s + x * 4 // 3, a + s - (-y * 4 // 3)
+                hi = b if hi >= a + len(own) - 1 else hi  # with the padding
+                if new := _printable(out):
+                    yield placed(new, np.full(len(new), lo), np.full(len(new), hi), False)
+                else:
+                    for new, _, _ in _rough(out):
+                        yield placed(new, np.full(len(new), lo), np.full(len(new), hi), True)
+        behind = [0, *(x.end() for x in BEHIND.finditer(own))]
+        clean = set()
+        for s, e in {(0, len(own)), *(x.span() for pattern in PARTS for x in pattern.finditer(own) if len(behind) > 1)}:
+            raw = _decoded(run[s:e])
+            if new := _printable(raw):
+                at = _char_places(new, np.arange(len(raw)))
+                nxt = np.append(at[1:], len(raw))
+                if e == len(own):
+                    clean.add((s, e))
+                yield placed(new, a + s + at * 4 // 3, np.minimum(a + s - (-nxt * 4 // 3), b if e == len(own) else a + e), False)
+        for s in {x % 4: x for x in reversed(behind)}.values():
+            if (s, len(own)) in clean or len(own) - s < 16:
+                continue
+            for new, at, width in _rough(_decoded(run[s:])):
+                yield placed(new, a + s + at * 4 // 3, np.minimum(a + s - (-(at + width) * 4 // 3), b), True)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): the second adds what the decoded layers hold, mapped to the original text."""
     base = base_spans(text)
-    found, seen, work = set(base), set(), [None]
+    found, rough, seen, work = set(base), set(), set(), [None]
     while work:
         layer = work.pop()
         body = layer.text if layer else text
         if layer:
             for s, e, kind in base_spans(body):
-                found.add((int(layer.starts[s]), int(layer.ends[s:e].max()), kind))
+                (rough if layer.rough else found).add((int(layer.starts[s]), int(layer.ends[s:e].max()), kind))
         new = [_replaced(layer, body, URL_RUN, _unquoted) if "%" in body else None]
         new.append(_replaced(layer, body, ESCAPE, _unescaped) if "\\" in body or "&#" in body else None)
         for x in [*new, *_unpacked(layer, body)]:
             if x is not None and len(x.text) and (k := x.key()) not in seen:
                 seen.add(k)
                 work.append(x)
+    known = {(s, kind) for s, _, kind in found}
+    found |= {x for x in rough if (x[0], x[2]) not in known}
     return base, sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
