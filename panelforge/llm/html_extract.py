@@ -7,11 +7,14 @@ source and to the sink. Neighbouring blocks, and blocks that follow one another
 under the same parent element, are joined by smoothness edges that are stronger
 the closer the blocks are in the element tree. The minimum cut, found by
 augmenting paths, separates content from boilerplate. What can never be content
-(scripts, styles, titles, comments, templates) makes no block at all.
+(scripts, styles, titles, comments, templates, controls, drawings) makes no
+block at all.
 
 Defined cases. Null or empty html gives an empty text. Unclosed or stray tags
 are accepted: a block element ends an open paragraph, an end tag without its
-start is ignored, and the end of the page closes everything. Character
+start is ignored, and the end of the page closes everything. A template, control
+or drawing whose end tag is missing hides its own text only, not the headings,
+paragraphs, sections and other such elements that come to lie inside it. Character
 references are decoded after the tags are found. Repeated rows give repeated
 answers; an empty table gives an empty result; other columns are not read.
 """
@@ -30,11 +33,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
-RAW = {"script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "object", "select", "option", "button", "math", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "iframe"}  # HTML reads these up to their end tag
+#: Elements whose blocks are boilerplate; their tags are read as any others.
+NEVER = {"noscript", "template", "svg", "object", "select", "datalist", "optgroup", "option", "button", "math", "canvas", "audio", "video"}
+#: Elements that are content of their own, even in one of NEVER that was left open.
+FLOW = {"article", "main", "section", "div", "p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure", "details", "address", "hgroup", "li", "dt", "dd", "tr", "td", "th", "caption", "figcaption", "summary", "fieldset", "center", "nav", "header", "footer", "aside", "form", "dialog", "menu"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that close an open element of the given kinds when they start.
-IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SECTIONS = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 WORDS_AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|masthead|complementary|contentinfo|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|pagination|pager|search|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
 HEADER = re.compile(r"(?:^|[^a-z])header(?:[^a-z]|$)", re.I)  # boilerplate unless it is the article's own
@@ -58,6 +65,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, str]] = []  # (element, number, its class, id and role)
     parts: list[str] = []
     links, link_chars, at, count = 0, 0, 0, 0
+    ended: set[int] = set()  # the elements of NEVER that have their end tag
 
     def flush() -> None:
         nonlocal link_chars
@@ -98,6 +106,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    ended.add(stack[k][1])
                     close(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
@@ -113,7 +122,7 @@ def blocks(page: str) -> list[Block]:
             flush() if name != "br" else parts.append(" ")
             if name != "br":
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] in IMPLIED.get(name, ()):
+                    if (stack[k][0] == "p" and name not in NEVER) or stack[k][0] in IMPLIED.get(name, ()):
                         close(k)
                         break
                     if stack[k][0] not in INLINE:
@@ -127,7 +136,22 @@ def blocks(page: str) -> list[Block]:
         stack.append((name, count, marks))
         links += name == "a"
     flush()
-    return out
+    return [b for b in out if not _hidden(b, ended)]
+
+
+def _hidden(block: Block, ended: set[int]) -> bool:
+    """Whether a block lies in an element of NEVER: anywhere before its end tag, or in its own text if that is missing.
+    An article that an end tag far behind would enclose is not part of a control or drawing."""
+    for k, (name, number, _) in enumerate(block.path):
+        if name in NEVER:
+            inner = {x[0] for x in block.path[k + 1 :]}
+            if number not in ended:
+                free = not FLOW.isdisjoint(inner) or any("-" in x for x in inner)
+            else:
+                free = name not in ("noscript", "template") and not inner.isdisjoint(("article", "main"))
+            if not free:
+                return True
+    return False
 
 
 def log_odds(block: Block) -> float:

@@ -173,6 +173,17 @@ def test_main_text():
     assert html_extract.main_text("<article><p>" + "word " * 50_000) == ("word " * 50_000).strip()
 
 
+def test_open_controls_do_not_swallow_the_page():
+    body = "<article><h1>Head</h1><p>One two.</p></article>"
+    for before in ("<datalist><option value=a><option value=b></datalist>", "<select><option>a<option>b</select>", "<select><optgroup label=x><option>a<optgroup label=y><option>b</select>", "<div><button>Menu</div>", *(f"<{x}>Menu" for x in ("option", "button", "select", "object", "svg", "math", "canvas", "audio", "video", "noscript", "template"))):
+        assert html_extract.main_text(before + body) == "Head One two.", before
+        assert html_extract.main_text(before + body + "<button>Top</button>" + body) == "Head One two. Head One two.", before
+    assert html_extract.main_text("<button>Menu" + body + "</button>") == "Head One two."
+    assert html_extract.main_text("<article><ul><li><button>x<li>One two.</ul></article>") == "One two."
+    for x in ("option", "button", "select", "object", "svg", "math", "canvas", "audio", "video", "noscript", "template", "script", "style", "title", "textarea", "iframe"):
+        assert html_extract.main_text(f"<article><p>One <{x} a=b><i>no</i><p>no</{x}> two.</p><p>Three.</p></article>") == "One two. Three.", x
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
