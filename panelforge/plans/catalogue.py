@@ -897,6 +897,14 @@ def return_matrix(spark, sf_dir):
     return wide.select(F.expr(DAY), *[F.col(f"`{n}`").alias(n.lower().replace("#", "_")) for n in names])
 
 
+@query("return_matrix_all", BARS_SQL + "SELECT CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"max(CASE WHEN ticker = 'Brand#{k}' THEN close END) AS brand_{k}" for k in range(1, 26)) + " FROM bars GROUP BY ts")
+def return_matrix_all(spark, sf_dir):
+    """The matrix of all tickers and weeks; the names are those of the table."""
+    names = [r[0] for r in table(spark, sf_dir, "part").select("p_brand").filter("p_brand IS NOT NULL").distinct().orderBy("p_brand").collect()]
+    wide = B.to_matrix(weekly_bars(spark, sf_dir), "close", names)
+    return wide.select(F.expr(DAY), *[F.col(f"`{n}`").alias(n.lower().replace("#", "_")) for n in names])
+
+
 @query("aligned_factor", EVENTS_SQL + ", u AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY ticker, ts) = 1), l AS (SELECT ticker, ts, lag(price, 1) OVER (PARTITION BY ticker ORDER BY ts) AS f FROM u) SELECT ticker, strftime(time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS bin, last(f ORDER BY ts) AS f FROM l WHERE f IS NOT NULL GROUP BY ALL")
 def aligned_factor(spark, sf_dir):
     from pyspark.sql.window import Window

@@ -43,3 +43,10 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_the_matrix_of_all_tickers_has_every_name_and_week(spark, duck):
+    wide = registry.QUERIES["return_matrix_all"](spark, SF)
+    names, weeks = duck.execute("SELECT count(DISTINCT p_brand), count(DISTINCT date_trunc('week', l_shipdate)) FROM lineitem JOIN part ON l_partkey = p_partkey").fetchone()
+    assert (len(wide.columns) - 1, wide.count()) == (names, weeks)
