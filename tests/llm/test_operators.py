@@ -316,6 +316,15 @@ def test_toxicity(spark):
     assert toxicity.scored(documents(spark, []), model).count() == 0
 
 
+def test_toxicity_learns_from_8000_rows(spark, monkeypatch):
+    labels = spark.range(9000).selectExpr("id as doc_id", "1 as quality", "cast(id % 4 = 0 as int) as toxic")
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda examples, **rates: sizes.append(len(examples)))
+    toxicity.train(docs, labels)
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(9000))]
+
+
 # ---- 8 benchmark items ---------------------------------------------------------------------------------------------
 
 
