@@ -92,12 +92,13 @@ def _coded(parts) -> Words:
     return Words(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist(), bounds)
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """Runs of characters other than ASCII white space; ``lower`` folds A-Z only. Null is the empty text."""
+def words(texts: pa.Array, lower: bool = True, split=pc.ascii_split_whitespace) -> Words:
+    """Runs of characters other than ASCII white space (or what ``split`` parts); ``lower`` folds A-Z only. Null is
+    the empty text."""
     texts = solid(texts)
     if lower:
         texts = pc.ascii_lower(texts)
-    parts = pc.ascii_split_whitespace(texts)
+    parts = split(texts)
     split = _coded(parts)
     if "" in split.vocab:  # white space at either end leaves empty words
         empty = split.vocab.index("")

@@ -50,7 +50,8 @@ def bare(word: str) -> str:
 
 def plain_words(text: str) -> list[str]:
     """The lower-case words of a text without punctuation at their edges."""
-    return [b for w in text.lower().split() if (b := bare(w))]
+    lower = pc.utf8_lower(pa.scalar(text, pa.large_string())).as_py()  # as ``plain`` does: str.lower differs on a few letters
+    return [b for w in lower.split() if (b := bare(w))]
 
 
 def word_shingles(tokens: list[str]) -> list[tuple[str, ...]]:
@@ -186,7 +187,7 @@ class Index:
 
 def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(word numbers, their texts, vocabulary) of many texts, as ``plain_words`` has them."""
-    w = words(pc.utf8_lower(solid(texts)), lower=False)
+    w = words(pc.utf8_lower(solid(texts)), lower=False, split=pc.utf8_split_whitespace)
     vocab = [bare(v) for v in w.vocab]
     real = np.array([bool(v) for v in vocab], bool)
     keep = real[w.codes] if len(w.codes) else np.zeros(0, bool)

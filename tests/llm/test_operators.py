@@ -358,6 +358,17 @@ def test_decontamination_agrees_with_brute_force(spark):
     assert decontamination.judged(documents(spark, []), benchmark).count() == 0
 
 
+def test_items_and_documents_are_split_alike(spark):
+    texts = [f"Ab{c}CD, e{c}{c}f{c}" for c in map(chr, range(0x3100)) if not c.isalnum()] + ["ΑΣ ΟΔΟΣ İx", "", " "]
+    codes, rows, vocab = decontamination.plain(pa.array([*texts, None]))
+    for i, t in enumerate([*texts, ""]):
+        assert [vocab[c] for c in codes[rows == i]] == decontamination.plain_words(t), ascii(t)
+    item = sentence(random.Random(12), 15)
+    docs = documents(spark, [(i, "before it " + item.replace(" ", c) + " and after") for i, c in enumerate([" ", "\xa0", "\u3000", "\u2009", "\u2028"])])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["item_ids"] for r in decontamination.judged(docs, benchmark).collect()] == [[1]] * 5
+
+
 # ---- 10 near copies --------------------------------------------------------------------------------------------------
 
 
