@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelforge.llm.common import held_out, slices, table, words
 
@@ -287,7 +288,7 @@ def _word_counts(batches):
 
 def train(docs: DataFrame, docs_per_language: int = 400, words_per_language: int = 60_000, path: str | None = None) -> LanguageModel:
     """Fits on labelled rows outside the held-out fold: about ``docs_per_language`` rows, chosen by a hash of the
-    id, and of their words the ``words_per_language`` most frequent."""
+    id, and of each language's words the ``words_per_language`` most frequent."""
     given = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
     samples: dict[str, dict[str, int]] = {k: {} for k in sizes}
@@ -295,7 +296,8 @@ def train(docs: DataFrame, docs_per_language: int = 400, words_per_language: int
         share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))])
         chosen = given.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
         counts = chosen.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        for r in counts.orderBy(F.desc("n"), "word").limit(words_per_language * len(sizes)).toLocalIterator():
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        for r in counts.withColumn("rank", rank).filter(F.col("rank") <= words_per_language).orderBy("lang", "rank").toLocalIterator():
             samples[r["lang"]][r["word"]] = r["n"]
     return fit(samples, path)
 

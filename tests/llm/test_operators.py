@@ -81,6 +81,15 @@ def test_language_of_held_out_texts(spark):
     assert language_id.predicted(empty, model).count() == 0
 
 
+def test_each_language_keeps_its_own_words(spark, monkeypatch):
+    rows = [(i, "the the house house water water under under with with", "en", "s", 1) for i in range(1, 9)] + [(i, "日本 本日 語学 学語", "ja", "s", 1) for i in (11, 13)]
+    kept = {}
+    monkeypatch.setattr(language_id, "fit", lambda samples, path: kept.update(samples))
+    language_id.train(documents(spark, rows), words_per_language=3)
+    assert {k: len(v) for k, v in kept.items()} == {"en": 3, "ja": 3}
+    assert list(kept["en"])[0] == min(kept["en"])
+
+
 # ---- 2 packing, 9 token store -----------------------------------------------------------
 
 
