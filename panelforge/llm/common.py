@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,71 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most: a worker and the JVM beside it hold little at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Tables that workers keep between tasks, by operator: how to empty each. A worker that turns to other work empties them.
+KEPT: dict[str, Callable[[], None]] = {}
+_LIBC = None
+
+
+def _tidy(keep: str) -> None:
+    """In a worker: gives memory back to the system, and empties the tables of other operators than ``keep``."""
+    global _LIBC
+    for name, empty in KEPT.items():
+        if name != keep:
+            empty()
+    try:
+        if _LIBC is None:
+            _LIBC = ctypes.CDLL(None)
+            _LIBC.mallopt(-3, 1 << 20)  # blocks from 1 MB have pages of their own, which go back when freed
+            _LIBC.mallopt(-1, 8 << 20)  # and so does the end of the heap beyond 8 MB
+            pa.set_memory_pool(pa.system_memory_pool())
+        gc.collect()
+        _LIBC.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to tune
+        pass
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on batches of the session are of BATCHES at most."""
+    for k, most in BATCHES.items():
+        now = spark.conf.get(k, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(k, str(most))
+
+
+def mapped(df: DataFrame, run, schema, keep: str = "") -> DataFrame:
+    """``df.mapInArrow`` with bounded batches, in workers that give memory back before and after a partition."""
+    bounded(df.sparkSession)
+
+    def tidied(batches):
+        _tidy(keep)
+        yield from run(batches)
+        _tidy(keep)
+
+    return df.mapInArrow(tidied, schema)
+
+
+#: Side rows that a broadcast holds at most (see ``joined_by_weight``).
+HEAVY_KEYS = 50_000
+
+
+def joined_by_weight(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``side`` that has the same ``key`` (how: inner or left); ``weight`` says how many of
+    ``rows`` have that key. Both are tables that were written before.
+
+    Keys with more than total / HEAVY_KEYS rows, of which there can be fewer than HEAVY_KEYS whatever the size, are
+    joined by broadcast where the rows lie; the others, none of which is heavy, by shuffle."""
+    total = side.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    least = max(1000, total // HEAVY_KEYS)
+    heavy, light = side.filter(F.col(weight) > least), side.filter(F.col(weight) <= least)
+    if heavy.isEmpty():
+        return rows.join(side, key, how)
+    few = F.broadcast(heavy)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how))
+
+
 def whole(c: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -47,9 +115,9 @@ def held_out(c: str = "doc_id") -> Column:
 
 
 #: Texts of one batch are worked on in slices of about so many bytes, however many rows Arrow delivers.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: The same where the work on a text takes several times its room, as token ids do.
-SMALL_SLICE_BYTES = 4 << 20
+SMALL_SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):

@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list: alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, so a hub's neighbours are never
-gathered in one place. Each round is written to the shared folder, which cuts the
+Every step is a grouped minimum and a join. The minimum is combined map-side; in the
+join the edges of a hub share a key, which adaptive execution splits. Each round is written to the shared folder, which cuts the
 lineage; rounds grow with the logarithm of the longest path.
 """
 

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, solid, table, whole, words
+from panelforge.llm.common import mapped, slices, solid, table, whole, words
 
 SHINGLE, OVERLAP, K1, B = 5, 0.8, 1.2, 0.75
 BLOCK_ITEMS, ITEMS_PER_INDEX = 16, 20_000
@@ -231,7 +231,7 @@ def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text and hits (items found, with figures) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hits", F.array().cast(HITS))
     for index in indexes(benchmark):
-        rows = rows.mapInArrow(_searched(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
+        rows = mapped(rows, _searched(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
     return rows
 
 
@@ -258,7 +258,7 @@ def _clean(shared, text_col: str):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; maps only."""
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
+        docs = mapped(docs, _clean(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import shared_folder, table, whole, written
+from panelforge.llm.common import joined_by_weight, shared_folder, table, whole, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on disk; without preallocation a partition takes the room of what it holds and not megabytes of log.
@@ -35,6 +35,10 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # All stores of an executor share one bounded cache, and a store is closed when its task ends.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Hit digests are broadcast up to so many; beyond that the byte check joins by shuffle.
 BROADCAST_DIGESTS = 100_000
@@ -107,7 +111,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         answer = feed.select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
     else:
         state = stream_state(spark, f"{base}/feed", feed.schema, f"{base}/state")
-        answer = feed.select("digest", "id").join(state.select("digest", "keep_id", "n"), "digest", "left")
+        answer = joined_by_weight(feed.select("digest", "id"), state.select("digest", "keep_id", "n"), "digest", "n", "left")
         bad = written(_colliding(docs, state.filter("n > 1").select("digest"), id_col, text_col))
         if not bad.isEmpty():
             answer = answer.join(bad, "digest", "left_anti").unionByName(_by_bytes(docs, bad, id_col, text_col))

@@ -27,7 +27,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm.common import slices, table
+from panelforge.llm.common import mapped, slices, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -269,7 +269,7 @@ def _extract(batches):
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row; a map over the table, without a shuffle."""
-    return pages.selectExpr("cast(page_id as bigint) as page_id", "url", "html").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return mapped(pages.selectExpr("cast(page_id as bigint) as page_id", "url", "html"), _extract, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import held_out, slices, table, words
+from panelforge.llm.common import held_out, mapped, slices, table, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -295,7 +295,7 @@ def train(docs: DataFrame, docs_per_language: int = 400, words_per_language: int
     if sizes:
         share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))])
         chosen = given.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-        counts = chosen.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        counts = mapped(chosen.select("lang", "text"), _word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
         for r in counts.withColumn("rank", rank).filter(F.col("rank") <= words_per_language).orderBy("lang", "rank").toLocalIterator():
             samples[r["lang"]][r["word"]] = r["n"]
@@ -306,7 +306,7 @@ def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(predictor(shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return mapped(rows, predictor(shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

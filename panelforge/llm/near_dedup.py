@@ -10,24 +10,31 @@
    many pairs as members. Pairs whose sketches allow the similarity, with a wide
    margin, are confirmed on the full sets, worked out again from the texts.
 4. Where members of a bucket are still in different components, the members
-   outside the centre's component are compared with all others by sketch, in
-   blocks of bounded size inside a worker, and what the sketches allow is
-   confirmed on full sets; a block returns a spanning forest, never all pairs.
-   So no pair that shares a band and is similar enough is left unexamined.
+   outside the centre's component are compared by sketch with those whose sets
+   are of a size near enough, in blocks of bounded size inside a worker, and what
+   the sketches allow is confirmed on full sets; a block returns a spanning
+   forest, never all pairs. So no pair that shares a band and is similar enough
+   is left unexamined. This step grows with (members outside) x (members of like
+   size) of a bucket: fast where copies of a text agree, slow where very many
+   different texts of one size share a band without being near copies.
 5. Components come from alternating star steps.
 
 With the bands chosen, a pair at the threshold shares no band with probability
 below 1e-6 (``bands_for``); everything after that is exact up to 64-bit hashes.
 
 Defined cases. Null, empty or wordless texts have no shingles and are linked with
-nothing. With fewer words than a shingle, the whole sequence is one. Repeated
-rows share their id's answer. A row without id belongs to its class's
+nothing. With fewer words than a shingle, the whole sequence is one. Rows with one
+id are one document: repeated rows share an answer, and where the texts differ,
+what is linked with one of them is linked with all (rows without shingles aside).
+A row without id belongs to its class's
 representative; if no row of the class has an id, component_id is null and it is
 kept. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,13 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mixed, slices, table, whole, words, written
+from panelforge.llm.common import bounded, joined_by_weight, mapped, mixed, slices, table, whole, words, written
 from panelforge.llm.components import components
 
 SAMPLES, SKETCH_BITS = 130, 512
 #: How far below the threshold a sketch's estimate may fall (more than five standard errors).
 MARGIN = 0.2
-CHUNK = 512
+#: Members and shingles of one side of a block, about.
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -184,7 +192,7 @@ def _possible(probes: pd.DataFrame, others: pd.DataFrame, percent: int) -> np.nd
     return fits
 
 
-BLOCK = "key bigint, i int, j int, rep bigint, component bigint, n bigint, bands array<bigint>, sketch binary, probe boolean"
+BLOCK = "slot bigint, i int, j int, key bigint, rep bigint, component bigint, n bigint, bands array<bigint>, sketch binary, probe boolean"
 
 
 def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -202,21 +210,32 @@ def _screened(percent: int):
     return run
 
 
-#: Cells of a block's membership matrix up to which all its intersections are one product; beyond, pair by pair.
-MATRIX_CELLS = 40_000_000
+#: Cells of a tile's membership matrix up to which all its intersections are one product; beyond, pair by pair.
+MATRIX_CELLS, TILE = 6_000_000, 128
 
 
 def _links(probes: list[np.ndarray], others: list[np.ndarray], fits: np.ndarray, percent: int) -> np.ndarray:
-    """The pairs of ``fits`` that are similar enough on the full sets."""
+    """The pairs of ``fits`` that are similar enough on the full sets, tile by tile."""
+    out = np.zeros_like(fits)
+    for i in range(0, len(probes), TILE):
+        for j in range(0, len(others), TILE):
+            own = np.s_[i : i + TILE, j : j + TILE]
+            if fits[own].any():
+                out[own] = _tile(probes[i : i + TILE], others[j : j + TILE], fits[own], percent)
+    return out
+
+
+def _tile(probes: list[np.ndarray], others: list[np.ndarray], fits: np.ndarray, percent: int) -> np.ndarray:
     sets = [*probes, *others]
     sizes = np.array([len(x) for x in sets])
-    vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
-    if len(sets) * len(vocab) <= MATRIX_CELLS:
-        held = np.zeros((len(sets), len(vocab)), np.float32)
-        held[np.repeat(np.arange(len(sets)), sizes), at] = 1
-        shared = np.rint(held[: len(probes)] @ held[len(probes) :].T).astype(np.int64)
-        union = sizes[: len(probes), None] + sizes[None, len(probes) :] - shared
-        return fits & (100 * shared >= percent * union)
+    if fits.sum() > len(sets) and sizes.sum() <= MATRIX_CELLS:
+        vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
+        if len(sets) * len(vocab) <= MATRIX_CELLS:
+            held = np.zeros((len(sets), len(vocab)), np.float32)
+            held[np.repeat(np.arange(len(sets)), sizes), at] = 1
+            shared = np.rint(held[: len(probes)] @ held[len(probes) :].T).astype(np.int64)
+            union = sizes[: len(probes), None] + sizes[None, len(probes) :] - shared
+            return fits & (100 * shared >= percent * union)
     out = np.zeros_like(fits)
     for i, j in zip(*np.nonzero(fits), strict=True):
         out[i, j] = _linked(probes[i], others[j], percent)
@@ -254,6 +273,18 @@ def _forest(percent: int):
     return run
 
 
+def _of_one_id(prepared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the texts that rows with one id have."""
+    several = prepared.filter("class is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
+    several = written(several.select("doc_id"))
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    texts = prepared.select("doc_id", "class").join(several, "doc_id").distinct().join(classes.select("class", "rep"), "class")
+    return texts.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+
+#: Pairs with one centre that share a copy of its set.
+PAIRS_A_SET = 1000
 #: Ids up to so many are broadcast to pick their texts where they lie; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -263,61 +294,82 @@ def _set_table(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     ids = written(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     rows = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["rep"]).select("rep", "text")
-    return written(rows.mapInArrow(_sets(k), "rep bigint, own binary"))
+    return written(mapped(rows, _sets(k), "rep bigint, own binary"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: documents are linked from ``percent`` hundredths of
     Jaccard similarity between their sets of ``shingle``-word shingles."""
+    bounded(docs.sparkSession)
     bands, rows = bands_for(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    prepared = written(texts.mapInArrow(_prepared(shingle, bands, rows), "doc_id bigint, n bigint, class binary, bands array<bigint>, sketch binary"))
+    prepared = written(mapped(texts, _prepared(shingle, bands, rows), "doc_id bigint, n bigint, class binary, bands array<bigint>, sketch binary"))
 
     classes = written(prepared.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
     chosen = classes.filter("rep is not null")
-    reps = written(prepared.join(chosen, (prepared["class"] == chosen["class"]) & (prepared["doc_id"] == chosen["rep"])).select("rep", "size", "n", "bands", "sketch").dropDuplicates(["rep"]))
+    reps = written(prepared.join(chosen, (prepared["class"] == chosen["class"]) & (prepared["doc_id"] == chosen["rep"])).select("rep", prepared["class"].alias("class"), "size", "n", "bands", "sketch").dropDuplicates(["rep", "class"]))
 
     # Buckets of two and more members, each with its centre.
-    keyed = reps.select("rep", "size", F.explode("bands").alias("key"))
+    keyed = written(reps.select("rep", "size", "n", F.explode("bands").alias("key")))
     buckets = keyed.groupBy("key").agg(F.max(F.struct("size", (-F.col("rep")).alias("r"))).alias("top"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = written(keyed.join(buckets, "key").select("key", "rep", (-F.col("top.r")).alias("centre"), "members"))
+    buckets = written(buckets.select("key", (-F.col("top.r")).alias("centre"), "members"))
+    members = written(joined_by_weight(keyed.select("key", "rep", "n"), buckets, "key", "members"))
 
     # Every member with its bucket's centre: sketches first, then full sets.
-    pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = written(members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     left, right = (reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    allowed = pairs.join(right, "b").join(left, "a").filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    allowed = written(allowed.mapInArrow(_allowed(most_differing(percent / 100)), "a bigint, b bigint"))
+    left = written(left.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")), "a"))
+    allowed = joined_by_weight(pairs.join(right, "b"), left, "a", "w").filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    allowed = written(mapped(allowed, _allowed(most_differing(percent / 100)), "a bigint, b bigint, w bigint").distinct())
     sets = _set_table(texts, allowed.select(F.col("a").alias("rep")).unionAll(allowed.select("b")), shingle)
-    own_a, own_b = (sets.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-    edges = written(allowed.join(own_b, "b").join(own_a, "a").select("a", "b", "own_a", "own_b").mapInArrow(_confirmed(percent), "a bigint, b bigint"))
+    # A centre's set goes out once for every so many of its members.
+    salts = F.ceil(F.col("w") / PAIRS_A_SET).cast("int")
+    own_b = sets.select(F.col("rep").alias("b"), F.col("own").alias("own_b"))
+    own_a = sets.select(F.col("rep").alias("a"), F.col("own").alias("own_a")).join(allowed.select("a", salts.alias("s")).distinct(), "a").select("a", "own_a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
+    salted = allowed.select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    edges = mapped(salted.join(own_b, "b").join(own_a, ["a", "salt"]).select("a", "b", "own_a", "own_b"), _confirmed(percent), "a bigint, b bigint")
+    edges = written(edges.unionByName(_of_one_id(prepared, classes)))
     found = written(components(edges))
 
     # What is left between components inside a bucket.
     label = found.select(F.col("node").alias("rep"), "component")
     of_centre = found.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-    placed = members.filter("members > 2").join(label, "rep", "left").join(of_centre, "centre", "left")
-    placed = placed.select("key", "rep", "centre", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "centre").alias("main"))
-    placed = written(placed.withColumn("probe", F.col("component") != F.col("main")))
-    sizes = placed.groupBy("key").agg(F.sum(F.col("probe").cast("long")).alias("probes"), F.count(F.lit(1)).alias("all")).filter("probes > 0")
+    larger = members.filter("members > 2").select("key", "rep", "n", "centre")
+    of_centre = written(larger.groupBy("centre").agg(F.count(F.lit(1)).alias("weight")).join(of_centre, "centre", "left"))
+    placed = joined_by_weight(larger, of_centre, "centre", "weight").join(label, "rep", "left")
+    placed = placed.select("key", "rep", "n", "centre", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "centre").alias("main"))
+    # Similar sets differ in size by less than one class: a probe meets its own class and the two beside it.
+    cls = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
+    placed = placed.filter("rep <> centre").withColumn("probe", F.col("component") != F.col("main")).withColumn("cls", cls)
+    placed = written(placed.select("key", "rep", "n", "component", "probe", "cls"))
+    count = placed.groupBy("key", "cls").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum(F.when(F.col("probe"), F.col("n"))).alias("pn"), F.count(F.lit(1)).alias("o"), F.sum("n").alias("on"))
+    count = written(count)
+    near = count.filter("p > 0").select("key", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])).alias("cls"), "p", "pn")
+    near = near.groupBy("key", "cls").agg(F.sum("p").alias("probes"), F.sum("pn").alias("pn"))
+    chunks = lambda rows, total: F.greatest(F.ceil(F.col(rows) / CHUNK), F.ceil(F.col(total) / CHUNK_SHINGLES)).cast("int")
+    slot = F.xxhash64("key", "cls").alias("slot")
+    sizes = written(near.join(count.select("key", "cls", "o", "on"), ["key", "cls"]).select(slot, "probes", chunks("probes", "pn").alias("is"), "o", chunks("o", "on").alias("js"), (F.col("probes") + F.col("o")).alias("weight")))
     # How often a member is in a block: a probe in each chunk of the others and the reverse.
-    dealt = placed.filter("rep <> centre").join(sizes, "key").join(reps.select("rep", "n", "bands", "sketch"), "rep")
-    of = lambda total: F.ceil(F.col(total) / CHUNK).cast("int")
-    own = lambda total: F.pmod(F.xxhash64("rep"), of(total)).cast("int")
-    span = lambda total: F.explode(F.sequence(F.lit(0), of(total) - 1))
-    as_probe = dealt.filter("probe").select("key", own("probes").alias("i"), span("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(True).alias("probe"))
-    as_other = dealt.select("key", span("probes").alias("i"), own("all").alias("j"), "rep", "component", "n", "bands", "sketch", F.lit(False).alias("probe"))
+    probes = placed.filter("probe").withColumn("cls", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])))
+    sided = written(probes.unionByName(placed.withColumn("probe", F.lit(False))).select(slot, "key", "rep", "component", "probe"))
+    dealt = joined_by_weight(sided, sizes, "slot", "weight").join(reps.select("rep", "n", "bands", "sketch"), "rep").filter("array_contains(bands, key)")
+    own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    span = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    whole_row = ("key", "rep", "component", "n", "bands", "sketch", "probe")
+    as_probe = dealt.filter("probe").select("slot", own("is").alias("i"), span("js").alias("j"), *whole_row)
+    as_other = dealt.filter("not probe").select("slot", span("is").alias("i"), own("js").alias("j"), *whole_row)
     # A block is small in bytes and large in work: it is dealt to a fixed number of tasks, not to as few as the bytes fill.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")]).repartition(tasks, "key", "i", "j")
-    screened = written(blocks.groupBy("key", "i", "j").applyInPandas(_screened(percent), BLOCK))
+    blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")]).repartition(tasks, "slot", "i", "j")
+    screened = written(blocks.groupBy("slot", "i", "j").applyInPandas(_screened(percent), BLOCK))
     if not screened.isEmpty():
         sets = _set_table(texts, screened.select("rep"), shingle)
-        more = screened.join(sets, "rep").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(_forest(percent), "a bigint, b bigint")
+        more = screened.join(sets, "rep").repartition(tasks, "slot", "i", "j").groupBy("slot", "i", "j").applyInPandas(_forest(percent), "a bigint, b bigint")
         found = written(components(edges.unionByName(written(more.distinct()))))
 
     named = found.select(F.col("node").alias("rep"), "component")
-    answer = classes.select("class", "rep").join(named, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    joined = prepared.select("doc_id", "n", "class").join(answer, "class", "left")
+    answer = written(classes.join(named, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"), "size"))
+    joined = joined_by_weight(prepared.select("doc_id", "n", "class"), answer, "class", "size", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -333,7 +385,7 @@ def _allowed(most: int):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
+                yield batch.select(["a", "b", "w"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
 
     return run
 

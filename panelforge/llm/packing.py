@@ -7,10 +7,11 @@ range-partitioned by that key and sorted; each partition lays their token ids en
 to end and cuts the line every ``length`` ids. Only the last sequence of a
 partition is not full: it is padded to the next power of two.
 
-The partition borders are quantiles of the keys of a hash sample whose size
-depends on the number of partitions only; every row is then dealt by its key. The
-low bits of the key are a hash of the id, so a large group of copies, which
-shares one place on the curve, is spread over partitions evenly.
+The partition borders are quantiles, weighted by length, of the keys of a sample of
+rows whose size depends on the number of partitions only; every row is then dealt
+by its key. The low bits of the key are a hash of the row's place in its input, so
+a large group of copies, which shares one place on the curve, is spread over
+partitions evenly, be their ids equal, null or not.
 
 Defined cases. Null text is empty: one end id. Rows with equal ids are documents
 of their own; a null id stays null. An empty table gives an empty result. Other
@@ -28,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SMALL_SLICE_BYTES, slices, table, words
+from panelforge.llm.common import SMALL_SLICE_BYTES, mapped, mixed, slices, table, words
 from panelforge.llm.tokens import encoder
 
 LENGTH, DIMENSIONS, DEPTH, BUCKETS, TIE_BITS = 1024, 4, 11, 1 << 14, 18
 #: Rows sampled for each partition border.
 SAMPLE_PER_PARTITION = 200
+#: For the borders a text counts once, and once more for each so many bytes.
+WEIGHT_BYTES = 2048
 
 
 def projection() -> np.ndarray:
@@ -80,19 +83,19 @@ def hilbert(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return key
 
 
-def keys(texts: pa.Array, doc_ids: pa.Array, matrix: np.ndarray) -> np.ndarray:
-    """The sort key of every document: its place on the curve, then a hash of its id."""
+def keys(texts: pa.Array, places: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The sort key of every document: its place on the curve, then a hash of its place in the input."""
     cells = np.minimum((vectors(texts, matrix) * (1 << DEPTH)).astype(np.int64), (1 << DEPTH) - 1)
-    tie = np.array([xxhash.xxh32_intdigest(str(d)) for d in doc_ids.to_pylist()], np.int64) & ((1 << TIE_BITS) - 1)
-    return hilbert(cells) << TIE_BITS | tie
+    return hilbert(cells) << TIE_BITS | (mixed(places) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
 
 
 def _keyed(borders: np.ndarray):
     def run(batches):
-        matrix = projection()
+        matrix, place = projection(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                key = keys(part.column("text"), part.column("doc_id"), matrix)
+                key = keys(part.column("text"), np.arange(place, place + part.num_rows, dtype=np.uint64), matrix)
+                place += part.num_rows
                 to = np.searchsorted(borders, key, side="right").astype(np.int32)
                 yield part.append_column("__key", pa.array(key)).append_column("__part", pa.array(to))
 
@@ -106,12 +109,13 @@ def along_curve(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     total = docs.select(F.lit(1)).count()
     share = min(1.0, n * SAMPLE_PER_PARTITION / max(1, total))
     schema = docs.select("doc_id", "text").withColumn("__key", F.lit(0).cast("long")).withColumn("__part", F.lit(0)).schema
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    found = sample.mapInArrow(_keyed(np.zeros(0, np.int64)), schema).select("__key")
+    sample = docs.select("doc_id", "text").sample(fraction=share, seed=20)
+    weight = F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / WEIGHT_BYTES))).alias("__of")
+    found = mapped(sample, _keyed(np.zeros(0, np.int64)), schema).select("__key", weight)
     quantiles = found.agg(F.percentile_approx("__key", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else None
     borders = np.array(quantiles or [], np.int64)
     schema = docs.withColumn("__key", F.lit(0).cast("long")).withColumn("__part", F.lit(0)).schema
-    return docs.mapInArrow(_keyed(borders), schema).repartitionById(n, "__part").sortWithinPartitions("__key", "doc_id", "text")
+    return mapped(docs, _keyed(borders), schema).repartitionById(n, "__part").sortWithinPartitions("__key", "doc_id", "text")
 
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -141,7 +145,7 @@ def _packed(length: int, path: str | None):
 def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return along_curve(rows, partitions).select("doc_id", "text").mapInArrow(_packed(length, path), PIECES)
+    return mapped(along_curve(rows, partitions).select("doc_id", "text"), _packed(length, path), PIECES, "tokens")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

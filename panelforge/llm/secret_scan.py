@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm.common import slices, table
+from panelforge.llm.common import mapped, slices, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-]+))""", re.I | re.A)
@@ -300,7 +300,7 @@ def _scan(batches):
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row; a map over the table, without a shuffle."""
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(_scan, SCHEMA)
+    return mapped(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), _scan, SCHEMA)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

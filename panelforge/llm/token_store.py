@@ -5,7 +5,7 @@ order of doc_id. Documents are range-partitioned by id; every partition writes
 shards, each a self-contained byte string (a row of a Parquet table in the shared
 folder, so commits, retries and any file system are Spark's business):
 
-    magic "PFB1", then uint32: documents, ids, block length, blocks
+    magic "PFB2", then uint32: documents, ids, block length, blocks, null doc ids (they stand first)
     int64 doc ids, uint32 ids of each document
     uint32 byte position of each block's start (one more for the end)
     blocks: uint32 minimum, uint8 width, uint16 exceptions; width bit planes
@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SMALL_SLICE_BYTES, shared_folder, slices, table
+from panelforge.llm.common import SMALL_SLICE_BYTES, mapped, shared_folder, slices, table
 from panelforge.llm.tokens import encoder
 
-MAGIC, BLOCK, SHARD_IDS, NULL_ID, END = b"PFB1", 1024, 1 << 18, -(1 << 63), 0
+MAGIC, BLOCK, SHARD_IDS, END = b"PFB2", 1024, 1 << 18, 0
 LEAST_SHARE = 0.9
 
 
@@ -96,28 +96,30 @@ def decode_blocks(body: bytes, starts: np.ndarray, n: int, size: int = BLOCK) ->
 
 def decode_block(shard: bytes, block: int) -> np.ndarray:
     """One block of a shard by its index, without reading the others."""
-    docs, n, size, count = struct.unpack_from("<4I", shard, 4)
-    at = 20 + 12 * docs
+    docs, n, size, count, _ = struct.unpack_from("<5I", shard, 4)
+    at = 24 + 12 * docs
     a, b = struct.unpack_from("<2I", shard, at + 4 * block)
     body = shard[at + 4 * (count + 1) :][a:b]
     return decode_blocks(body, np.array([0, b - a]), min(size, n - block * size), size)
 
 
-def pack_shard(doc_ids: list[int], documents: list[np.ndarray]) -> bytes:
+def pack_shard(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
+    """The bytes of a shard; null ids stand first."""
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
     body, starts = encode_blocks(ids)
-    head = MAGIC + struct.pack("<4I", len(doc_ids), len(ids), BLOCK, len(starts) - 1)
-    return b"".join((head, np.array(doc_ids, "<i8").tobytes(), np.array([len(d) for d in documents], "<u4").tobytes(), starts.astype("<u4").tobytes(), body))
+    nulls = sum(d is None for d in doc_ids)
+    head = MAGIC + struct.pack("<5I", len(doc_ids), len(ids), BLOCK, len(starts) - 1, nulls)
+    return b"".join((head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(d) for d in documents], "<u4").tobytes(), starts.astype("<u4").tobytes(), body))
 
 
-def unpack_shard(shard: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+def unpack_shard(shard: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """(doc ids, ids of each document) of a shard."""
     if shard[:4] != MAGIC:
         raise ValueError("not a shard of token ids")
-    docs, n, size, count = struct.unpack_from("<4I", shard, 4)
-    doc_ids = np.frombuffer(shard, "<i8", docs, 20)
-    lengths = np.frombuffer(shard, "<u4", docs, 20 + 8 * docs)
-    at = 20 + 12 * docs
+    docs, n, size, count, nulls = struct.unpack_from("<5I", shard, 4)
+    doc_ids = [None] * nulls + np.frombuffer(shard, "<i8", docs, 24).tolist()[nulls:]
+    lengths = np.frombuffer(shard, "<u4", docs, 24 + 8 * docs)
+    at = 24 + 12 * docs
     starts = np.frombuffer(shard, "<u4", count + 1, at)
     ids = decode_blocks(shard[at + 4 * (count + 1) :], starts, n, size)
     return doc_ids, np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
@@ -134,7 +136,7 @@ def _shards(path: str | None):
         for batch in batches:
             for cut in slices(batch, "text", SMALL_SLICE_BYTES):
                 for doc_id, ids in zip(cut.column("doc_id").to_pylist(), enc.encode(cut.column("text")), strict=True):
-                    doc_ids.append(NULL_ID if doc_id is None else doc_id)
+                    doc_ids.append(doc_id)
                     documents.append(np.append(ids, np.uint32(END)))
                     size += len(ids) + 1
                     if size >= SHARD_IDS:
@@ -153,7 +155,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, partitio
     """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order; one shuffle, by range of the id."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shards(path), SHARD_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(folder)
+    mapped(ordered, _shards(path), SHARD_SCHEMA, "tokens").write.mode("overwrite").option("compression", "none").parquet(folder)
 
 
 def _documents(batches):
@@ -163,7 +165,7 @@ def _documents(batches):
             lengths = np.array([len(d) for d in documents], np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([None if d == NULL_ID else d for d in doc_ids.tolist()], pa.int64()),
+                    "doc_id": pa.array(doc_ids, pa.int64()),
                     "part": pa.array([part] * len(documents), pa.int32()),
                     "start": pa.array(first + np.cumsum(lengths) - lengths),
                     "n_tokens": pa.array(lengths),
@@ -177,7 +179,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
     sizes = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1))]).tolist()
-    found = shards.mapInArrow(_documents, "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = mapped(shards, _documents, "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint")
     base = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("part") + 1)
     return found.select("doc_id", (F.col("start") + base).alias("start"), "n_tokens", "ids_crc32")
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from panelforge.llm.common import _coded, solid
+from panelforge.llm.common import KEPT, _coded, solid
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A space that does not open a part: at the end or before white space (a wide reading of the latter).
@@ -123,6 +123,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str | None = None) -> Encoder:

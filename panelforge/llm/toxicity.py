@@ -8,8 +8,8 @@ weights to exactly zero, so the model is a short list of (bucket, weight) pairs
 that is broadcast whatever the size of the corpus. Scoring is a map over whole
 texts without a shuffle.
 
-The fit uses a sample of labelled rows bounded by ``max_rows`` (chosen by a hash
-of the id); the feature hashing is done on the executors.
+The fit uses a sample of labelled rows bounded by ``max_rows`` and ``max_bytes``
+(chosen by a hash of the id); the feature hashing is done on the executors.
 
 Defined cases. Null or empty text: the score of the intercept. Without labelled
 rows every score is 0 (predicted 0). Contradicting labels of one id both count.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Words, held_out, slices, table, whole, words
+from panelforge.llm.common import Words, held_out, mapped, slices, table, whole, words, written
 
 BITS = 20
 STEMS = (4, 5)  # a longer word also counts under its first letters, so that inflected and compound words share a weight
@@ -43,24 +43,44 @@ def _hashes(vocab: list[str]) -> np.ndarray:
     return np.array([[xxhash.xxh64_intdigest(w) | 1 if w else 0 for w in form] for form in forms], np.uint64)
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every word, stem, neighbouring pair and skip-gram, with repeats."""
+#: Words whose features are worked out at a time.
+STRETCH = 1 << 17
+
+
+def features(w: Words, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The distinct (text << BITS | bucket) of all words, stems, neighbouring pairs and skip-grams, sorted; with
+    ``wanted`` only those buckets where it is not 0. Long texts are gone through in stretches, so that the room needed
+    is that of the result."""
     if not len(w.codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     h, *stems = _hashes(w.vocab)
-    codes, rows = w.codes, w.rows
-    real = h[codes] != 0
-    codes, rows = codes[real], rows[real]
-    out_rows, out = [rows], [h[codes]]
-    for stem in stems:
-        longer = stem[codes] != 0
-        out_rows.append(rows[longer])
-        out.append(stem[codes[longer]])
-    for gap, salt in ((1, PAIR), (2, SKIP)):
-        same = rows[gap:] == rows[:-gap]
-        out_rows.append(rows[gap:][same])
-        out.append((h * salt)[codes[:-gap][same]] + h[codes[gap:][same]])
-    return np.concatenate(out_rows), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
+    first = [h * PAIR, h * SKIP]
+    real = h[w.codes] != 0
+    codes, rows = w.codes[real].astype(np.int32), w.rows[real].astype(np.int32)
+    out = [np.zeros(0, np.int64)]
+
+    def take(text: np.ndarray, hashed: np.ndarray) -> None:
+        bucket = (hashed >> np.uint64(64 - BITS)).astype(np.int64)
+        if wanted is not None:
+            hit = wanted[bucket] != 0
+            text, bucket = text[hit], bucket[hit]
+        found.append(text.astype(np.int64) << BITS | bucket)
+
+    for at in range(0, len(codes), STRETCH):
+        c, r = codes[at : at + STRETCH + 2], rows[at : at + STRETCH + 2]
+        found: list[np.ndarray] = []
+        own = slice(0, STRETCH)
+        take(r[own], h[c[own]])
+        for stem in stems:
+            hashed = stem[c[own]]
+            longer = hashed != 0
+            take(r[own][longer], hashed[longer])
+        for gap, salted in zip((1, 2), first, strict=True):
+            a, b = c[: len(c) - gap][own], c[gap:][own]
+            same = r[: len(r) - gap][own] == r[gap:][own]
+            take(r[gap:][own][same], salted[a[same]] + h[b[same]])
+        out.append(np.unique(np.concatenate(found)))
+    return np.unique(np.concatenate(out)) if len(out) > 2 else out[-1]
 
 
 class FtrlProximal:
@@ -106,22 +126,25 @@ def fit(examples: list[tuple[np.ndarray, int]], rounds: int = 4, **rates) -> tup
 def _featurised(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            rows, buckets = features(words(part.column("text")))
-            pairs = np.unique(rows << BITS | buckets)
+            pairs = features(words(part.column("text")))
             ends = np.searchsorted(pairs, np.arange(1, part.num_rows + 1) << BITS)
             lists = np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), ends[:-1])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "toxic", "buckets"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **rates) -> tuple[float, np.ndarray, np.ndarray]:
-    """Fits on about ``max_rows`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_bytes: int = 256 << 20, **rates) -> tuple[float, np.ndarray, np.ndarray]:
+    """Fits on about ``max_rows`` labelled rows outside the held-out fold, and on fewer where their buckets (4 bytes
+    for each distinct one of a text) would take more than about ``max_bytes`` on the driver."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out())
     total = marked.count()
     if not total:
         return -50.0, np.zeros(0, np.int64), np.zeros(0)
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, max_rows / total) * 1_000_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(_featurised, "doc_id bigint, toxic int, buckets binary").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    found = written(mapped(rows, _featurised, "doc_id bigint, toxic int, buckets binary"))
+    if (room := found.agg(F.sum(F.octet_length("buckets")).alias("n")).first()["n"] or 0) > max_bytes:
+        found = found.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < max_bytes / room * 1_000_000)
+    got = found.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     # Views of the received buffers: the sample is held once, as 32-bit buckets.
     views = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in got.column("buckets")]
     model = fit(list(zip(views, got.column("toxic").to_pylist(), strict=True)), **rates)
@@ -140,9 +163,7 @@ class Scorer:
         self.dense[buckets] = weights
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        rows, found = features(words(texts))
-        hit = self.dense[found] != 0
-        pairs = np.unique(rows[hit] << BITS | found[hit])
+        pairs = features(words(texts), self.dense)
         total = self.intercept + np.bincount(pairs >> BITS, self.dense[pairs & ((1 << BITS) - 1)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
@@ -159,7 +180,7 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> Data
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
@@ -172,7 +193,7 @@ def without_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray],
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(scorer.scores(part.column(text_col)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
