@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,7 +57,6 @@ def _tidy(keep: str) -> None:
             _LIBC.mallopt(-3, 1 << 20)  # blocks from 1 MB have pages of their own, which go back when freed
             _LIBC.mallopt(-1, 8 << 20)  # and so does the end of the heap beyond 8 MB
             pa.set_memory_pool(pa.system_memory_pool())
-        gc.collect()
         _LIBC.malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to tune
         pass
@@ -74,13 +72,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, run, schema, keep: str = "") -> DataFrame:
-    """``df.mapInArrow`` with bounded batches, in workers that give memory back before and after a partition."""
+    """``df.mapInArrow`` with bounded batches, in workers that give memory back before each partition."""
     bounded(df.sparkSession)
 
     def tidied(batches):
         _tidy(keep)
         yield from run(batches)
-        _tidy(keep)
 
     return df.mapInArrow(tidied, schema)
 

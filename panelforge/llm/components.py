@@ -18,8 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m"))
     links = near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return links.unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()

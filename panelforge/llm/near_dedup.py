@@ -116,7 +116,7 @@ def _prepared(k: int, bands: int, rows: int):
                 for own in sets:
                     if not len(own):
                         keys.append([])
-                        marks.append(b"")
+                        marks.append([])
                         classes.append(None)
                         continue
                     sample = samples(own)
@@ -124,10 +124,10 @@ def _prepared(k: int, bands: int, rows: int):
                     for i in range(rows):
                         band = mixed(band + sample[i : bands * rows : rows])
                     keys.append(band.view(np.int64))
-                    marks.append(sketch(sample))
+                    marks.append(np.frombuffer(sketch(sample), np.int64))
                     classes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "class", "bands", "sketch"],
                 )
 
@@ -168,8 +168,6 @@ def _confirmed(percent: int):
 
 
 def _matrix(block: pd.DataFrame, column: str) -> np.ndarray:
-    if column == "sketch":
-        return np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(block), -1)
     return np.array([np.asarray(x) for x in block[column]], np.int64).reshape(len(block), -1)
 
 
@@ -184,7 +182,7 @@ def _possible(probes: pd.DataFrame, others: pd.DataFrame, percent: int) -> np.nd
     p, o = _matrix(probes, "bands"), _matrix(others, "bands")
     for band in range(int(np.flatnonzero(p[0] == probes["key"].iloc[0])[0])):
         fits &= p[:, band, None] != o[None, :, band]
-    p, o = _matrix(probes, "sketch"), _matrix(others, "sketch")
+    p, o = _matrix(probes, "sketch").view(np.uint64), _matrix(others, "sketch").view(np.uint64)  # signed numbers are counted without their sign
     for at in range(0, len(p), 64):
         rows = slice(at, at + 64)
         if fits[rows].any():
@@ -192,7 +190,7 @@ def _possible(probes: pd.DataFrame, others: pd.DataFrame, percent: int) -> np.nd
     return fits
 
 
-BLOCK = "slot bigint, i int, j int, key bigint, rep bigint, component bigint, n bigint, bands array<bigint>, sketch binary, probe boolean"
+BLOCK = "slot bigint, i int, j int, key bigint, rep bigint, component bigint, n bigint, bands array<bigint>, sketch array<bigint>, probe boolean"
 
 
 def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -275,7 +273,7 @@ def _forest(percent: int):
 
 def _of_one_id(prepared: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the representatives of the texts that rows with one id have."""
-    several = prepared.filter("class is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
+    several = prepared.filter("class is not null and doc_id is not null").withColumn("h", F.xxhash64("class")).groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y")
     several = written(several.select("doc_id"))
     if several.isEmpty():
         return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
@@ -283,8 +281,8 @@ def _of_one_id(prepared: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
-#: Pairs with one centre that share a copy of its set.
-PAIRS_A_SET = 1000
+#: Members of a bucket that share a copy of its centre's sketch and set.
+PAIRS_A_COPY = 1000
 #: Ids up to so many are broadcast to pick their texts where they lie; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -303,31 +301,33 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     bounded(docs.sparkSession)
     bands, rows = bands_for(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    prepared = written(mapped(texts, _prepared(shingle, bands, rows), "doc_id bigint, n bigint, class binary, bands array<bigint>, sketch binary"))
+    prepared = written(mapped(texts, _prepared(shingle, bands, rows), "doc_id bigint, n bigint, class binary, bands array<bigint>, sketch array<bigint>"))
 
     classes = written(prepared.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
     chosen = classes.filter("rep is not null")
     reps = written(prepared.join(chosen, (prepared["class"] == chosen["class"]) & (prepared["doc_id"] == chosen["rep"])).select("rep", prepared["class"].alias("class"), "size", "n", "bands", "sketch").dropDuplicates(["rep", "class"]))
 
     # Buckets of two and more members, each with its centre.
-    keyed = written(reps.select("rep", "size", "n", F.explode("bands").alias("key")))
+    keyed = reps.select("rep", "size", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.max(F.struct("size", (-F.col("rep")).alias("r"))).alias("top"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = written(buckets.select("key", (-F.col("top.r")).alias("centre"), "members"))
     members = written(joined_by_weight(keyed.select("key", "rep", "n"), buckets, "key", "members"))
 
     # Every member with its bucket's centre: sketches first, then full sets.
-    pairs = written(members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    # The larger the bucket, the more copies of its centre's sketch and set its pairs are dealt to.
+    copies = F.ceil(F.max("members") / PAIRS_A_COPY).cast("int").alias("copies")
+    pairs = members.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(copies).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    pairs = written(pairs)
     left, right = (reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    left = written(left.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")), "a"))
-    allowed = joined_by_weight(pairs.join(right, "b"), left, "a", "w").filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    allowed = written(mapped(allowed, _allowed(most_differing(percent / 100)), "a bigint, b bigint, w bigint").distinct())
+    copied = lambda ids, own: own.join(ids.select("a", "copies").distinct(), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    differing = " + ".join(f"bit_count(s_a[{i}] ^ s_b[{i}])" for i in range(SKETCH_BITS // 64))
+    allowed = pairs.join(right, "b").join(copied(pairs, left), ["a", "copies", "copy"])
+    allowed = allowed.filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {differing} <= {most_differing(percent / 100)}"))
+    allowed = written(allowed.select("a", "b", "copies", "copy").distinct())
     sets = _set_table(texts, allowed.select(F.col("a").alias("rep")).unionAll(allowed.select("b")), shingle)
-    # A centre's set goes out once for every so many of its members.
-    salts = F.ceil(F.col("w") / PAIRS_A_SET).cast("int")
-    own_b = sets.select(F.col("rep").alias("b"), F.col("own").alias("own_b"))
-    own_a = sets.select(F.col("rep").alias("a"), F.col("own").alias("own_a")).join(allowed.select("a", salts.alias("s")).distinct(), "a").select("a", "own_a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
-    salted = allowed.select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
-    edges = mapped(salted.join(own_b, "b").join(own_a, ["a", "salt"]).select("a", "b", "own_a", "own_b"), _confirmed(percent), "a bigint, b bigint")
+    own_a, own_b = (sets.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    edges = allowed.join(own_b, "b").join(copied(allowed, own_a), ["a", "copies", "copy"])
+    edges = mapped(edges.select("a", "b", "own_a", "own_b"), _confirmed(percent), "a bigint, b bigint")
     edges = written(edges.unionByName(_of_one_id(prepared, classes)))
     found = written(components(edges))
 
@@ -351,7 +351,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     sizes = written(near.join(count.select("key", "cls", "o", "on"), ["key", "cls"]).select(slot, "probes", chunks("probes", "pn").alias("is"), "o", chunks("o", "on").alias("js"), (F.col("probes") + F.col("o")).alias("weight")))
     # How often a member is in a block: a probe in each chunk of the others and the reverse.
     probes = placed.filter("probe").withColumn("cls", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])))
-    sided = written(probes.unionByName(placed.withColumn("probe", F.lit(False))).select(slot, "key", "rep", "component", "probe"))
+    sided = probes.unionByName(placed.withColumn("probe", F.lit(False))).select(slot, "key", "rep", "component", "probe")
     dealt = joined_by_weight(sided, sizes, "slot", "weight").join(reps.select("rep", "n", "bands", "sketch"), "rep").filter("array_contains(bands, key)")
     own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
     span = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -380,16 +380,6 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
 
 
-def _allowed(most: int):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
-                yield batch.select(["a", "b", "w"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
-
-    return run
-
-
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 

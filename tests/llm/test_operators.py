@@ -423,6 +423,14 @@ def test_near_copies_agree_with_brute_force(spark):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (5, b + " x"), (7, a + " x"), (9, c), (9, None), (12, c + " x"), (20, a + " y"), (20, c + " y"), (30, sentence(rng, 60))]
+    got = {(r["doc_id"], r["n_shingles"] > 0): r["component_id"] for r in near_dedup.near_groups(documents(spark, rows), 3, 85).collect()}
+    assert got == {**{(i, True): 1 for i in (1, 5, 7, 9, 12, 20)}, (9, False): 9, (30, True): 30}
+
+
 def test_near_copies_of_odd_rows(spark):
     docs = documents(spark, ODD)
     assert near_dedup.near_groups(docs).count() == len(ODD)
