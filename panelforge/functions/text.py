@@ -57,12 +57,12 @@ def ticker_in_title(title: Column) -> Column:
 
 
 def ticker_in_text(text: Column, prefix: int = 1000) -> Column:
-    """By the first pattern with a match that is not a stop word; the head of a transcript names its company."""
+    """By the first pattern with a match of two to five letters that is not a stop word; the head of a transcript names its company."""
     head = F.substring(F.trim(text), 1, prefix)
     found = []
     for p in TICKER_PATTERNS:
         hits = F.transform(F.regexp_extract_all(head, F.lit(f"(?i){p}"), 1), F.upper)
-        fits = F.filter(hits, lambda h: h.rlike("^[A-Z]{1,5}$") & ~h.isin(*NEVER_TICKERS))
+        fits = F.filter(hits, lambda h: h.rlike("^[A-Z]{2,5}$") & ~h.isin(*NEVER_TICKERS))
         found.append(F.try_element_at(fits, F.lit(1)))
     return F.coalesce(*found)
 

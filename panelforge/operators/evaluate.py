@@ -43,14 +43,20 @@ def hac_tstat(series: DataFrame, value: str, order: str, lags: int = 5) -> DataF
 
 
 def row_pnl(df: DataFrame, f: str = "f", r: str = "r", cap: float = 3.0, least: int = 10, eps: float = 1e-6, keys: Keys = KEYS) -> DataFrame:
-    """(time, pnl): z-scored, capped, demeaned factor at unit gross exposure times the return; null below ``least`` names."""
+    """(time, pnl): factor z-scored over all names that have one and capped; of the names with a return too, demeaned, at
+    unit gross exposure, times the return. Null below ``least`` such names."""
     c = keys.cross()
-    df = df.filter(F.col(f).isNotNull() & F.col(r).isNotNull())
-    df = df.withColumns({"__m": F.avg(f).over(c), "__s": F.stddev_samp(f).over(c), "__n": F.count(f).over(c)})
-    df = df.withColumn("__z", F.when(F.col("__s") > eps, clip((F.col(f) - F.col("__m")) / F.col("__s"), F.lit(-cap), F.lit(cap))))
+    df = df.withColumns({"__m": F.avg(f).over(c), "__s": F.stddev_samp(f).over(c)})
+    z = F.when(F.col("__s") > eps, clip((F.col(f) - F.col("__m")) / F.col("__s"), F.lit(-cap), F.lit(cap)))
+    df = df.withColumn("__z", F.when(F.col(f).isNotNull() & F.col(r).isNotNull(), z))
     df = df.withColumn("__w", F.col("__z") - F.avg("__z").over(c))
     gross = F.sum(F.abs("__w"))
-    return df.groupBy(keys.time).agg(F.when(F.first("__n") >= least, F.try_divide(F.sum(F.col("__w") * F.col(r)), nonzero(gross))).alias("pnl"))
+    return df.groupBy(keys.time).agg(F.when(F.count("__z") >= least, F.try_divide(F.sum(F.col("__w") * F.col(r)), nonzero(gross))).alias("pnl"))
+
+
+def without_jumps(r: Column, most: float = 1.0) -> Column:
+    """Returns beyond +-``most`` and missing ones as 0."""
+    return F.when(F.abs(r) > most, 0.0).otherwise(F.coalesce(r, F.lit(0.0)))
 
 
 def without_spikes(x: Column, most: float = 0.5) -> Column:

@@ -9,6 +9,7 @@ adding 0.0 turns -0.0 into 0.0.
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,10 +203,11 @@ PANEL_SQL = BARS_SQL + f""", z AS (SELECT *, CASE WHEN count(close) OVER {frame(
 panel AS (SELECT ticker, ts, close, (z - avg(z) OVER {CROSS}) / nullif(stddev_samp(z) OVER {CROSS}, 0) AS f, lead(close, 1) OVER {SERIES} / close - 1 AS r FROM z),
 ic AS (SELECT ts, CASE WHEN count(*) > 2 AND NOT isnan(corr(f, r)) THEN corr(f, r) END AS ic, count(*) AS n FROM panel WHERE f IS NOT NULL AND r IS NOT NULL GROUP BY ts)
 """
-PNL_SQL = PANEL_SQL + f""", s AS (SELECT *, avg(f) OVER {CROSS} AS m, stddev_samp(f) OVER {CROSS} AS sd, count(*) OVER {CROSS} AS n FROM panel WHERE f IS NOT NULL AND r IS NOT NULL),
+PNL_SQL = PANEL_SQL + f""", s AS (SELECT *, avg(f) OVER {CROSS} AS m, stddev_samp(f) OVER {CROSS} AS sd FROM panel WHERE f IS NOT NULL),
 w AS (SELECT *, CASE WHEN sd > 1e-6 THEN least(greatest((f - m) / sd, -3), 3) END AS z FROM s),
-u AS (SELECT *, z - avg(z) OVER {CROSS} AS w FROM w),
-pnl AS (SELECT ts, CASE WHEN first(n) >= 10 THEN sum(w * r) / nullif(sum(abs(w)), 0) END AS pnl FROM u GROUP BY ts)
+v AS (SELECT * FROM w WHERE z IS NOT NULL AND r IS NOT NULL),
+u AS (SELECT *, z - avg(z) OVER {CROSS} AS w FROM v),
+pnl AS (SELECT ts, CASE WHEN count(u.w) >= 10 THEN sum(u.w * u.r) / nullif(sum(abs(u.w)), 0) END AS pnl FROM (SELECT DISTINCT ts FROM panel) LEFT JOIN u USING (ts) GROUP BY ts)
 """
 
 
@@ -295,10 +297,11 @@ def quantile_portfolio(spark, sf_dir):
 
 # ---- portfolio ---------------------------------------------------------------------------
 
-GAUSS = "(CASE WHEN u < 0.5 THEN -1 ELSE 1 END) * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))))"
+#: Exact quantiles of (rank - 0.5) / n for average ranks of up to 25 names, from the standard library.
+GAUSS = "(VALUES " + ", ".join(f"({n}, {k}, {max(-3.0, min(3.0, NormalDist().inv_cdf((k / 2 - 0.5) / n)))!r})" for n in range(2, 26) for k in range(2, 2 * n + 1)) + ") g(n, k, z)"
 
 
-@query("gaussianize", BARS_SQL + f", k AS (SELECT ticker, ts, least(greatest((rank() OVER (PARTITION BY ts ORDER BY volume) + (count(*) OVER (PARTITION BY ts, volume) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY ts), 1e-6), 1 - 1e-6) AS u, count(*) OVER (PARTITION BY ts) AS n FROM bars), t AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM k) SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n <= 1 THEN 0 ELSE least(greatest({GAUSS}, -3), 3) END + 1e-8, 6) + 0.0 AS z FROM t")
+@query("gaussianize", BARS_SQL + f", k AS (SELECT ticker, ts, 2 * rank() OVER (PARTITION BY ts ORDER BY volume) + count(*) OVER (PARTITION BY ts, volume) - 1 AS k, count(*) OVER (PARTITION BY ts) AS n FROM bars) SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN k.n <= 1 THEN 0 ELSE g.z END + 1e-8, 6) + 0.0 AS z FROM k LEFT JOIN {GAUSS} ON k.n = g.n AND k.k = g.k")
 def gaussianize(spark, sf_dir):
     return P.gaussianised(weekly_bars(spark, sf_dir), "volume", "z").select("ticker", F.expr(DAY), r6("z").alias("z"))
 
@@ -322,9 +325,9 @@ def shifted_weights(spark, sf_dir):
     return compiled(factor_panel(spark, sf_dir), {"weight": call("coalesce", call("delay", "f", 2), 0.0)}).select("ticker", F.expr(DAY), r6("weight").alias("weight"))
 
 
-@query("jump_clean", PANEL_SQL + "SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN abs(r) > 1 THEN 0 ELSE r END + 1e-8, 6) + 0.0 AS r FROM panel")
+@query("jump_clean", PANEL_SQL + "SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN r IS NULL OR abs(r) > 1 THEN 0 ELSE r END + 1e-8, 6) + 0.0 AS r FROM panel")
 def jump_clean(spark, sf_dir):
-    return factor_panel(spark, sf_dir).select("ticker", F.expr(DAY), r6(F.when(F.abs("r") > 1, 0.0).otherwise(F.col("r"))).alias("r"))
+    return factor_panel(spark, sf_dir).select("ticker", F.expr(DAY), r6(E.without_jumps(F.col("r"))).alias("r"))
 
 
 @query("long_short", PANEL_SQL + f", v AS (SELECT *, var_samp(r) OVER {frame(12)} AS v FROM panel), k AS (SELECT * FROM v WHERE f IS NOT NULL AND v > 0), d AS (SELECT *, (f - sum(f / v) OVER {CROSS} / sum(1 / v) OVER {CROSS}) / v AS d FROM k), e AS (SELECT *, least(0.1 / nullif(sqrt(sum(d * d * v) OVER {CROSS}), 0), 2.0 / nullif(sum(abs(d)) OVER {CROSS}, 0), 1.0 / nullif(max(abs(d)) OVER {CROSS}, 0)) AS c FROM d) SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(d * c + 1e-8, 6) + 0.0 AS weight FROM e")

@@ -41,7 +41,7 @@ def factor_report(panel: DataFrame, factors: dict[str, object], r: str, periods:
     kept = distinct_factors(factors)
     wide = compiled(panel.select(*panel.columns), kept, keys)
     stacked = wide.select(keys.time, keys.entity, F.col(r).alias("__r"), F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), finite(F.col(n)).alias("f")) for n in kept])).alias("p"))
-    rows = stacked.select(keys.time, keys.entity, "__r", "p.factor", "p.f").filter("f is not null and __r is not null")
+    rows = stacked.select(keys.time, keys.entity, "__r", "p.factor", "p.f").filter("f is not null")
     by = Keys(keys.entity, "__at")
     rows = rows.withColumn("__at", F.struct("factor", keys.time))
     ic = evaluate.information_coefficients(rows, "f", "__r", by).select("__at.factor", F.col(f"__at.{keys.time}").alias("t"), "ic")

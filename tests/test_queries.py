@@ -57,14 +57,14 @@ def test_the_matrix_of_all_tickers_has_every_name_and_week(spark, duck):
 def test_transcript_tickers_agree_with_brute_force(spark, tmp_path):
     from panelforge.functions import text as X
 
-    planted = ["Acme Corp (NASDAQ: ACME) call", "nyse: ibm results", "see (NYSE:THE) and (NYSE:GE) now", "Ticker: msft here", "symbol AAPL", "(ABCDEF) (AB)", "  " + "x " * 499 + "(NYSE: LATE)", "", None]
+    planted = ["Acme Corp (NASDAQ: ACME) call", "Acme Corp (a) then (XYZ)", "nyse: ibm results", "see (NYSE:THE) and (NYSE:GE) now", "Ticker: msft here", "symbol AAPL", "(ABCDEF) (AB)", "  " + "x " * 499 + "(NYSE: LATE)", "", None]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs.unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
 
     def brute(t):
         for p in X.TICKER_PATTERNS:
             for hit in re.findall(p, (t or "").strip(" ")[:1000], re.I):
-                if re.fullmatch("[A-Z]{1,5}", hit.upper()) and hit.upper() not in X.NEVER_TICKERS:
+                if re.fullmatch("[A-Z]{2,5}", hit.upper()) and hit.upper() not in X.NEVER_TICKERS:
                     return hit.upper()
         return None
 
