@@ -208,8 +208,8 @@ def fillna_ts(x, method="ffill", keys: Keys = KEYS):
 
 def cs_rank(x, keys: Keys = KEYS):
     """Percentile rank over the names of a time, ties averaged, nulls kept."""
-    below = F.rank().over(keys.cross().orderBy(x.asc_nulls_last()))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(keys.time, x))
+    ordered = keys.cross().orderBy(x.asc_nulls_last())
+    below, tied = F.rank().over(ordered), F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), (below + (tied - 1) / 2) / F.count(x).over(keys.cross()))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from panelforge.functions.panel import KEYS, Keys, nonzero
 from panelforge.operators.asof import micros
 from panelforge.operators.kernels import ewm
+from panelforge.operators.ranks import counted, with_below
 
 LEVELS = 10
 
@@ -115,12 +116,10 @@ def month_split(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
 
 
 def rank_transform(df: DataFrame, column: str, train: DataFrame, new: str) -> DataFrame:
-    """Share of the training values strictly below: by a running count over distinct values, joined as-of."""
-    counts = train.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    """Share of the training values strictly below, by counts of the values of both tables; null for a null value."""
+    counts = counted(train, column).unionByName(counted(df, column).withColumn("c", F.lit(0).cast("long")))
+    counts = counts.groupBy(column).agg(F.sum("c").alias("c"))
+    below = with_below(counts, column).select(F.col(column).alias("__v"), F.col("below").alias("__below"))
     n = train.agg(F.count(column).alias("__total"))
-    both = df.select(F.struct(*df.columns).alias("row"), F.col(column).alias("v"), F.lit(0).alias("c")).unionByName(counts.select(F.lit(None).cast(df.schema).alias("row"), "v", "c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at = Window.partitionBy("v")
-    below = F.sum("c").over(w) - F.sum("c").over(at)
-    out = both.withColumn("__below", below).filter("row is not null").crossJoin(F.broadcast(n))
-    return out.select("row.*", F.try_divide(F.col("__below"), nonzero(F.col("__total"))).alias(new))
+    out = df.join(below, F.col(column) == F.col("__v"), "left").crossJoin(F.broadcast(n))  # one row
+    return out.select(*df.columns, F.try_divide(F.col("__below"), nonzero(F.col("__total"))).alias(new))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from panelforge.functions.factor import clip, cs_rank
 from panelforge.functions.panel import KEYS, Keys, correlation, nonzero
+from panelforge.operators.ranks import average_ranks
 
 PERIODS = 3276
 Z95 = 1.959963984540054
@@ -89,18 +90,15 @@ def lagged_dot(df: DataFrame, signal: str, returns: str, lags: list[int], keys:
 
 def cross_lag_rank_ic(df: DataFrame, f: str, r: str, lags: list[int], least: int = 10, keys: Keys = KEYS) -> DataFrame:
     """(lag, ic, n): Spearman correlation of the shifted factor and the return, pooled over all rows. Ranks come from
-    counts by value and a running sum over values, so no task ranks all rows."""
+    counts by value (``ranks.average_ranks``), so no task ranks all rows."""
     s = keys.series()
     wide = df.withColumns({f"__f{k}": F.lag(f, k).over(s) for k in lags})
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__f{k}").alias("f")) for k in lags]))
     rows = wide.select(F.col(r).alias("r"), pairs.alias("p")).select("p.lag", "p.f", "r").filter("f is not null and r is not null")
 
-    def average_rank(column: str) -> DataFrame:
-        counts = rows.groupBy("lag", column).agg(F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy("lag").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.select("lag", column, (F.sum("c").over(w) - (F.col("c") - 1) / 2).alias(f"rank_{column}"))
-
-    ranked = rows.join(average_rank("f"), ["lag", "f"]).join(average_rank("r"), ["lag", "r"])
+    for column in ("f", "r"):
+        rows = rows.join(average_ranks(rows, column, ["lag"]).withColumnRenamed("rank", f"rank_{column}"), ["lag", column])
+    ranked = rows
     g = ranked.groupBy("lag").agg(correlation("rank_f", "rank_r").alias("c"), F.count(F.lit(1)).alias("n"))
     return g.select("lag", F.when(F.col("n") >= least, F.col("c")).otherwise(0.0).alias("ic"), "n")
 

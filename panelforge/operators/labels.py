@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.panel import correlation, nonzero
+from panelforge.operators.ranks import quantiles
 
 
 def three_classes(r: Column, low: float = -0.01, high: float = 0.01) -> Column:
@@ -42,7 +43,8 @@ def embargo_split(df: DataFrame, time: str, label_end: str, cutoff: str, embargo
     cut = F.lit(cutoff).cast("timestamp")
     usable = F.col(label_end).cast("timestamp") < cut - F.expr(f"INTERVAL {embargo_hours} HOURS")
     seconds = F.col(time).cast("timestamp").cast("double")
-    border = df.filter(usable & (F.col(time).cast("timestamp") < cut)).agg(F.percentile(seconds, 1 - valid_share).alias("__border"))
+    border = df.filter(usable & (F.col(time).cast("timestamp") < cut))
+    border = quantiles(border.select(seconds.alias("s")), "s", [1 - valid_share]).select(F.col("edges")[0].alias("__border"))
     out = df.crossJoin(F.broadcast(border))  # one row
     split = F.when(F.col(time).cast("timestamp") >= cut, "test").when(usable & (seconds >= F.col("__border")), "valid").when(usable & (F.col(label_end).cast("timestamp").cast("double") < F.col("__border")), "train")
     return out.withColumn("split", split).drop("__border")
@@ -56,9 +58,16 @@ def rolling_folds(spark, start: str, end: str, first_years: int = 4, months: int
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Adds fold 0..k-1: rows of each label dealt in turn, in order of a hash of the key."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    """Adds fold 0..k-1: rows of each label dealt in turn, in order of a hash of the key. The rows are numbered in ranges
+    of the hash, and the ranges' sizes added up."""
+    hashed = F.xxhash64(key)
+    at = Window.partitionBy(label, "__range").orderBy("__hash", key)
+    df = df.withColumn("__hash", hashed).withColumn("__range", F.shiftright("__hash", 56))
+    sizes = df.groupBy(label, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    lower = Window.partitionBy(label).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__lower"))
+    df = df.join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
+    return df.withColumn("fold", F.pmod(F.col("__lower") + F.row_number().over(at) - 1, F.lit(k))).drop("__hash", "__range", "__label", "__r", "__lower")
 
 
 def scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
@@ -68,7 +77,7 @@ def scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
 
 
 def winsorised(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    edges = df.agg(F.percentile(column, [low, high]).alias("__e"))
+    edges = quantiles(df, column, [low, high]).withColumnRenamed("edges", "__e")
     x = F.col(column)
     return df.crossJoin(F.broadcast(edges)).withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.col("__e")[0]), F.col("__e")[1]))).drop("__e")
 

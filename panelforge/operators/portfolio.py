@@ -46,7 +46,8 @@ def inverse_normal(u: Column) -> Column:
 def gaussianised(df: DataFrame, x: str, new: str, cap: float = 3.0, keys: Keys = KEYS) -> DataFrame:
     """Average ranks of each time as normal quantiles of (rank - 0.5) / n, capped; 0 for a single name."""
     c = keys.cross()
-    rank = F.rank().over(c.orderBy(F.col(x).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(keys.time, x)) - 1) / 2
+    ordered = c.orderBy(F.col(x).asc_nulls_last())
+    rank = F.rank().over(ordered) + (F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     df = df.withColumns({"__n": F.count(x).over(c), "__rank": rank})
     u = F.least(F.greatest((F.col("__rank") - 0.5) / F.col("__n"), F.lit(1e-6)), F.lit(1 - 1e-6))
     z = F.when(F.col("__n") <= 1, F.col(x) * 0).otherwise(clip(inverse_normal(u), F.lit(-cap), F.lit(cap)))

@@ -24,6 +24,7 @@ from panelforge.operators import facts as G
 from panelforge.operators import kernels as K
 from panelforge.operators import labels as L
 from panelforge.operators import portfolio as P
+from panelforge.operators import ranks as R
 from panelforge.operators import signals as S
 from panelforge.plans.expr import compiled
 
@@ -162,6 +163,7 @@ factor("cs_rescale_l2", call("cs_rescale", "close", "l2"), f"close / nullif(sqrt
 factor("cs_rescale_minmax", call("cs_rescale", "close", "minmax"), f"2 * (close - min(close) OVER {CROSS}) / nullif(max(close) OVER {CROSS} - min(close) OVER {CROSS}, 0) - 1")
 factor("debias_cs", call("debias_cs", "close"), f"close - avg(close) OVER {CROSS}")
 QUERIES["cs_neutralize_multi"] = lambda spark, sf_dir: compiled(weekly_bars(spark, sf_dir), {"value": call("cs_neutralize_multi", "close", "open", "volume")}).select("ticker", F.expr(DAY), F.round("value", 3).alias("value"))
+ORACLES["cs_neutralize_multi"] = BARS_SQL + ", g AS (SELECT ts, sum(open * open) AS aa, sum(volume * volume) AS bb, sum(open * volume) AS ab, sum(open * close) AS ax, sum(volume * close) AS bx FROM bars GROUP BY ts) SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(close - open * (ax * bb - bx * ab) / nullif(aa * bb - ab * ab, 0) - volume * (bx * aa - ax * ab) / nullif(aa * bb - ab * ab, 0), 3) AS value FROM bars JOIN g USING (ts)"
 
 # ---- row-wise operators, all in one pass each ---------------------------------------------
 
@@ -342,7 +344,15 @@ def multi_period_weights(spark, sf_dir):
     return P.multi_period(df, "f", "v").select("ticker", F.expr(DAY), F.round("weight", 8).alias("weight"))
 
 
-@query("ewma_variance")
+#: Weighted sums over all earlier rows: list x of values (nulls count as gaps) with weights that halve every 16 rows.
+EWMA_SQL = """, l AS (SELECT *, list(r) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM panel),
+k AS (SELECT *, list_transform(x, lambda v, i: CASE WHEN v IS NOT NULL THEN CASE WHEN i = 1 THEN 1 ELSE 1 - pow(2, -1 / 16.0) END * pow(2, -(len(x) - i) / 16.0) END) AS w FROM l),
+s AS (SELECT *, list_sum(w) AS w1, list_sum(list_transform(w, lambda v: v * v)) AS w2, list_sum(list_transform(x, lambda v, i: v * w[i])) / list_sum(w) AS m FROM k),
+q AS (SELECT *, list_sum(list_transform(x, lambda v, i: w[i] * (v - m) * (v - m))) / w1 * w1 * w1 / nullif(w1 * w1 - w2, 0) AS var FROM s)
+"""
+
+
+@query("ewma_variance", PANEL_SQL + EWMA_SQL + "SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(greatest(CASE WHEN len(list_filter(x, lambda v: v IS NOT NULL)) > 1 THEN var * 52 END, 1e-10), 6) AS v FROM q")
 def ewma_variance(spark, sf_dir):
     return K.ewma_variance(factor_panel(spark, sf_dir), "r", "v", 16.0, 52).select("ticker", F.expr(DAY), F.round("v", 6).alias("v"))
 
@@ -361,7 +371,7 @@ def macd(spark, sf_dir):
     return K.macd(weekly_bars(spark, sf_dir), "close").select("ticker", F.expr(DAY), *[r6(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
-@query("ppo")
+@query("ppo", BARS_SQL + ", " + MACD.replace(" AS macd FROM bars)", " AS d, " + EMA.format(w=SERIES, keep=1 - 2 / 27, alpha=2 / 27) + " AS slow FROM bars), p AS (SELECT ticker, ts, d / slow * 100 AS macd FROM m)").replace("AS signal FROM m", "AS signal FROM p") + "SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(macd + 1e-8, 6) + 0.0 AS ppo, round(signal + 1e-8, 6) + 0.0 AS ppo_signal, round(macd - signal + 1e-8, 6) + 0.0 AS ppo_hist FROM g")
 def ppo(spark, sf_dir):
     return K.macd(weekly_bars(spark, sf_dir), "close", percent=True).select("ticker", F.expr(DAY), *[r6(c).alias(c) for c in ("ppo", "ppo_signal", "ppo_hist")])
 
@@ -611,7 +621,8 @@ def regression_metrics(spark, sf_dir):
 @query("quantile_labels", "WITH q AS (SELECT quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM events WHERE ts < TIMESTAMP '2024-01-20') SELECT event_id, greatest(len(list_filter(e, lambda x: x < value)), 1) AS label FROM events, q")
 def quantile_labels(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    edges = e.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).agg(S.quantile_edges(F.col("value"), 5).alias("e"))
+    edges = e.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    edges = R.quantiles(edges, "value", [k / 5 for k in range(6)]).withColumnRenamed("edges", "e")
     return e.crossJoin(F.broadcast(edges)).select("event_id", S.bucket(F.col("value"), F.col("e"), False).alias("label"))
 
 
@@ -648,7 +659,7 @@ def train_scaled(spark, sf_dir):
     return L.scaled(table(spark, sf_dir, "events"), ["value"], F.col("event_id") % 2 == 0).select("event_id", r6("value").alias("value"))
 
 
-@query("stratified_folds")
+@query("stratified_folds", "SELECT quality, f AS fold, (n - f + 4) // 5 AS n FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1), (SELECT unnest(range(5)) AS f) WHERE n > f")
 def stratified_folds(spark, sf_dir):
     return L.stratified_folds(table(spark, sf_dir, "labels"), "quality", "doc_id", 5).groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -715,7 +726,7 @@ def exchange_codes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.exchange_code(F.col("c_custkey")).alias("code"))
 
 
-@query("numbered_scores")
+@query("numbered_scores", "SELECT event_id, least(floor(value) % 14, 10) + 3.5 + 48 * 5 AS total FROM events")
 def numbered_scores(spark, sf_dir):
     reply = F.concat(F.lit("1. "), (F.floor("value") % 14).cast("string"), F.lit("\n2. 3.5"))
     return table(spark, sf_dir, "events").select("event_id", F.aggregate(X.numbered_scores(reply), F.lit(0.0), lambda a, b: a + b).alias("total"))
@@ -755,7 +766,7 @@ def decumulated(spark, sf_dir):
     return G.decumulated(facts(spark, sf_dir)).select("ticker", "quarter", "metric", (F.round(F.col("single") + 1e-8, 2) + F.lit(0.0)).alias("single"))
 
 
-@query("graph_tables")
+@query("graph_tables", FACTS_SQL + ", v AS (SELECT CAST(ticker AS VARCHAR) AS t, quarter, metric, value FROM f) SELECT * FROM (SELECT 'Ticker' AS label, count(DISTINCT t) AS nodes, count(*) AS edges FROM v UNION ALL SELECT 'Quarter', count(DISTINCT quarter), count(*) FROM v UNION ALL SELECT 'Metric', count(DISTINCT metric), count(*) FROM v UNION ALL SELECT 'Value', count(DISTINCT value), count(*) FROM v UNION ALL SELECT 'Fact', count(*), NULL FROM v)")
 def graph_tables(spark, sf_dir):
     nodes, edges = G.graph_tables(facts(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")))
     return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")).join(edges.groupBy("label").agg(F.count(F.lit(1)).alias("edges")), "label", "left")
@@ -799,9 +810,9 @@ def book_features(spark, sf_dir):
     return df.select("ticker", F.expr(DAY), *[r6(c).alias(c) for c in ("imbalance_1", "cum_imbalance", "target_2")], *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("spread_2", "ask_diff_2", "ask_span", "mean_price_ask")])
 
 
-@query("book_pipeline")
+@query("book_pipeline", BOOK_SQL + f", t AS (SELECT ticker, ts, (vb1 + vb2 + vb3 - va1 - va2 - va3) / nullif(vb1 + vb2 + vb3 + va1 + va2 + va3, 0) AS close, (lead((a1 + b1) / 2, 5) OVER {SERIES} - (a1 + b1) / 2) / ((a1 + b1) / 2) AS t5 FROM k), u AS (SELECT * FROM t WHERE t5 IS NOT NULL) SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(" + EMA.format(w=SERIES, keep=1 - 2 / 6, alpha=2 / 6) + " - " + EMA.format(w=SERIES, keep=1 - 2 / 21, alpha=2 / 21) + " + 1e-8, 6) + 0.0 AS momentum, round(t5 + 1e-8, 6) + 0.0 AS target_5 FROM u")
 def book_pipeline(spark, sf_dir):
-    return O.features(book(spark, sf_dir), 3, 5).select("ticker", F.expr(DAY), F.round("cum_imbalance_momentum", 6).alias("momentum"), F.round("target_5", 6).alias("target_5"))
+    return O.features(book(spark, sf_dir), 3, 5).select("ticker", F.expr(DAY), r6("cum_imbalance_momentum").alias("momentum"), r6("target_5").alias("target_5"))
 
 
 @query("training_windows", BARS_SQL + f", n AS (SELECT ticker, ts, close, volume, row_number() OVER {SERIES} AS n FROM bars) SELECT ticker, CAST(ts AS VARCHAR) AS ts, 20 AS rows, round(close, 6) AS label FROM n WHERE n >= 20 AND (n - 20) % 5 = 0")
