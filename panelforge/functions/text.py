@@ -130,7 +130,7 @@ def exchange_code(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    return F.regexp_extract_all(F.upper(F.coalesce(x, F.lit(""))), F.lit(r"\b(\w+)\b"), 1)
+    return F.regexp_extract_all(F.upper(F.coalesce(x, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def lexicon_counts(tokens: Column, positive: list[str], negative: list[str]) -> dict[str, Column]:
@@ -193,7 +193,7 @@ def looks_complete(text: Column) -> Column:
 
 def task_section(reply: Column, k: int) -> Column:
     """What a reply says under 'Task k:'."""
-    return _found(F.trim(F.regexp_extract(reply, rf"(?s)Task {k}:(.*?)(?=Task {k + 1}:|\z)", 1)))
+    return _found(F.regexp_replace(F.regexp_extract(reply, rf"(?s)Task {k}:(.*?)(?=Task {k + 1}:|\z)", 1), r"^\s+|\s+$", ""))
 
 
 def word_chunks(text: Column, size: int = 100) -> Column:
@@ -297,3 +297,51 @@ def repaired_json(x: pd.Series) -> pd.Series:
         return t
 
     return x.map(one)
+
+
+# The patterns of report fields, in order.
+REPORT_TICKERS = (r"\b([A-Z]{1,5})\s+(?:US|HK|LN|TT|CH|SS|SZ)", r"\b([A-Z]{2,5})\s*\.\s*(?:US|HK|L|T|SS|SZ)", r"\(([A-Z]{1,5})\)", r"\b([A-Z]{1,5})\s+Inc", r"\b([A-Z]{1,5})\s+Corp", r"\b([A-Z]{1,5}\.[A-Z]{1,2})\b")
+REPORT_DATES = (r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2})", r"\b(\d{1,2}[-/]\d{1,2}[-/]\d{4})", r"\b(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{4})", r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2},?\s+\d{4})")
+REPORT_ANALYSTS = (r"(?:by|analyst|author)[:]\s*([A-Z][a-z]+\s+[A-Z][a-z]+)", r"\b([A-Z][a-z]+\s+[A-Z][a-z]+),?\s+(?:analyst|research)", r"(?:contact|analyst)[:]\s*([A-Z][a-z]+\s+[A-Z][a-z]+)", r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*,\s*(?:CFA|analyst)")
+REPORT_EMAIL = r"([a-z.]+)@[a-z.]+\.com"
+REPORT_TARGETS = {
+    "price_target_mid": (r"(?:price target|target price|PT)[:]\s*\$?(\d+(?:\.\d+)?)", r"(?:base case|mid case)[:]\s*\$?(\d+(?:\.\d+)?)"),
+    "price_target_bull": (r"(?:bull case|upside|optimistic)[:]\s*\$?(\d+(?:\.\d+)?)",),
+    "price_target_bear": (r"(?:bear case|downside|pessimistic)[:]\s*\$?(\d+(?:\.\d+)?)",),
+    "eps_target_mid": (r"(?:EPS|earnings per share)[:]\s*\$?(\d+(?:\.\d+)?)", r"(?:base case EPS|mid case EPS)[:]\s*\$?(\d+(?:\.\d+)?)"),
+    "eps_target_bull": (r"(?:bull case EPS|upside EPS)[:]\s*\$?(\d+(?:\.\d+)?)",),
+    "eps_target_bear": (r"(?:bear case EPS|downside EPS)[:]\s*\$?(\d+(?:\.\d+)?)",),
+}
+REPORT_ESTIMATES = {"% Change YoY": "revenue|sales", "Operating Profit": "operating profit|EBIT", "Operating Costs": "operating costs|expenses", "Year-end AuM's (ex JVs)": "AuM|assets under management", "Flows": "flows|net flows", "Free Float": "free float"}
+# End of the fixed values.
+
+
+def report_fields(text: Column) -> dict[str, Column]:
+    """The fields of a research note by patterns: tickers and analysts (sorted), date, price and earnings targets (null
+    where there is none), and a map of estimates. Names and dates stand in the note's head."""
+    head, wider = F.substring(text, 1, 1000), F.substring(text, 1, 1500)
+    every = lambda x, p: F.regexp_extract_all(x, F.lit(p), 1)
+    tickers = F.filter(F.flatten(F.array(*[every(head, p) for p in REPORT_TICKERS])), lambda t: F.length(t) >= 2)
+    dates = F.coalesce(*[_found(F.regexp_extract(head, f"(?i){p}", 1)) for p in REPORT_DATES], F.lit(""))
+    named = F.flatten(F.array(*[every(wider, f"(?i){p}") for p in REPORT_ANALYSTS]))
+    mailed = F.transform(every(wider, f"(?i){REPORT_EMAIL}"), lambda x: F.initcap(F.replace(x, F.lit("."), F.lit(" "))))
+    analysts = F.filter(F.concat(named, mailed), lambda a: F.size(F.filter(F.split(a, r"\s+"), lambda w: w != "")) == 2)
+    first = lambda p: _found(F.regexp_extract(text, f"(?i){p}", 1))
+    targets = {k: F.coalesce(*[first(p).try_cast("double") for p in patterns]) for k, patterns in REPORT_TARGETS.items()}
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.trim(F.regexp_extract(text, rf"(?i)(?:{p})[:]\s*([+\-]?\d*\.?\d*%?[+\-]*)", 1)).alias("value")) for k, p in REPORT_ESTIMATES.items()])
+    estimates = F.map_from_entries(F.filter(pairs, lambda e: e["value"] != ""))
+    return {"tickers": F.array_sort(F.array_distinct(tickers)), "date": dates, "analysts": F.array_sort(F.array_distinct(analysts)), **targets, "estimates": estimates}
+
+
+def masked(text: Column, spans: Column, masks: dict[str, str]) -> Column:
+    """The text with every span (start, end, label; code points, end exclusive, not overlapping) whose label has a mask
+    replaced by it, from the last to the first. The spans come from whatever tagger there is."""
+    table = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
+    known = F.filter(F.array_sort(spans), lambda s: F.try_element_at(table, s["label"]).isNotNull())
+    cut = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.element_at(table, s["label"]), F.substring(t, s["end"] + 1, F.length(t)))
+    return F.aggregate(F.reverse(known), text, cut)
+
+
+def series_file(x: Column) -> Column:
+    """'SZ.301365.csv' as '301365_transformed.parquet'."""
+    return F.concat(F.replace(F.try_element_at(F.split(x, r"\."), F.lit(2)), F.lit(".csv"), F.lit("")), F.lit("_transformed.parquet"))

@@ -87,3 +87,11 @@ def previous(df: DataFrame, by: list[str], order: list[str], columns: list[str])
 def unprocessed(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the log of what is done."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def rounded_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, digits: int = 6, how: str = "inner") -> DataFrame:
+    """Rows whose values agree to ``digits`` decimals: an equi-join on scaled integers, as floats have no equality to
+    rely on. Null values match nothing."""
+    scaled = lambda c: F.round(F.col(c) * 10**digits).cast("long")
+    a, b = left.withColumn("__k", scaled(left_value)), right.withColumn("__r", scaled(right_value))
+    return a.join(b, F.col("__k") == F.col("__r"), how).drop("__k", "__r")

@@ -48,24 +48,40 @@ def bin_forward_return(binned: DataFrame, minutes: int, cap: float = 0.5, keys:
     return joined.select(keys.entity, "bin", "price", capped.alias("forward_return"))
 
 
-def lagged_factor(df: DataFrame, factor: str, minutes: int, row_lag: int = 1, keys: Keys = KEYS) -> DataFrame:
-    """A factor at bin starts that was known by then: shifted by rows, last of its bin, then one whole bin later."""
-    rows = df.withColumn("__f", F.lag(factor, row_lag).over(keys.series())).filter(F.col("__f").isNotNull())
-    binned = rows.withColumn("__w", F.window(keys.time, f"{minutes} minutes")).groupBy(keys.entity, F.col("__w.start").alias("bin")).agg(F.max_by("__f", keys.time).alias(factor))
+def lagged_factors(df: DataFrame, factor: str, minutes: int, row_lags: list[int], tie: list[str] | None = None, keys: Keys = KEYS) -> DataFrame:
+    """(lag, entity, bin, factor) at bin starts, known by then: shifted by each number of rows, last of its bin, then one
+    whole bin later. All lags in one pass; rows of one time are in order of ``tie``."""
+    from pyspark.sql.window import Window
+
+    order = [keys.time, *(tie or [])]
+    s = Window.partitionBy(keys.entity).orderBy(*order)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__f{k}").alias("f")) for k in row_lags]))
+    rows = df.withColumns({f"__f{k}": F.lag(factor, k).over(s) for k in row_lags}).select(keys.entity, *order, pairs.alias("p"))
+    rows = rows.select(keys.entity, *order, "p.lag", "p.f").filter("f is not null").withColumn("__w", F.window(keys.time, f"{minutes} minutes"))
+    binned = rows.groupBy("lag", keys.entity, F.col("__w.start").alias("bin")).agg(F.max_by("f", F.struct(*order)).alias(factor))
     return binned.withColumn("bin", F.col("bin") + F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
+def lagged_factor(df: DataFrame, factor: str, minutes: int, row_lag: int = 1, tie: list[str] | None = None, keys: Keys = KEYS) -> DataFrame:
+    return lagged_factors(df, factor, minutes, [row_lag], tie, keys).drop("lag")
+
+
+def sampled_names(df: DataFrame, n: int, seed: int = 42, keys: Keys = KEYS) -> DataFrame:
+    """At most ``n`` names, the same ones for a seed wherever the rows lie: those with the least hashes."""
+    return df.select(keys.entity).distinct().orderBy(F.md5(F.concat(F.col(keys.entity).cast("string"), F.lit(f"#{seed}")))).limit(n)
+
+
 def aligned(factor: DataFrame, returns: DataFrame, keys: Keys = KEYS) -> DataFrame:
     """Factor and forward return on their common (entity, bin)."""
     return factor.join(returns, [keys.entity, "bin"])
 
 
-def forward_return(df: DataFrame, price: str, horizon: int, new: str = "r", by_day: bool = False, keys: Keys = KEYS) -> DataFrame:
-    """price[t + horizon] / price[t] - 1 by rows, within the day if asked."""
+def forward_return(df: DataFrame, price: str, horizon: int, new: str = "r", by_day: bool = False, keys: Keys = KEYS, tie: list[str] | None = None) -> DataFrame:
+    """price[t + horizon] / price[t] - 1 by rows, within the day if asked; rows of one time are in order of ``tie``."""
     from pyspark.sql.window import Window
 
     day = [F.to_date(keys.time)] if by_day else []
-    w = Window.partitionBy(keys.entity, *day).orderBy(keys.time)
+    w = Window.partitionBy(keys.entity, *day).orderBy(keys.time, *(tie or []))
     return df.withColumn(new, F.try_divide(F.lead(price, horizon).over(w), nonzero(F.col(price))) - 1)
 
 

@@ -123,3 +123,15 @@ def rank_transform(df: DataFrame, column: str, train: DataFrame, new: str) -> Da
     n = train.agg(F.count(column).alias("__total"))
     out = df.join(below, F.col(column) == F.col("__v"), "left").crossJoin(F.broadcast(n))  # one row
     return out.select(*df.columns, F.try_divide(F.col("__below"), nonzero(F.col("__total"))).alias(new))
+
+
+def without_level_prices(df: DataFrame) -> DataFrame:
+    """Without the volume-weighted prices of the levels."""
+    return df.drop(*[c for c in df.columns if c.startswith(("vwap_ask_", "vwap_bid_"))])
+
+
+def renamed_levels(df: DataFrame) -> DataFrame:
+    """vwap_ask_3 as price_ask_3_mean, and so for all levels and both sides."""
+    import re
+
+    return df.withColumnsRenamed({c: f"price_{m[1]}_{m[2]}_mean" for c in df.columns if (m := re.fullmatch(r"vwap_(ask|bid)_(\d+)", c))})

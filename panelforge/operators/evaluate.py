@@ -133,3 +133,9 @@ def performance(series: DataFrame, value: str, order: str, periods: int = PERIOD
         F.avg((F.col(value) > 0).cast("double")).alias("win_rate"), F.min("drawdown").alias("max_drawdown"),
     )
     return g.withColumn("annual_return", F.pow(1 + F.col("total_return"), F.lit(float(periods)) / nonzero(F.col("n"))) - 1).withColumn("sharpe", F.try_divide(F.col("mean") * F.sqrt(F.lit(float(periods))), nonzero(F.col("std"))))
+
+
+def periods_in_year(df: DataFrame, year: int, keys: Keys = KEYS) -> DataFrame:
+    """One row: the number of distinct times in a year, and the first and last of them."""
+    rows = df.filter(F.year(keys.time) == year).select(keys.time).distinct()
+    return rows.agg(F.count(F.lit(1)).alias("periods"), F.min(keys.time).alias("first"), F.max(keys.time).alias("last"))

@@ -121,3 +121,11 @@ def usage_cost(log: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFr
     rate = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for m, p in prices.items() for x in (m, float(p[i]))]), F.col("model"))
     cost = (F.col("input_tokens") * rate(0) + F.col("output_tokens") * rate(1)) / 1e6
     return log.groupBy("agent").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost"))
+
+
+def optional_links(found: DataFrame, edges: DataFrame, labels: dict[str, str], key: str = "fact") -> DataFrame:
+    """``found`` with what each fact is linked to by edges (fact, label, name): label -> new column, null where there is no
+    such edge; one row for each combination where there are several."""
+    for label, new in labels.items():
+        found = found.join(edges.filter(F.col("label") == label).select(F.col("fact").alias(key), F.col("name").alias(new)), key, "left")
+    return found

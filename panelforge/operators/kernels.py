@@ -54,22 +54,35 @@ def ewma_variance(df: DataFrame, column: str, new: str, half_life: float = 128.0
     return df.withColumn(new, F.greatest(F.col(new) * periods, F.lit(floor)))
 
 
+def aligned_rows(df: DataFrame, column: str, keys: Keys = KEYS) -> DataFrame:
+    """(time, names, x): the values of all names at each time as one array, in order of name; missing ones are 0. The
+    names of a panel are its width; times are dealt out."""
+    names = df.agg(F.sort_array(F.collect_set(keys.entity)).alias("names"))
+    held = df.filter(F.col(column).isNotNull()).groupBy(keys.time).agg(F.map_from_entries(F.collect_list(F.struct(keys.entity, column))).alias("__m"))
+    rows = held.crossJoin(F.broadcast(names))  # one row
+    return rows.select(keys.time, "names", F.transform("names", lambda n: F.coalesce(F.try_element_at("__m", n), F.lit(0.0))).alias("x"))
+
+
 def ewma_covariance(df: DataFrame, column: str, half_life: float = 128.0, periods: int = 2016, floor: float = 1e-10, keys: Keys = KEYS) -> DataFrame:
-    """(time, names, covariance): the annualised recursive covariance of all names at each time, for few names. The
-    recursion is one ordered scan over times, so the panel is pivoted into one group; use a factor model for many."""
+    """(time, entity, names, covariance): one row of the annualised recursive covariance for each time and name. Every
+    name's row is a recursion of its own, so names are dealt to tasks."""
     alpha = 1 - 2 ** (-1 / half_life)
+    rows = aligned_rows(df, column, keys)
+    by_name = rows.select(keys.time, "names", "x", F.posexplode("x").alias("__i", "__x")).withColumn(keys.entity, F.col("names")[F.col("__i")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=keys.time, columns=keys.entity, values="__x").sort_index().fillna(0.0)
-        s, out = None, []
-        for ts, row in zip(wide.index, wide.to_numpy(), strict=True):
-            s = np.outer(row, row) if s is None else (1 - alpha) * s + alpha * np.outer(row, row)
-            out.append((ts, list(wide.columns), (s * periods + floor * np.eye(len(row))).tolist()))
-        return pd.DataFrame(out, columns=[keys.time, "names", "covariance"])
-
-    kind = df.schema[keys.time].dataType.simpleString()
-    rows = df.select(keys.entity, keys.time, F.col(column).alias("__x"))
-    return rows.groupBy().applyInPandas(run, f"{keys.time} {kind}, names array<string>, covariance array<array<double>>")
+        pdf = pdf.sort_values(keys.time, kind="stable")
+        own, out, s = int(pdf["__i"].iloc[0]), [], None
+        for x, xi in zip(pdf["x"], pdf["__x"], strict=True):
+            new = xi * np.asarray(x, float)
+            s = new if s is None else (1 - alpha) * s + alpha * new
+            row = s * periods
+            row[own] += floor
+            out.append(row)
+        return pdf[[keys.time, keys.entity, "names"]].assign(covariance=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return by_name.groupBy(keys.entity).applyInPandas(run, f"{keys.time} {kinds[keys.time]}, {keys.entity} {kinds[keys.entity]}, names array<string>, covariance array<double>")
 
 
 def neutralized(df: DataFrame, column: str, exposures: list[str], new: str, keys: Keys = KEYS) -> DataFrame:

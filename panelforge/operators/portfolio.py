@@ -78,7 +78,7 @@ def long_only(df: DataFrame, alpha: str, variance: str, new: str = "weight", key
 def long_short(df: DataFrame, alpha: str, variance: str, new: str = "weight", budget: float = 0.1, gross: float = 2.0, box: float = 1.0, keys: Keys = KEYS) -> DataFrame:
     """Weights that sum to 0 and make the most of alpha within a risk budget under diagonal risk, in closed form:
     (alpha - nu) / variance, scaled to the budget. Where the limits on gross exposure or single weights bind first,
-    the same direction is scaled down into them (``long_short_weights`` solves that case itself)."""
+    the same direction is scaled down into them (``constrained_weights`` solves that case itself)."""
     c = keys.cross()
     a, v = F.col(alpha), F.when(F.col(variance) > 0, F.col(variance))
     v = F.when(a.isNotNull(), v)
@@ -92,57 +92,60 @@ def long_short(df: DataFrame, alpha: str, variance: str, new: str = "weight", bu
     return df.withColumn(new, F.coalesce(d * scale, F.lit(0.0))).drop("__v", "__d")
 
 
-def _projected(v: np.ndarray, gross: float, box: float) -> np.ndarray:
-    """The nearest point with sum 0, sum of sizes at most ``gross`` and sizes at most ``box``, by alternating projections (Dykstra)."""
-    x, p, q, s = v.copy(), np.zeros_like(v), np.zeros_like(v), np.zeros_like(v)
+def _limited(v: np.ndarray, gross: float, box: float) -> np.ndarray:
+    """The nearest point with sum |x| <= gross and |x| <= box: sizes less a common amount, found by bisection."""
+    size = np.abs(v)
+    if np.minimum(size, box).sum() <= gross:
+        return np.clip(v, -box, box)
+    low, high = 0.0, float(size.max())
     for _ in range(60):
-        y = x + p
-        a = y - y.mean()
-        p = y - a
-        y = a + q
-        b = np.clip(y, -box, box)
-        q = y - b
-        y = b + s
-        if np.abs(y).sum() > gross:
-            u = np.sort(np.abs(y))[::-1]
-            k = np.flatnonzero(u * np.arange(1, len(u) + 1) > np.cumsum(u) - gross).max()
-            c = np.sign(y) * np.maximum(np.abs(y) - (np.cumsum(u)[k] - gross) / (k + 1), 0)
-        else:
-            c = y
-        s = y - c
-        if np.abs(c - x).max() < 1e-10:
-            x = c
-            break
-        x = c
-    return x - x.mean()
-
-
-def long_short_weights(alpha: np.ndarray, covariance: np.ndarray, budget: float = 0.1, gross: float = 2.0, box: float = 1.0, rounds: int = 300) -> np.ndarray:
-    """max alpha'x with sum x = 0, sqrt(x'Cx) <= budget, sum |x| <= gross, |x| <= box: projected gradient steps on the
-    risk-penalised problem, scaled into the risk budget. ``covariance`` may be a vector of variances."""
-    diagonal = covariance.ndim == 1
-    risk = lambda x: float(np.sqrt(max(0.0, (covariance * x * x).sum() if diagonal else x @ covariance @ x)))
-    grad = (lambda x: covariance * x) if diagonal else (lambda x: covariance @ x)
-    top = float(covariance.max() if diagonal else np.linalg.norm(covariance, 2))
-    if not np.isfinite(alpha).all() or top <= 0:
-        return np.zeros_like(alpha)
-    low, high, best = 1e-6, 1e6, np.zeros_like(alpha)
-    for _ in range(25):  # the penalty that meets the budget, by bisection
-        penalty = np.sqrt(low * high)
-        x, step = np.zeros_like(alpha), 1 / (penalty * top + 1e-12)
-        for _ in range(rounds):
-            new = _projected(x + step * (alpha - penalty * grad(x)), gross, box)
-            if np.abs(new - x).max() < 1e-9:
-                x = new
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.clip(size - mid, 0, box).sum() > gross else (low, mid)
+    return np.sign(v) * np.clip(size - high, 0, box)
+
+
+def constrained_weights(alpha: np.ndarray, covariance: np.ndarray, budget: float | None = 0.1, penalty: float = 0.0, gross: float = 2.0, box: float = 1.0, rounds: int = 2000) -> np.ndarray:
+    """max alpha'x - penalty * sqrt(x'Cx) with sum x = 0, sum |x| <= gross, |x| <= box and, if ``budget`` is given,
+    sqrt(x'Cx) <= budget. The problem is split into an equality-constrained quadratic step with one factorisation, a
+    shrinkage of the risk vector and a projection on the limits (alternating directions). A covariance that is not
+    positive definite, or a vector of variances with one that is not positive, gives 0."""
+    n = len(alpha)
+    c = np.diag(covariance) if covariance.ndim == 1 else (covariance + covariance.T) / 2
+    try:
+        root = np.linalg.cholesky(c).T
+    except np.linalg.LinAlgError:
+        return np.zeros(n)
+    if not np.isfinite(alpha).all() or not np.abs(alpha).max(initial=0.0):
+        return np.zeros(n)
+    a = alpha / np.abs(alpha).max()
+    unit = float(np.sqrt(np.diag(c).mean()))  # risk in units of a typical name, so that both parts weigh alike
+    root, limit, cost = root / unit, (np.inf if budget is None else budget / unit), penalty * unit / np.abs(alpha).max()
+    inverse = np.linalg.inv(root.T @ root + np.eye(n))
+    ones = inverse.sum(axis=1)
+    x = z = w = np.zeros(n)
+    y = u = np.zeros(n)
+    rho = 1.0
+    for k in range(rounds):
+        b = inverse @ (a / rho + root.T @ (y - u) + z - w)
+        x = b - ones * (b.sum() / ones.sum())
+        risk = root @ x
+        v = risk + u
+        size = float(np.linalg.norm(v))
+        y = v * (min(max(size - cost / rho, 0.0), limit) / size) if size > 0 else v
+        old, z = z, _limited(x + w, gross, box)
+        u, w = u + risk - y, w + x - z
+        if k % 20 == 19:
+            apart, moved = np.abs(x - z).max() + np.abs(risk - y).max(), np.abs(z - old).max()
+            if apart < 1e-9 and moved < 1e-9:
                 break
-            x = new
-        if risk(x) > budget:
-            low = penalty
-        else:
-            high = penalty
-            if alpha @ x > alpha @ best:
-                best = x
-    return best
+            if apart > 10 * rho * moved or moved * rho > 10 * apart:
+                factor = 2.0 if apart > 10 * rho * moved else 0.5
+                rho, u, w = rho * factor, u / factor, w / factor
+    for bound, now in ((gross, np.abs(x).sum()), (box, np.abs(x).max()), (np.inf if budget is None else budget, float(np.linalg.norm(root @ x)) * unit)):
+        if now > bound:
+            x = x * (bound / now)
+    value = lambda v: float(alpha @ v - penalty * np.linalg.norm(root @ v) * unit)
+    return x if value(x) > 0 else np.zeros(n)
 
 
 def nearest_psd(a: np.ndarray, eps: float = 1e-12) -> np.ndarray:
@@ -158,8 +161,8 @@ def factor_model(c: np.ndarray, k: int = 20) -> tuple[np.ndarray, np.ndarray, np
     return v, w, np.maximum(np.diag(c) - (v * v) @ w, 1e-12)
 
 
-def optimised(df: DataFrame, alpha: str, variance: str, new: str = "weight", budget: float = 0.1, gross: float = 2.0, box: float = 1.0, keys: Keys = KEYS) -> DataFrame:
-    """Long-short weights with diagonal risk, one group of names for each time."""
+def optimised(df: DataFrame, alpha: str, variance: str, new: str = "weight", budget: float | None = 0.1, penalty: float = 0.0, gross: float = 2.0, box: float = 1.0, keys: Keys = KEYS) -> DataFrame:
+    """Constrained weights with diagonal risk, one group of names for each time; names without alpha or risk get 0."""
     from panelforge.operators.kernels import _added
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,33 +170,33 @@ def optimised(df: DataFrame, alpha: str, variance: str, new: str = "weight", bud
         ok = np.isfinite(a) & np.isfinite(v) & (v > 0)
         w = np.zeros(len(a))
         if ok.sum() >= 2:
-            w[ok] = long_short_weights(a[ok], v[ok], budget, gross, box)
+            w[ok] = constrained_weights(a[ok], v[ok], budget, penalty, gross, box)
         return pdf.assign(**{new: w})
 
     return df.groupBy(keys.time).applyInPandas(run, _added(df, {new: "double"}))
 
 
-def multi_period(df: DataFrame, alpha: str, variance: str, new: str = "weight", trade: float = 0.01, box: float = 0.02, gross: float = 1.0, penalty: float = 1.0, keys: Keys = KEYS) -> DataFrame:
-    """Weights that follow each other: every time starts from the last one's weights and may move by ``trade`` a name.
-    The recursion is over times, so all times of a panel form one ordered group of few columns."""
-    from panelforge.operators.kernels import _added
+def optimised_full(df: DataFrame, alpha: str, covariances: DataFrame, new: str = "weight", budget: float | None = 0.1, penalty: float = 0.0, gross: float = 2.0, box: float = 1.0, factors: int | None = None, keys: Keys = KEYS) -> DataFrame:
+    """(time, entity, alpha, new): constrained weights under the covariance rows of ``kernels.ewma_covariance``, one group
+    of names for each time; with ``factors`` the covariance is that of its principal factors and residuals. Since no
+    limit ties one time to another, the many-period problem with a risk penalty is this one (budget=None)."""
+    rows = df.select(keys.time, keys.entity, alpha).join(covariances, [keys.time, keys.entity])
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([keys.time, keys.entity], kind="stable")
-        held: dict = {}
-        out = []
-        for _, g in pdf.groupby(keys.time, sort=True):
-            a, v = g[alpha].fillna(0).to_numpy(float), g[variance].fillna(np.inf).to_numpy(float)
-            x0 = np.array([held.get(n, 0.0) for n in g[keys.entity]])
-            goal = np.clip(a / (penalty * v), -box, box)
-            x = x0 + np.clip(goal - x0, -trade, trade)
-            x -= x.mean()
-            x *= min(1.0, gross / max(np.abs(x).sum(), 1e-12))
-            held = dict(zip(g[keys.entity], x, strict=True))
-            out.append(g.assign(**{new: x}))
-        return pd.concat(out)
-
-    return df.groupBy().applyInPandas(run, _added(df, {new: "double"}))
+        pdf = pdf[pdf[alpha].notna()]
+        where = {n: i for i, n in enumerate(pdf["names"].iloc[0])} if len(pdf) else {}
+        at = [where[n] for n in pdf[keys.entity]]
+        w = np.zeros(len(pdf))
+        if len(pdf) >= 2:
+            c = np.stack(pdf["covariance"].to_numpy())[:, at]
+            if factors:
+                b, f, d = factor_model(nearest_psd(c), factors)
+                c = (b * f) @ b.T + np.diag(d)
+            w = constrained_weights(pdf[alpha].to_numpy(float), c, budget, penalty, gross, box)
+        return pdf[[keys.time, keys.entity, alpha]].assign(**{new: w})
+
+    return rows.groupBy(keys.time).applyInPandas(run, f"{keys.time} {kinds[keys.time]}, {keys.entity} {kinds[keys.entity]}, {alpha} double, {new} double")
 
 
 def smoothed_alpha(df: DataFrame, alpha: str, half_life: float, new: str, keys: Keys = KEYS) -> DataFrame:

@@ -93,3 +93,23 @@ def compounded(df: DataFrame, r: str, start: int, end: int, new: str, keys: Keys
 def trailing_volatility(df: DataFrame, r: str, rows: int = 168, least: int = 10, floor: float = 1e-6, new: str = "volatility", keys: Keys = KEYS) -> DataFrame:
     w = keys.rows(rows)
     return df.withColumn(new, F.when(F.count(r).over(w) >= least, F.greatest(F.stddev_samp(r).over(w), F.lit(floor))))
+
+
+def normalised_forward_return(prices: DataFrame, events: DataFrame, event_id: str, event_time: str, price: str, days: int = 5, window: int = 63, least: int = 5, new: str = "r", keys: Keys = KEYS) -> DataFrame:
+    """(event_id, new): for the first price date at or after an event, the return from the date before it to the one after
+    it, over the standard deviation of the returns of the ``window`` dates up to it. Unscaled where there are fewer
+    dates, fewer than ``least`` returns or a flat window; null without those two prices or with fewer than ``days``
+    dates to come. Dates are those of the whole table, as in a wide matrix."""
+    dates = prices.select(keys.time).distinct().withColumn("__k", F.row_number().over(Window.orderBy(keys.time)))
+    total = dates.agg(F.max("__k").alias("__dates"))
+    grid = dates.join(F.broadcast(prices.select(keys.entity).distinct()), F.lit(True)).join(prices.select(*[keys.entity, keys.time], price), [keys.entity, keys.time], "left")
+    s = keys.series()
+    grid = grid.withColumns({"__p0": F.lag(price).over(s), "__p1": F.lead(price).over(s)})
+    grid = grid.withColumn("__ret", F.try_divide(F.col(price), nonzero(F.col("__p0"))) - 1)
+    frame = s.rowsBetween(-(window - 2), 0)
+    std = F.when((F.col("__k") >= window) & (F.count("__ret").over(frame) >= least), nonzero(F.stddev_samp("__ret").over(frame)))
+    raw = F.try_divide(F.col("__p1") - F.col("__p0"), nonzero(F.col("__p0")))
+    grid = grid.withColumn("__std", std).crossJoin(F.broadcast(total))  # one row
+    grid = grid.withColumn(new, F.when(F.col("__dates") - F.col("__k") >= days, F.coalesce(raw / F.col("__std"), raw)))
+    at = as_of(events.withColumn("__all", F.lit(1)), dates.withColumn("__all", F.lit(1)).withColumnRenamed(keys.time, "__date"), "__all", event_time, "__date", ["__k"], "forward")
+    return at.join(grid.select(keys.entity, "__k", new), [keys.entity, "__k"], "left").select(event_id, new)

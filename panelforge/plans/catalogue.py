@@ -338,10 +338,27 @@ def long_short(spark, sf_dir):
     return P.long_short(df, "f", "v").select("ticker", F.expr(DAY), r6("weight").alias("weight"))
 
 
+@query("optimised_weights")
+def optimised_weights(spark, sf_dir):
+    """Long-short weights within a risk budget under the full covariance; tested against a search over feasible points."""
+    panel = factor_panel(spark, sf_dir)
+    out = P.optimised_full(panel, "f", K.ewma_covariance(panel.filter("r is not null"), "r", 16.0, 52))
+    return out.select("ticker", F.expr(DAY), F.round("weight", 6).alias("weight"))
+
+
 @query("multi_period_weights")
 def multi_period_weights(spark, sf_dir):
-    df = factor_panel(spark, sf_dir).withColumn("v", F.var_samp("r").over(B.KEYS.rows(12))).filter("f is not null and v > 0")
-    return P.multi_period(df, "f", "v").select("ticker", F.expr(DAY), F.round("weight", 8).alias("weight"))
+    """Weights of all periods with a risk penalty under a factor covariance, at gross exposure 1."""
+    panel = factor_panel(spark, sf_dir)
+    out = P.optimised_full(panel, "f", K.ewma_covariance(panel.filter("r is not null"), "r", 16.0, 52), budget=None, penalty=0.1, gross=1.0, factors=20)
+    return out.select("ticker", F.expr(DAY), F.round("weight", 6).alias("weight"))
+
+
+@query("optimised_pnl")
+def optimised_pnl(spark, sf_dir):
+    from panelforge.plans import flows
+
+    return flows.optimised_pnl(factor_panel(spark, sf_dir), "f", "r").select(F.expr(DAY), F.round("pnl", 5).alias("pnl"))
 
 
 #: Weighted sums over all earlier rows: list x of values (nulls count as gaps) with weights that halve every 16 rows.
@@ -357,10 +374,14 @@ def ewma_variance(spark, sf_dir):
     return K.ewma_variance(factor_panel(spark, sf_dir), "r", "v", 16.0, 52).select("ticker", F.expr(DAY), F.round("v", 6).alias("v"))
 
 
-@query("ewma_covariance")
+@query("ewma_covariance", PANEL_SQL + """, p AS (SELECT * FROM panel WHERE r IS NOT NULL), n AS (SELECT DISTINCT ticker FROM p), t AS (SELECT DISTINCT ts FROM p),
+x AS (SELECT n.ticker, t.ts, coalesce(p.r, 0) AS r FROM n CROSS JOIN t LEFT JOIN p USING (ticker, ts)),
+e AS (SELECT a.ticker AS a, b.ticker AS b, a.ts, list_reduce(list(a.r * b.r) OVER (PARTITION BY a.ticker, b.ticker ORDER BY a.ts ROWS UNBOUNDED PRECEDING), lambda s, v: s * pow(2, -1 / 16.0) + v * (1 - pow(2, -1 / 16.0))) AS c FROM x a JOIN x b ON a.ts = b.ts AND a.ticker <= b.ticker)
+SELECT CAST(ts AS VARCHAR) AS ts, a, b, round(c * 52 + CASE WHEN a = b THEN 1e-10 ELSE 0 END + 1e-8, 6) + 0.0 AS covariance FROM e""")
 def ewma_covariance(spark, sf_dir):
     c = K.ewma_covariance(factor_panel(spark, sf_dir).filter("r is not null"), "r", 16.0, 52)
-    return c.select(F.expr(DAY), F.size("names").alias("names"), F.round(F.col("covariance")[0][1], 6).alias("first_pair"))
+    cells = c.select("ts", F.col("ticker").alias("a"), F.explode(F.arrays_zip("names", "covariance")).alias("z")).filter("a <= z.names")
+    return cells.select(F.expr(DAY), "a", F.col("z.names").alias("b"), r6("z.covariance").alias("covariance"))
 
 
 MACD = "m AS (SELECT ticker, ts, " + EMA.format(w=SERIES, keep=1 - 2 / 13, alpha=2 / 13) + " - " + EMA.format(w=SERIES, keep=1 - 2 / 27, alpha=2 / 27) + " AS macd FROM bars), g AS (SELECT *, " + EMA.format(w=SERIES, keep=1 - 2 / 10, alpha=2 / 10).replace("list(close)", "list(macd)") + " AS signal FROM m) "
@@ -420,12 +441,9 @@ def split_session_events(spark, sf_dir):
     return B.sessions(events(spark, sf_dir), [("09:30:00", "11:30:00"), ("13:00:00", "14:57:00")]).select("event_id")
 
 
-@query("forward_return_by_day", EVENTS_SQL + " SELECT event_id, round(lead(price, 3) OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, event_id) / price - 1 + 1e-8, 6) + 0.0 AS r FROM (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY ticker, ts) = 1)")
+@query("forward_return_by_day", EVENTS_SQL + " SELECT event_id, round(lead(price, 3) OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, event_id) / price - 1 + 1e-8, 6) + 0.0 AS r FROM e")
 def forward_return_by_day(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    single = events(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker", "ts"))).filter("n = 1")
-    return B.forward_return(single, "price", 3, "r", True).select("event_id", r6("r").alias("r"))
+    return B.forward_return(events(spark, sf_dir), "price", 3, "r", True, tie=["event_id"]).select("event_id", r6("r").alias("r"))
 
 
 def calls_and_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -835,34 +853,34 @@ def rank_transform(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 
-def drained(spark: SparkSession, sf_dir: str, build, mode: str = "append") -> DataFrame:
-    """What a stream over the events table has written once all its input is read."""
-    import tempfile
-    import uuid
-
+def drained(spark: SparkSession, sf_dir: str, build, mode: str = "append", after: str | None = None) -> DataFrame:
+    """What a stream over the events table has written once all its input is read; ``after`` adds a closing event."""
+    from panelforge.sources.scratch import shared_folder
     from panelforge.streaming import stream as R
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="panelforge-stream-")
-    base = f"{root}/stream/{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    rows = R.read_events(spark, f"{sf_dir}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    R.into_table(build(R, rows), f"{base}/out", f"{base}/state", mode)
+    base = shared_folder(spark)
+    events = table(spark, sf_dir, "events")
+    rows = R.read_events(spark, f"{sf_dir}/event[s].parquet", events.schema)
+    if after:
+        R.closing_event(events, "ts", after).write.parquet(f"{base}/closing")
+        rows = rows.unionByName(R.read_events(spark, f"{base}/closing", events.schema))
+    R.into_table(build(R, rows.withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/out", f"{base}/state", mode)
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_bars")
+@query("stream_bars", "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS bin, first(value ORDER BY ts, value) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, value) AS close, count(*) AS n FROM events GROUP BY event_type, date_trunc('day', ts)")
 def stream_bars(spark, sf_dir):
-    return drained(spark, sf_dir, lambda R, e: R.streaming_bars(e, "event_type", "ts", "value", "1 day")).select("event_type", stamp("bin").alias("bin"), "open", "high", "low", "close", "n")
+    return drained(spark, sf_dir, lambda R, e: R.streaming_bars(e, "event_type", "ts", "value", "1 day"), after="2 DAYS").select("event_type", stamp("bin").alias("bin"), "open", "high", "low", "close", "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM g GROUP BY user_id, g")
 def stream_sessions(spark, sf_dir):
-    return drained(spark, sf_dir, lambda R, e: R.streaming_sessions(e, "user_id", "ts", "6 hours")).select("user_id", stamp("start").alias("start"), stamp("end").alias("end"), "n")
+    return drained(spark, sf_dir, lambda R, e: R.streaming_sessions(e, "user_id", "ts", "6 hours"), after="1 DAY").select("user_id", stamp("start").alias("start"), stamp("end").alias("end"), "n")
 
 
-@query("stream_average")
+@query("stream_average", "SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(list_reduce(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 200 PRECEDING), lambda a, b: a * 0.8 + b * 0.2) + 1e-8, 6) AS average FROM events")
 def stream_average(spark, sf_dir):
-    return drained(spark, sf_dir, lambda R, e: R.streaming_average(e, "event_type", "ts", "value", 0.2)).select("event_type", stamp("ts").alias("ts"), F.round("average", 6).alias("average"))
+    return drained(spark, sf_dir, lambda R, e: R.streaming_average(e, "event_type", "ts", "value", 0.2, "event_id")).select("event_type", stamp("ts").alias("ts"), r6("average").alias("average"))
 
 
 # ---- relational operators as the flows use them ------------------------------------------------------------------
@@ -926,12 +944,13 @@ def return_matrix_all(spark, sf_dir):
     return wide.select(F.expr(DAY), *[F.col(f"`{n}`").alias(n.lower().replace("#", "_")) for n in names])
 
 
-@query("aligned_factor", EVENTS_SQL + ", u AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY ticker, ts) = 1), l AS (SELECT ticker, ts, lag(price, 1) OVER (PARTITION BY ticker ORDER BY ts) AS f FROM u) SELECT ticker, strftime(time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS bin, last(f ORDER BY ts) AS f FROM l WHERE f IS NOT NULL GROUP BY ALL")
-def aligned_factor(spark, sf_dir):
-    from pyspark.sql.window import Window
+LAGGED_SQL = "SELECT {0} AS lag, ticker, time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES AS bin, last(f ORDER BY ts, event_id) AS f FROM (SELECT *, lag(price, {0}) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS f FROM e) WHERE f IS NOT NULL GROUP BY ALL"
+
 
-    single = events(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker", "ts"))).filter("n = 1").withColumn("f", F.col("price"))
-    return B.lagged_factor(single, "f", 30).select("ticker", stamp("bin").alias("bin"), "f")
+@query("aligned_factor", EVENTS_SQL + f" SELECT ticker, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, f FROM ({LAGGED_SQL.format(1)})")
+def aligned_factor(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("f", F.col("price"))
+    return B.lagged_factor(rows, "f", 30, tie=["event_id"]).select("ticker", stamp("bin").alias("bin"), "f")
 
 
 # ---- whole flows ---------------------------------------------------------------------------------------------------
@@ -939,22 +958,6 @@ def aligned_factor(spark, sf_dir):
 REPORTED = {"momentum": MOMENTUM, "level": call("cs_rank", "volume"), "twin": call("cs_rank", "volume"), "reversal": call("neg", call("ts_zscore", "close", 8))}
 
 
-@query("factor_report")
-def factor_report(spark, sf_dir):
-    from panelforge.plans import flows
-
-    panel = B.forward_return(weekly_bars(spark, sf_dir), "close", 1)
-    r = flows.factor_report(panel, REPORTED, "r", 52)
-    return r.select("factor", "times", *[F.round(c, 6).alias(c) for c in ("mean_ic", "t_stat", "sharpe")])
-
-
-@query("backtest")
-def backtest(spark, sf_dir):
-    from panelforge.plans import flows
-
-    return flows.backtest(factor_panel(spark, sf_dir), "f", "r", 1, 16.0, 52).select(F.expr(DAY), r6("pnl").alias("pnl"))
-
-
 @query("leakage_check")
 def leakage_check(spark, sf_dir):
     """How many (week, ticker) values of the flagship change when only later rows do: none."""

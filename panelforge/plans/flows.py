@@ -75,8 +75,9 @@ def significance(report: DataFrame) -> DataFrame:
 
 
 def leaks(panel: DataFrame, factor, columns: list[str], times: list, scale: float = 0.1, tolerance: float = 1e-8, keys: Keys = KEYS) -> DataFrame:
-    """(test, entity) whose factor value at a test time changes when only later rows are perturbed. All tests run in one
-    job: the panel is copied once for each, the copies told apart by the entity; the noise is a hash of the row."""
+    """(test, entity) whose factor value at a test time changes when only later rows are perturbed. ``factor`` is a tree, or
+    a function (table, new column) -> table. All tests run in one job: the panel is copied once for each, the copies
+    told apart by the entity; the noise is a hash of the row."""
     tests = F.explode(F.array(*[F.struct(F.lit(i).alias("test"), F.lit(t).alias("at")) for i, t in enumerate(times)]))
     copies = panel.withColumn("__t", tests).select("*", "__t.test", "__t.at").drop("__t")
     noise = lambda c: (F.pmod(F.xxhash64(keys.entity, keys.time, F.lit(c)), F.lit(2001)) - 1000) / 1000.0
@@ -85,7 +86,8 @@ def leaks(panel: DataFrame, factor, columns: list[str], times: list, scale: floa
     shaken = copies.withColumns({c: F.when(after, F.col(c) * (1 + scale * noise(c))).otherwise(F.col(c)) for c in columns})
 
     def value(df: DataFrame, name: str) -> DataFrame:
-        out = compiled(df.withColumns(entity), {name: factor}, keys)
+        df = df.withColumns(entity)
+        out = factor(df, name) if callable(factor) else compiled(df, {name: factor}, keys)
         return out.filter(F.col(keys.time) == F.col("at")).select("test", keys.entity, name)
 
     both = value(copies, "a").join(value(shaken, "b"), ["test", keys.entity])
@@ -110,14 +112,37 @@ def backtest(df: DataFrame, signal: str, r: str, lag: int = 1, half_life: float
     return evaluate.lagged_dot(df, "__w", r, [lag], keys).select(keys.time, "pnl")
 
 
+def optimised_pnl(df: DataFrame, f: str = "f", r: str = "r", lookback: int = 1008, least: int = 10, budget: float = 0.1, gross: float = 2.0, keys: Keys = KEYS) -> DataFrame:
+    """(time, pnl): the factor's normal scores over names that have a return too, optimised long-short under the variances
+    of the ``lookback`` rows before, times the return; null below ``least`` names."""
+    from panelforge.functions.factor import clip, cs_rank
+
+    c = keys.cross()
+    before = keys.series().rowsBetween(-lookback, -1)
+    df = df.withColumns({"__var": F.var_samp(r).over(before), "__rows": F.count(F.lit(1)).over(before)})
+    df = df.filter(F.col(f).isNotNull() & F.col(r).isNotNull())
+    n = F.count(F.lit(1)).over(c)
+    score = F.when(n > 2, clip(portfolio.inverse_normal(cs_rank(F.col(f), keys) * n / (n + 1)), F.lit(-3.0), F.lit(3.0))).otherwise(F.col(f))
+    variance = F.when(F.col("__rows") >= 20, F.greatest(F.col("__var"), F.lit(1e-6))).otherwise(F.abs(r) + 1e-6)
+    df = df.withColumns({"__n": n, "__score": score, "__v": variance}).select(keys.time, keys.entity, r, "__n", "__score", "__v")
+    weights = portfolio.optimised(df, "__score", "__v", "__w", budget, 0.0, gross, keys=keys)
+    return weights.groupBy(keys.time).agg(F.when(F.first("__n") >= least, F.sum(F.col("__w") * F.col(r))).alias("pnl"))
+
+
 def sweep(df: DataFrame, signal: str, r: str, half_lives: list[float], lags: list[int], periods: int = 2016, keys: Keys = KEYS) -> DataFrame:
-    """(half_life, lag, sharpe) over a grid of settings; pivot it at a sink."""
-    out = None
-    for h in half_lives:
-        for k in lags:
-            s = evaluate.sharpe(backtest(df, signal, r, k, h, periods, keys=keys), "pnl", periods).select(F.lit(float(h)).alias("half_life"), F.lit(k).alias("lag"), "sharpe")
-            out = s if out is None else out.unionByName(s)
-    return out
+    """(half_life, lag, sharpe) over a grid of settings, pivoted at a sink. Signal ranks are worked out once, all variances
+    in one pass by name, and all lags in one pass over the weights."""
+    df = portfolio.gaussianised(df, signal, "__alpha", keys=keys).select(keys.time, keys.entity, r, "__alpha")
+    for i, h in enumerate(half_lives):
+        df = kernels.ewma_variance(df, r, f"__v{i}", h, periods, keys=keys)
+    stacked = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("half_life"), F.col(f"__v{i}").alias("v")) for i, h in enumerate(half_lives)]))
+    rows = df.select(keys.time, keys.entity, r, "__alpha", stacked.alias("p")).select(keys.time, r, "__alpha", "p.half_life", "p.v", F.struct("p.half_life", keys.entity).alias("__name"))
+    by = Keys("__name", "__at")
+    rows = rows.withColumn("__at", F.struct("half_life", keys.time))
+    rows = rows.withColumn("__v", F.lag("v", 1).over(by.series())).filter("__v is not null")
+    weights = portfolio.long_short(rows, "__alpha", "__v", "__w", keys=by)
+    dots = evaluate.lagged_dot(weights, "__w", r, lags, by).select("__at.half_life", "lag", "pnl")
+    return evaluate.sharpe(dots, "pnl", periods, ["half_life", "lag"]).select("half_life", "lag", "sharpe")
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:

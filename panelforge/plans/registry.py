@@ -1,5 +1,5 @@
 """All queries of the library and their SQL."""
 
-from panelforge.plans import catalogue
+from panelforge.plans import catalogue, inventory
 
-QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES
+QUERIES, ORACLES = {**catalogue.QUERIES, **inventory.QUERIES}, {**catalogue.ORACLES, **inventory.ORACLES}

@@ -30,14 +30,21 @@ def streaming_sessions(events: DataFrame, entity: str, time: str, gap: str = "30
     return g.select(entity, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def streaming_average(events: DataFrame, entity: str, time: str, value: str, alpha: float) -> DataFrame:
+def closing_event(events: DataFrame, time: str, after: str) -> DataFrame:
+    """One row with nothing but a time, ``after`` the last of the table ``events``: streamed beside it, it moves the
+    watermark past every real row, so that all windows and sessions come out. It belongs to no entity."""
+    last = events.agg((F.max(F.col(time).cast("timestamp")) + F.expr(f"INTERVAL {after}")).alias("__t"))
+    return last.select(*[F.col("__t").cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+
+
+def streaming_average(events: DataFrame, entity: str, time: str, value: str, alpha: float, tie: str | None = None) -> DataFrame:
     """(entity, time, value, average): an exponentially weighted average by entity whose last value is kept as state.
-    Rows of a batch are taken in order of time."""
+    Rows of a batch are taken in order of time, equal times in order of ``tie``."""
     kind = events.schema[entity].dataType.simpleString()
     schema = f"{entity} {kind}, {time} timestamp, {value} double, average double"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        rows = pd.concat(list(batches)).sort_values([time, *([tie] if tie else [])], kind="stable")
         average = state.get[0] if state.exists else None
         out = []
         for x in rows[value]:
@@ -48,7 +55,7 @@ def streaming_average(events: DataFrame, entity: str, time: str, value: str, alp
             state.update((average,))
         yield rows[[entity, time, value]].assign(average=out)
 
-    return events.select(entity, F.col(time).cast("timestamp").alias(time), F.col(value).cast("double").alias(value)).groupBy(entity).applyInPandasWithState(run, schema, "average double", "append", "NoTimeout")
+    return events.select(entity, F.col(time).cast("timestamp").alias(time), F.col(value).cast("double").alias(value), *([tie] if tie else [])).groupBy(entity).applyInPandasWithState(run, schema, "average double", "append", "NoTimeout")
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
