@@ -12,7 +12,8 @@ block at all.
 
 Defined cases. Null or empty html gives an empty text. Unclosed or stray tags
 are accepted: a block element ends an open paragraph, an end tag without its
-start is ignored, and the end of the page closes everything. A template, control
+start is ignored, and the end of the page closes everything and drops a tag that it
+cuts off. Work grows with the page's length, however deep its elements are nested. A template, control
 or drawing whose end tag is missing hides its own text only, not the headings,
 paragraphs, sections and other such elements that come to lie inside it. Character
 references are decoded after the tags are found. Repeated rows give repeated
@@ -29,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.common import mapped, slices, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag (a quote counts in a value only, and one that is never closed does not) or a declaration.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*>", re.S)
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 SPACE = re.compile(r"\s+")
+OPEN_END = re.compile(r"<[A-Za-z/!?]")  # a tag or comment that the page ends in
 RAW = {"script", "style", "title", "textarea", "iframe"}  # HTML reads these up to their end tag
 #: Elements whose blocks are boilerplate; their tags are read as any others.
 NEVER = {"noscript", "template", "svg", "object", "select", "datalist", "optgroup", "option", "button", "math", "canvas", "audio", "video"}
@@ -52,20 +56,81 @@ BIAS, IN_ARTICLE, IN_MAIN, IN_SECTION, MARKED_AGAINST, MARKED_FOR, LINKED, LONG,
 SMOOTH = 0.9
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether an element's own attributes hide it: hidden, aria-hidden="true", or such a style."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and UNSEEN.search(value)):
+            return True
+    return False
+
+
+class Node:
+    """An open element other than an inline one. What its ancestors say is carried along, so a block needs no list of
+    them: ``odds`` and ``inner`` for the classifier, the depths of the last flow element and article for ``shown``."""
+
+    __slots__ = ("name", "parent", "depth", "border", "inner", "article", "main", "odds", "flow", "story", "ended", "open_never", "ended_never", "never")
+
+    def __init__(self, name: str, marks: str, parent: "Node | None"):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 1
+        own = name in ("article", "main")
+        against, header = bool(marks and WORDS_AGAINST.search(marks)), bool(marks and HEADER.search(marks))
+        self.border = own or name in SECTIONS or against or header
+        self.inner = own or bool(parent and parent.inner)  # a section element inside the article may hold its headline
+        self.article, self.main = (name == "article" or bool(parent and parent.article)), (name == "main" or bool(parent and parent.main))
+        odds = parent.odds if parent else 0.0
+        if name in SECTIONS and not (name == "header" and self.inner):
+            odds += IN_SECTION
+        if against or (header and not self.inner):
+            odds += MARKED_AGAINST
+        elif marks and WORDS_FOR.search(marks):
+            odds += MARKED_FOR
+        self.odds = odds
+        self.flow = self.depth if name in FLOW or "-" in name else (parent.flow if parent else 0)
+        self.story = self.depth if own else (parent.story if parent else 0)
+        self.ended = False
+
+    def settle(self) -> None:
+        """Once the page is read: the depths of the deepest ancestors of NEVER without and with an end tag, and whether
+        one of those hides whatever it holds. Parents are settled first."""
+        up = self.parent
+        self.open_never, self.ended_never, self.never = (up.open_never, up.ended_never, up.never) if up else (0, 0, False)
+        if self.name in NEVER:
+            if not self.ended:
+                self.open_never = self.depth
+            else:
+                self.ended_never = self.depth
+                self.never |= self.name in ("noscript", "template")
+
+    def shown(self) -> bool:
+        """Whether a block here may be content: not in an element of NEVER before its end tag, nor in the own text of one
+        without. An article that an end tag far behind would enclose is not part of a control or drawing."""
+        return not self.never and (not self.open_never or self.flow > self.open_never) and (not self.ended_never or self.story > self.ended_never)
+
+
 class Block:
-    __slots__ = ("text", "path", "linked", "against", "tag")
+    __slots__ = ("text", "node", "linked")
 
-    def __init__(self, text, path, linked, against, tag):
-        self.text, self.path, self.linked, self.against, self.tag = text, path, linked, against, tag
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order, in time that grows with its length whatever its tags."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = []  # (element, number, its class, id and role)
+    nodes: list[Node] = []
+    stack: list[tuple[str, Node | None]] = []  # open elements; an inline one has no node
+    solid: list[int] = []  # places in the stack of those that are not inline
+    inline: list[dict[str, int]] = [{}]  # open inline elements since the last of those, by name
+    count: dict[str, int] = {}  # open elements that are not inline, by name
     parts: list[str] = []
-    links, link_chars, at, count = 0, 0, 0, 0
-    ended: set[int] = set()  # the elements of NEVER that have their end tag
+    links, link_chars, at, last = 0, 0, 0, page.rfind(">")
+
+    def top() -> Node | None:
+        return stack[solid[-1]][1] if solid else None
 
     def flush() -> None:
         nonlocal link_chars
@@ -73,28 +138,31 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                block = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")
-                out.append(Block(text, tuple(s for s in stack if s[0] not in INLINE), link_chars, None, block))
+                out.append(Block(text, top(), link_chars))
         link_chars = 0
 
-    def text_of(chunk: str) -> None:
-        nonlocal link_chars
-        parts.append(chunk)
-        if links:
-            link_chars += len(chunk.strip())
-
     def close(k: int) -> None:
         nonlocal links
-        for name, _, _ in stack[k:]:
-            if name == "a":
-                links -= 1
+        for name, node in reversed(stack[k:]):
+            if node:
+                solid.pop()
+                inline.pop()
+                count[name] -= 1
+            else:
+                inline[-1][name] -= 1
+                links -= name == "a"
         del stack[k:]
 
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         end = m.start() if m else len(page)
+        if not m and (cut := OPEN_END.search(page, at)):
+            end = cut.start()
         if end > at:
-            text_of(page[at:end])
+            chunk = page[at:end]
+            parts.append(chunk)
+            if links:
+                link_chars += len(chunk.strip())
         if not m:
             break
         at = m.end()
@@ -102,15 +170,20 @@ def blocks(page: str) -> list[Block]:
             continue
         name, attrs = m[2].lower(), m[3]
         if m[1]:
-            if name not in INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    ended.add(stack[k][1])
+            if name in INLINE:
+                if inline[-1].get(name):
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
                     close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+                continue
+            flush()
+            if count.get(name):
+                k = len(solid) - 1
+                while stack[solid[k]][0] != name:
+                    k -= 1
+                stack[solid[k]][1].ended = True
+                close(solid[k])
             continue
         if name in RAW and not attrs.endswith("/"):
             if name not in INLINE:
@@ -118,65 +191,44 @@ def blocks(page: str) -> list[Block]:
             over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = over.end() if over else len(page)
             continue
-        if name not in INLINE:
-            flush() if name != "br" else parts.append(" ")
-            if name != "br":
-                for k in range(len(stack) - 1, -1, -1):
-                    if (stack[k][0] == "p" and name not in NEVER) or stack[k][0] in IMPLIED.get(name, ()):
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+        if name == "br":
+            parts.append(" ")
+        elif name not in INLINE:
+            flush()
+            if solid and (((above := stack[solid[-1]][0]) == "p" and name not in NEVER) or above in IMPLIED.get(name, ())):
+                close(solid[-1])
         if name in VOID or attrs.endswith("/"):
             continue
-        count += 1
+        if name in INLINE:
+            inline[-1][name] = inline[-1].get(name, 0) + 1
+            stack.append((name, None))
+            links += name == "a"
+            continue
         marks = " ".join(x for y in MARKS.findall(attrs) for x in y if x) if attrs else ""
-        if attrs and HIDDEN.search(attrs):
+        if attrs and is_hidden(attrs):
             marks += " popup"
-        stack.append((name, count, marks))
-        links += name == "a"
+        node = Node(name, marks, top())
+        nodes.append(node)
+        solid.append(len(stack))
+        stack.append((name, node))
+        inline.append({})
+        count[name] = count.get(name, 0) + 1
     flush()
-    return [b for b in out if not _hidden(b, ended)]
-
-
-def _hidden(block: Block, ended: set[int]) -> bool:
-    """Whether a block lies in an element of NEVER: anywhere before its end tag, or in its own text if that is missing.
-    An article that an end tag far behind would enclose is not part of a control or drawing."""
-    for k, (name, number, _) in enumerate(block.path):
-        if name in NEVER:
-            inner = {x[0] for x in block.path[k + 1 :]}
-            if number not in ended:
-                free = not FLOW.isdisjoint(inner) or any("-" in x for x in inner)
-            else:
-                free = name not in ("noscript", "template") and not inner.isdisjoint(("article", "main"))
-            if not free:
-                return True
-    return False
+    for node in nodes:
+        node.settle()
+    return [b for b in out if b.node is None or b.node.shown()]
 
 
 def log_odds(block: Block) -> float:
     """The classifier: above 0 a block looks like content."""
-    x, names = BIAS, {s[0] for s in block.path}
-    if "article" in names:
-        x += IN_ARTICLE
-    if "main" in names:
-        x += IN_MAIN
-    inner = False  # a section element inside the article may hold its headline
-    for name, _, marks in block.path:
-        if name in ("article", "main"):
-            inner = True
-        if name in SECTIONS and not (name == "header" and inner):
-            x += IN_SECTION
-        if marks:
-            if WORDS_AGAINST.search(marks) or (not inner and HEADER.search(marks)):
-                x += MARKED_AGAINST
-            elif WORDS_FOR.search(marks):
-                x += MARKED_FOR
-    n = len(block.text)
+    x, node, n = BIAS, block.node, len(block.text)
+    if node:
+        x += node.odds + IN_ARTICLE * node.article + IN_MAIN * node.main
     x += LINKED * min(1.0, block.linked / n) + LONG * min(n, 200) / 200
-    if block.tag == "li":
+    tag = node.name if node else ""
+    if tag == "li":
         x += LISTED
-    if block.tag in ("p", "pre", "blockquote") or (block.tag[:1] == "h" and block.tag[1:].isdigit()):
+    if tag in ("p", "pre", "blockquote") or (tag[:1] == "h" and tag[1:].isdigit()):
         x += PARAGRAPH
     return x
 
@@ -184,16 +236,18 @@ def log_odds(block: Block) -> float:
 def _near(a: Block, b: Block) -> float:
     """The strength of the edge between two blocks: SMOOTH over the steps between their parents in the tree, and
     none across the border of a section, article or marked element."""
-    pa_, pb = a.path[:-1] if a.path else (), b.path[:-1] if b.path else ()
-    common = 0
-    for x, y in zip(pa_, pb, strict=False):
-        if x[1] != y[1]:
-            break
-        common += 1
-    for name, _, marks in (*a.path[common:], *b.path[common:]):
-        if name in SECTIONS or name in ("article", "main") or (marks and (WORDS_AGAINST.search(marks) or HEADER.search(marks))):
+    if (a.node and a.node.border) or (b.node and b.node.border):
+        return 0.0
+    x, y, steps = a.node and a.node.parent, b.node and b.node.parent, 0
+    while x is not y:  # up from the deeper one until the paths meet
+        if y is None or (x is not None and x.depth >= y.depth):
+            x, left = x.parent, x
+        else:
+            y, left = y.parent, y
+        if left.border:
             return 0.0
-    return SMOOTH / (1 + len(pa_) + len(pb) - 2 * common)
+        steps += 1
+    return SMOOTH / (1 + steps)
 
 
 def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -207,39 +261,43 @@ def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[
         if c > 0:
             flow[i][j] = flow[i].get(j, 0.0) + c
             flow[j][i] = flow[j].get(i, 0.0) + c
-    tiny = 1e-12
-    while True:
-        before = {i: -1 for i in range(n) if excess[i] > tiny}
-        work, goal, at = list(before), -1, 0
-        while at < len(work) and goal < 0:
-            i = work[at]
-            at += 1
-            if room[i] > tiny:
-                goal = i
+    tiny, dead = 1e-12, bytearray(n)
+    for source in range(n):
+        # Nodes that an exhausted source reaches can reach no sink, now or later: they are on the source's side.
+        while excess[source] > tiny and not dead[source]:
+            before, work, goal, at = {source: -1}, [source], -1, 0
+            while at < len(work):
+                i = work[at]
+                at += 1
+                if room[i] > tiny:
+                    goal = i
+                    break
+                for j, c in flow[i].items():
+                    if c > tiny and j not in before and not dead[j]:
+                        before[j] = i
+                        work.append(j)
+            if goal < 0:
+                for i in work:
+                    dead[i] = 1
                 break
-            for j, c in flow[i].items():
-                if c > tiny and j not in before:
-                    before[j] = i
-                    work.append(j)
-        if goal < 0:
-            return [i in before for i in range(n)]
-        path = [goal]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        push = min([room[goal], excess[path[-1]], *(flow[path[k + 1]][path[k]] for k in range(len(path) - 1))])
-        room[goal] -= push
-        excess[path[-1]] -= push
-        for k in range(len(path) - 1):
-            flow[path[k + 1]][path[k]] -= push
-            flow[path[k]][path[k + 1]] = flow[path[k]].get(path[k + 1], 0.0) + push
+            path = [goal]
+            while before[path[-1]] >= 0:
+                path.append(before[path[-1]])
+            push = min([room[goal], excess[source], *(flow[path[k + 1]][path[k]] for k in range(len(path) - 1))])
+            room[goal] -= push
+            excess[source] -= push
+            for k in range(len(path) - 1):
+                flow[path[k + 1]][path[k]] -= push
+                flow[path[k]][path[k + 1]] = flow[path[k]].get(path[k + 1], 0.0) + push
+    return [bool(x) for x in dead]
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
     """Edges between neighbours and between blocks that follow one another under one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
+    last: dict[Node | None, int] = {}
     for i, b in enumerate(found):
-        parent = b.path[-2][1] if len(b.path) > 1 else 0
+        parent = b.node.parent if b.node else None
         for j in {i - 1, last.get(parent, -1)}:
             if j >= 0:
                 edges[j, i] = _near(found[j], b)

@@ -193,6 +193,28 @@ def test_open_controls_do_not_swallow_the_page():
         assert html_extract.main_text(f"<article><p>One <{x} a=b><i>no</i><p>no</{x}> two.</p><p>Three.</p></article>") == "One two. Three.", x
 
 
+def test_only_own_attributes_hide_an_element():
+    body = "<p>One two three four five.</p>"
+    for shown in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="true"', 'title="a hidden gem"', 'style="overflow:hidden"'):
+        assert html_extract.main_text(f"<article {shown}>{body}</article>") == "One two three four five.", shown
+    for gone in ("hidden", 'hidden=""', 'aria-hidden="true"', "style='color:red; display : none'", 'style="visibility:hidden"', "HIDDEN class=x"):
+        assert html_extract.main_text(f"<article>{body}<div {gone}><p>No.</p></div></article>") == "One two three four five.", gone
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    body = "<article><p>One two three four.</p></article>"
+    for piece in ("<div>x", '<a "', "<a ='", "<b>", "<b><i></u>", "<p><b>", "</x>", "<svg>", "<li>x", "<div><p>word word word", "<!-", "<a ", "<script"):
+        began = time.perf_counter()
+        html_extract.main_text(body + piece * 100_000)
+        assert time.perf_counter() - began < 15, piece
+    deep = html_extract.main_text("<main>" + "<div>" * 100_000 + "<p>One two three four.</p>" + "</div>" * 100_000 + "<p>Five.</p>")
+    assert deep == "One two three four. Five."
+    mixed = html_extract.main_text("<main>" + "".join(f"<p>word {i} of it</p><p><a href=x>go on</a></p>" for i in range(30_000)))
+    assert mixed.startswith("word 0 of it")
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
