@@ -21,6 +21,11 @@ by a value of six characters or more; the span covers the whole match), access
 Defined cases. Null text counts as empty: no spans, and base_sha256 is the
 digest of the empty string. Repeated rows give repeated answers; an empty table
 gives an empty result; other columns are not read. Texts are never cut.
+Compressed content, whatever its size, is inflated and looked at in windows of 1 MB
+that end at white space (or share 64 KB where there is none), so memory stays
+bounded; only a finding or base64 run that is longer than what two windows share,
+without any white space, may be seen in parts. Equal windows at one place are
+looked at once, and content that begins as one that holds it is not unwrapped again.
 """
 
 from __future__ import annotations
@@ -52,6 +57,8 @@ BEHIND = re.compile(r"[+/_-]")
 PACKED = re.compile(r"(?<![A-Za-z0-9])(?:H4sI|[CGKOSWae][A-P])")
 STANDARD = str.maketrans("-_", "+/")
 GZIP = b"\x1f\x8b\x08"
+#: Bytes of compressed content that are looked at together, that two windows share at most, and that one step inflates.
+WINDOW, OVERLAP, PIECE = 1 << 20, 1 << 16, 1 << 18
 #: Bytes without any of these hold neither a finding nor a further layer.
 WORTH = re.compile(rb"passw|secret|token|api_?key|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#", re.I)
 WIDE = re.compile(rb"(?:[\t-\r -~]\x00){8,}[\t-\r -~]?")  # UTF-16 of either byte order
@@ -96,50 +103,145 @@ def _packed(raw: bytes, at: int) -> bool:
     return raw[at : at + 3] == GZIP or (len(raw) > at + 1 and raw[at] & 0x8F == 8 and (raw[at] << 8 | raw[at + 1]) % 31 == 0)
 
 
-def _stream(raw: bytes, at: int) -> tuple[bytes, int, bool]:
-    """(content, end, whether it is whole) of the stream at ``at``, up to the first damaged byte. Read in growing
-    steps, so that a short stream costs little before a long rest."""
-    d, got, step = zlib.decompressobj(47), [], 256
+def _inflated(raw: bytes, at: int, sink=None) -> tuple[int, bool, bool]:
+    """(end, whether it is whole, whether it holds anything) of the stream at ``at``, up to the first damaged byte; its
+    content goes to ``sink`` in pieces of bounded size. Read in growing steps, so that a short stream costs little
+    before a long rest."""
+    d, step, any_ = zlib.decompressobj(47), 256, False
     while at < len(raw) and not d.eof:
-        before, piece = d.copy(), memoryview(raw)[at : at + step]
+        before, piece = d.copy(), raw[at : at + step]
         try:
-            got.append(d.decompress(piece))
+            out = [d.decompress(piece, PIECE)]
         except zlib.error:
             try:
+                out = []
                 for k in range(len(piece)):
-                    got.append(before.decompress(piece[k : k + 1]))
+                    out.append(before.decompress(piece[k : k + 1]))
             except zlib.error:
                 pass
-            return b"".join(got), at + k, False
-        at += len(piece) - len(d.unused_data)
-        step = min(2 * step, 1 << 20)
-    return b"".join(got), at, d.eof
+            if sink:
+                for x in out:
+                    sink(x)
+            return at + k, False, any_ or any(out)
+        any_ = any_ or bool(out[0])
+        if sink:
+            sink(out[0])
+        at += len(piece) - len(d.unused_data) - len(d.unconsumed_tail)
+        step = min(2 * step, 1 << 16)
+    while not d.eof and (rest := d.decompress(b"", PIECE)):
+        any_ = True
+        if sink:
+            sink(rest)
+    return at, d.eof, any_
+
+
+class _Content:
+    """The content of one stream, taken in pieces: windows of it go to ``visit``, and what is compressed inside it to
+    contents of its own. Windows end at white space where there is some, else they overlap, so that a finding is whole
+    in one of them. A content that begins as one that it came out of does is not unwrapped again."""
+
+    def __init__(self, visit, above: tuple[bytes, ...] = ()):
+        self.visit, self.above, self.window, self.inner, self.fed, self.over = visit, above, bytearray(), None, 0, False
+
+    def write(self, piece: bytes) -> None:
+        if not self.over:
+            self.window += piece
+            while len(self.window) >= WINDOW:
+                self._cut(False)
+
+    def close(self) -> None:
+        if self.window and not self.over:
+            self._cut(True)
+        if self.inner:
+            self.inner.close()
+
+    def _cut(self, last: bool) -> None:
+        body = bytes(self.window[:WINDOW])
+        if self.inner is None:
+            own = hashlib.blake2b(body, digest_size=16).digest()
+            if own in self.above:
+                self.over = True
+                return
+            self.inner = _Unwrapped(lambda: _Content(self.visit, (*self.above, own)))
+        self.inner.write(body[self.fed :])
+        end = len(body)
+        if not last and (space := max(body.rfind(x) for x in (b" ", b"\n", b"\t", b"\r"))) > OVERLAP:
+            end = space + 1
+        self.visit(body[:end])
+        back = 0 if last or end < len(body) else OVERLAP
+        del self.window[: end - back]
+        self.fed = len(body) - (end - back)
+
+
+class _Unwrapped:
+    """Streams found in bytes that come piece by piece: at their start, behind one another, and gzip behind anything."""
+
+    def __init__(self, content):
+        self.content, self.rest, self.d, self.start, self.held = content, b"", None, True, None
+
+    def write(self, piece: bytes) -> None:
+        self.rest += piece
+        while self.rest:
+            if self.d is None and not self._found():
+                return
+            if not self._step():
+                return
+
+    def close(self) -> None:
+        if self.held:
+            self.held.close()
+
+    def _found(self) -> bool:
+        at = 0
+        if not (self.start and _packed(self.rest, 0)):
+            if len(self.rest) < 3 and (self.start or self.rest[:1] == GZIP[:1]):
+                return False
+            at = self.rest.find(GZIP)
+            if at < 0:
+                self.rest, self.start = self.rest[-2:], False
+                return False
+        self.rest, self.start = self.rest[at:], False
+        self.d, self.held = zlib.decompressobj(47), self.content()
+        return True
+
+    def _step(self) -> bool:
+        """Inflates some of what is held; whether to go on with the rest."""
+        data, before = self.rest[: 1 << 14], self.d.copy()
+        try:
+            self.held.write(self.d.decompress(data, PIECE))
+        except zlib.error:
+            try:
+                for k in range(len(data)):
+                    self.held.write(before.decompress(data[k : k + 1]))
+            except zlib.error:
+                pass
+            self.rest = self.rest[max(k, 2) :]  # what is behind the damage, or behind a header that was none
+            self._ended()
+            return True
+        used = len(data) - len(self.d.unused_data) - len(self.d.unconsumed_tail)
+        self.rest = self.rest[used:]
+        if self.d.eof:
+            self.start = True
+            self._ended()
+        return True
+
+    def _ended(self) -> None:
+        self.held.close()
+        self.d = self.held = None
 
 
 def _members(raw: bytes):
-    """(start, end, content) of the streams in ``raw``: at its start, behind one another, and gzip behind anything else."""
+    """(start, end) of the streams in ``raw``: at its start, behind one another, and gzip behind anything else."""
     at = 0
     while at < len(raw):
         if not _packed(raw, at) and (at := raw.find(GZIP, at)) < 0:
             return
-        out, end, complete = _stream(raw, at)
-        if out:
-            yield at, end, out
+        end, complete, any_ = _inflated(raw, at)
+        if any_:
+            yield at, end
         at = end if complete else at + 2
 
 
-def _inflated(raw: bytes):
-    """(start, end, content) of the streams in ``raw`` and, at the place of the outer one, of all streams inside them."""
-    seen = set()
-    work = list(_members(raw))
-    while work:
-        a, b, out = work.pop()
-        if (k := (a, b, hashlib.blake2b(out, digest_size=16).digest())) not in seen:
-            seen.add(k)
-            yield a, b, out
-            work += [(a, b, x) for _, _, x in _members(out)]
-
-
 def _rough(raw: bytes):
     """(text, index of each character's first byte, bytes a character) of what may be read in bytes that are not clean."""
     if WORTH.search(raw):
@@ -211,8 +313,8 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
-def _unpacked(layer: Layer | None, text: str):
-    """Layers held in base64 runs of ``text``, inflated where compressed."""
+def _unpacked(layer: Layer | None, text: str, visit):
+    """Layers held in base64 runs of ``text``; those of compressed content go to ``visit`` window by window."""
     above = bool(layer and layer.rough)
 
     def placed(new: str, lo: np.ndarray, hi: np.ndarray, rough: bool) -> Layer:
@@ -229,15 +331,22 @@ def _unpacked(layer: Layer | None, text: str):
             if not _packed(head, 0) or (s % 4 in done and (head == GZIP or s < done[s % 4])):
                 continue
             done[s % 4] = s
-            for x, y, out in _inflated(_decoded(run[s:])):
+            raw = _decoded(run[s:])
+            for x, y in _members(raw):
                 done[s % 4] = max(done[s % 4], s + y * 4 // 3)
                 lo, hi = a + s + x * 4 // 3, a + s - (-y * 4 // 3)
                 hi = b if hi >= a + len(own) - 1 else hi  # with the padding
-                if new := _printable(out):
-                    yield placed(new, np.full(len(new), lo), np.full(len(new), hi), False)
-                else:
-                    for new, _, _ in _rough(out):
-                        yield placed(new, np.full(len(new), lo), np.full(len(new), hi), True)
+
+                def seen(window: bytes, lo=lo, hi=hi) -> None:
+                    if new := _printable(window):
+                        visit(placed(new, np.full(len(new), lo), np.full(len(new), hi), False))
+                    else:
+                        for new, _, _ in _rough(window):
+                            visit(placed(new, np.full(len(new), lo), np.full(len(new), hi), True))
+
+                content = _Content(seen)
+                _inflated(raw, x, content.write)
+                content.close()
         behind = [0, *(x.end() for x in BEHIND.finditer(own))]
         clean = set()
         for s, e in {(0, len(own)), *(x.span() for pattern in PARTS for x in pattern.finditer(own) if len(behind) > 1)}:
@@ -258,19 +367,26 @@ def _unpacked(layer: Layer | None, text: str):
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): the second adds what the decoded layers hold, mapped to the original text."""
     base = base_spans(text)
-    found, rough, seen, work = set(base), set(), set(), [None]
-    while work:
-        layer = work.pop()
-        body = layer.text if layer else text
-        if layer:
-            for s, e, kind in base_spans(body):
-                (rough if layer.rough else found).add((int(layer.starts[s]), int(layer.ends[s:e].max()), kind))
-        new = [_replaced(layer, body, URL_RUN, _unquoted) if "%" in body else None]
-        new.append(_replaced(layer, body, ESCAPE, _unescaped) if "\\" in body or "&#" in body else None)
-        for x in [*new, *_unpacked(layer, body)]:
-            if x is not None and len(x.text) and (k := x.key()) not in seen:
-                seen.add(k)
-                work.append(x)
+    found, rough, seen = set(base), set(), set()
+
+    def visit(first: Layer | None) -> None:
+        work = [] if first is not None and (not len(first.text) or first.key() in seen) else [first]
+        if first is not None and work:
+            seen.add(first.key())
+        while work:
+            layer = work.pop()
+            body = layer.text if layer else text
+            if layer:
+                for s, e, kind in base_spans(body):
+                    (rough if layer.rough else found).add((int(layer.starts[s]), int(layer.ends[s:e].max()), kind))
+            new = [_replaced(layer, body, URL_RUN, _unquoted) if "%" in body else None]
+            new.append(_replaced(layer, body, ESCAPE, _unescaped) if "\\" in body or "&#" in body else None)
+            for x in [*new, *_unpacked(layer, body, visit)]:
+                if x is not None and len(x.text) and (k := x.key()) not in seen:
+                    seen.add(k)
+                    work.append(x)
+
+    visit(None)
     known = {(s, kind) for s, _, kind in found}
     found |= {x for x in rough if (x[0], x[2]) not in known}
     return base, sorted(found, key=lambda x: (x[0], x[2], x[1]))
