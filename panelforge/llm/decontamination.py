@@ -14,7 +14,13 @@ the most frequent terms, whose maxima together cannot decide, enter as a constan
 of the block, so that only the occurrences of the other terms are looked at. What
 is left is scored in full, and the shingles of question (all sentences but the
 last) and answer (the last) are counted in the passage. A document is contaminated
-when some passage holds ``overlap`` of an item's shingles.
+when some passage holds ``overlap`` of an item's shingles, and PART of those of its
+question and of its answer each.
+
+The pruning is WAND's test (upper bounds against a threshold) on block maxima; as
+thousands of passages are queries at once, it is made for all passages and blocks
+together, as sums over arrays, and not with a pivot that moves through one query's
+lists. What it lets pass is the same.
 
 The index is broadcast in parts of bounded size (``ITEMS_PER_INDEX`` items); a
 larger benchmark is searched part by part in one chain of maps.
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import mapped, slices, solid, table, whole, words
 
-SHINGLE, OVERLAP, K1, B = 5, 0.8, 1.2, 0.75
+SHINGLE, OVERLAP, PART, K1, B = 5, 0.8, 0.5, 1.2, 0.75
 BLOCK_ITEMS, ITEMS_PER_INDEX = 16, 20_000
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 SENTENCES = regex.compile(r"(?<=[.!?])\s+|\n+")
@@ -178,9 +184,10 @@ class Index:
                     whole_, answer = self.shingles[i], self.answers[i]
                     question = whole_ - answer
                     shared, in_answer = len(whole_ & held), len(answer & held)
-                    if shared >= self.overlap * len(whole_) - 1e-9:
-                        share = lambda n, s: n / len(s) if s else 1.0
-                        found.append((int(rows[a]), i, score, shared / len(whole_), share(len(question & held), question), share(in_answer, answer)))
+                    share = lambda n, s: n / len(s) if s else 1.0
+                    in_question, in_answer = share(len(question & held), question), share(in_answer, answer)
+                    if shared >= self.overlap * len(whole_) - 1e-9 and min(in_question, in_answer) >= PART:
+                        found.append((int(rows[a]), i, score, shared / len(whole_), in_question, in_answer))
             present[own] = False
         return found
 

@@ -16,7 +16,8 @@ Defined cases. Null or letterless text: ``und`` with score 0. Without any
 labelled row every text is ``und``. Ties between languages go to the first in
 alphabetical order. Repeated rows are scored alike, an empty table gives an empty
 result, other columns are not read. Characters outside the vocabulary have a
-small fixed probability in every language.
+small fixed probability in every language. A word of any length is scored whole; one
+of more than LONG characters takes memory for a stretch at a time.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MARK = "▁"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MAX_PIECE = 16
 UNKNOWN = 1e-7
+#: Characters of a word that the fit takes together, and beyond which a word is scored stretch by stretch.
+STRETCH, LONG = 24, 4096
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,10 +198,34 @@ class LanguageModel:
     def token_scores(self, tokens: list[str]) -> np.ndarray:
         """Log probability of every token in each language."""
         out = np.zeros((len(tokens), len(self.langs)))
-        for part, size, found in lattice(self.pieces, tokens):
-            out[part] = forward(size, found, self.probs)
+        long = np.array([len(t) > LONG for t in tokens], bool)
+        short = np.flatnonzero(~long)
+        for part, size, found in lattice(self.pieces, [tokens[i] for i in short]):
+            out[short[part]] = forward(size, found, self.probs)
+        for i in np.flatnonzero(long):
+            out[i] = self._long(tokens[i])
         return out
 
+    def _long(self, token: str) -> np.ndarray:
+        """The same for one long token, a stretch at a time: only the last places' sums are carried on."""
+        scale = np.zeros(len(self.langs))
+        for c in range(0, len(token), LONG):
+            off = min(c, MAX_PIECE)
+            part = token[c - off : c + LONG]
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            found = self.pieces.found(points, np.array([len(part)]), np.array([0]))
+            alpha = np.zeros((len(part) + 1, len(self.langs)))
+            alpha[: off + 1] = tail[-(off + 1) :] if c else 1
+            for p in range(off + 1, len(part) + 1):
+                for ell, _, ids in found.at(p):
+                    alpha[p] += alpha[p - ell] * self.probs[ids[0]]
+                if p % 8 == 0:
+                    top = alpha[max(0, p - MAX_PIECE + 1) : p + 1].max(axis=0)
+                    alpha[max(0, p - MAX_PIECE + 1) : p + 1] /= top
+                    scale += np.log(top)
+            tail = alpha[-(MAX_PIECE + 1) :].copy()
+        return np.log(tail[-1]) + scale
+
 
 def fit(samples: dict[str, dict[str, int]], path: str | None = None, rounds: int = 3, smoothing: float = 0.05) -> LanguageModel:
     """The model of ``samples``: for each language its words and their counts."""
@@ -206,7 +233,10 @@ def fit(samples: dict[str, dict[str, int]], path: str | None = None, rounds: int
     pieces = Pieces(vocab)
     probs = np.zeros((pieces.n + 1, len(langs)))
     for k, lang in enumerate(langs):
-        given = {w: c for w, c in samples[lang].items() if len(w) <= 24}
+        given: dict[str, int] = {}
+        for w, c in samples[lang].items():  # a longer word counts in stretches, which keeps its sums within a double's range
+            for i in range(0, len(w), STRETCH):
+                given[w[i : i + STRETCH]] = given.get(w[i : i + STRETCH], 0) + c
         tokens, counts = list(given), np.array(list(given.values()), float)
         p = np.full(pieces.n + 1, 1 / pieces.n)
         p[-1] = UNKNOWN
