@@ -20,9 +20,10 @@ table gives an empty result. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -56,10 +57,14 @@ def _conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def digest_of(text_col: str) -> Column:
+    return F.sha2(whole(text_col).cast("binary"), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, id, locator) of every row; the locator names the file that holds the content ('' if none does)."""
     return docs.select(
-        F.sha2(whole(text_col).cast("binary"), 256).alias("digest"),
+        digest_of(text_col).alias("digest"),
         F.col(id_col).cast("long").alias("id"),
         F.input_file_name().alias("locator"),
     )
@@ -87,7 +92,7 @@ def stream_state(spark: SparkSession, feed_path: str, schema: T.StructType, stat
 def _colliding(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Digests of ``hits`` under which rows differ in their bytes."""
     few = hits.count() <= BROADCAST_DIGESTS
-    rows = docs.select(F.sha2(whole(text_col).cast("binary"), 256).alias("digest"), whole(text_col).alias("body"))
+    rows = docs.select(digest_of(text_col).alias("digest"), whole(text_col).alias("body"))
     return (
         rows.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
         .groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
@@ -97,7 +102,7 @@ def _colliding(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) ->
 
 def _by_bytes(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The answer for rows under colliding digests, grouped by their bytes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("body"), F.sha2(whole(text_col).cast("binary"), 256).alias("digest")).join(bad, "digest", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("body"), digest_of(text_col).alias("digest")).join(bad, "digest", "left_semi")
     groups = rows.groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     return rows.join(groups, ["digest", "body"]).select("digest", "id", "keep_id", "n")
 
@@ -124,14 +129,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text."""
     groups = exact_groups(docs, id_col, text_col)
-    copies = groups.filter("group_size > 1").select(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).distinct()
-    tagged = docs.withColumn("__digest", F.sha2(whole(text_col).cast("binary"), 256)).withColumn("__null_id", F.col(id_col).isNull())
-    match = (tagged["__digest"] == copies["__digest"]) & tagged[id_col].cast("long").eqNullSafe(copies["__id"])
-    joined = tagged.join(copies, match, "left").drop(copies["__digest"])
-    single = joined.filter(F.col("__kept").isNull())
-    # Only rows that stay out of a group of copies can be repeated rows: one of them is left.
-    chosen = joined.filter("__kept").withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(1)))).filter("__n = 1").drop("__n")
-    return single.unionByName(chosen).select(*docs.columns)
+    own = lambda c: f"__{c}_{mark}"
+    mark = uuid.uuid4().hex  # no column of the table has such a name
+    copies = groups.filter("group_size > 1").select(F.col("text_sha256").alias(own("d")), F.col("doc_id").alias(own("i")), F.col("kept").alias(own("k"))).distinct()
+    tagged = docs.withColumn(own("digest"), digest_of(text_col)).withColumn(own("id"), F.col(id_col).cast("long"))
+    joined = tagged.join(copies, (F.col(own("digest")) == F.col(own("d"))) & F.col(own("id")).eqNullSafe(F.col(own("i"))), "left")
+    single = joined.filter(F.col(own("k")).isNull())
+    # Only rows that stay out of a group of copies can be repeated rows: one of them is left for each text.
+    one = Window.partitionBy(own("digest"), whole(text_col)).orderBy(F.lit(1))
+    chosen = joined.filter(own("k")).withColumn(own("n"), F.row_number().over(one)).filter(F.col(own("n")) == 1).drop(own("n"))
+    return single.unionByName(chosen).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,9 @@ def test_token_store(spark, mixed_docs, tmp_path):
         want.append((at, d, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert got == want
+    least = documents(spark, [(-(1 << 63), "a b"), (None, "c"), (0, "d")])
+    token_store.write_shards(least, f"file://{tmp_path}/l")
+    assert [r["doc_id"] for r in sorted(token_store.read_documents(spark, f"file://{tmp_path}/l").collect(), key=lambda r: r["start"])] == [None, -(1 << 63), 0]
     token_store.write_shards(documents(spark, []), f"file://{tmp_path}/e")
     assert token_store.read_documents(spark, f"file://{tmp_path}/e").count() == 0
 
@@ -178,6 +181,9 @@ def test_packing(spark, mixed_docs):
         x = ids[d][0]
         assert all(zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(x) for r in parts)
     assert packing.packed(documents(spark, [])).count() == 0
+    same = documents(spark, [(7 if i % 2 else None, "one text") for i in range(4000)])
+    parts = packing.along_curve(same.select("doc_id", "text").repartition(2), 4).groupBy("__part").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2000
 
 
 # ---- 3 pages --------------------------------------------------------------------------------
@@ -278,6 +284,18 @@ def test_rows_under_one_digest_are_told_apart(spark):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_deduplicated_under_one_digest_and_clashing_names(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a"), (2, "a"), (3, "b"), (3, "b"), (4, "c"), (5, None), (6, "")]
+    docs = documents(spark, rows).withColumns({c: F.lit(1) for c in ("__digest", "__id", "__kept", "__null_id", "__n", "digest")})
+    for digest in (exact_dedup.digest_of, lambda c: F.lit("x")):
+        monkeypatch.setattr(exact_dedup, "digest_of", digest)
+        left = exact_dedup.deduplicated(docs)
+        assert left.columns == docs.columns
+        assert sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == [(2, "a"), (3, "b"), (4, "c"), (6, "")]
+
+
 # ---- 5 urls -----------------------------------------------------------------------------------------
 
 
