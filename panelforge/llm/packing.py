@@ -33,6 +33,8 @@ from panelforge.llm.common import SMALL_SLICE_BYTES, mapped, mixed, slices, tabl
 from panelforge.llm.tokens import encoder
 
 LENGTH, DIMENSIONS, DEPTH, BUCKETS, TIE_BITS = 1024, 4, 11, 1 << 14, 18
+#: Parts of texts whose ids a worker keeps: fewer than elsewhere, as packing ends a long pipeline in one session.
+KNOWN_PARTS = 600_000
 #: Rows sampled for each partition border.
 SAMPLE_PER_PARTITION = 200
 #: For the borders a text counts once, and once more for each so many bytes.
@@ -123,7 +125,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def _packed(length: int, path: str | None):
     def run(batches):
-        enc, at, base = encoder(path), 0, TaskContext.get().partitionId() << 32
+        enc, at, base = encoder(path, KNOWN_PARTS), 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 rows = []

@@ -21,8 +21,8 @@ from panelforge.llm.common import KEPT, _coded, solid
 VOCABULARY = "byte_bpe_50k.json"
 #: A space that does not open a part: at the end or before white space (a wide reading of the latter).
 ODD_SPACE = r" (?:[\s\x0B\x1C-\x1F\x85\p{Z}]|\z)"
-#: Distinct parts that a worker keeps; those met later are encoded anew for each batch.
-KNOWN_PARTS = 1_500_000
+#: Distinct parts that a worker keeps (about 120 bytes each); those met later are encoded anew for each batch.
+KNOWN_PARTS = 1_300_000
 
 
 def vocabulary_path() -> str:
@@ -34,7 +34,8 @@ def vocabulary_path() -> str:
 class Encoder:
     """Encodes texts as whole texts would be, special tokens as ordinary text, without added ones."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, known_parts: int = KNOWN_PARTS):
+        self.known_parts = known_parts
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
@@ -46,8 +47,8 @@ class Encoder:
             self.token_bytes[i] = len(token)
         self.known: dict[str, int] = {}
         self.new: list[str] = []
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32), 0
+        self.starts, self.lengths, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,7 +88,7 @@ class Encoder:
 
     def _forget(self, n: int, used: int) -> None:
         """Once the table is full, rare parts met later are not kept."""
-        if len(self.known) > KNOWN_PARTS:
+        if len(self.known) > self.known_parts:
             for p in self.new:
                 del self.known[p]
             self.n, self.used = n, used
@@ -109,11 +110,11 @@ class Encoder:
         number[used] = self._numbers([" " + split.vocab[c] for c in used], True)
         part = number[split.codes]
         part[first] = self._numbers([split.vocab[c] for c in split.codes[first]], False)
-        lengths = self.lengths[part]
+        lengths = self.lengths[part].astype(np.int64)
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[part] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = ends[split.bounds[1:] - 1]
-        out = np.split(ids, cuts[:-1])
+        out = np.split(ids.astype(np.uint32), cuts[:-1])
         self._forget(*before)
         if pc.any(odd).as_py():
             which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
@@ -122,13 +123,13 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 KEPT["tokens"] = _ENCODERS.clear
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, known_parts: int = KNOWN_PARTS) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    key = path or ""
+    key = path or "", known_parts
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path)
+        _ENCODERS[key] = Encoder(path, known_parts)
     return _ENCODERS[key]
