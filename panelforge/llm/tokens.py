@@ -11,18 +11,22 @@ given to the library whole.
 from __future__ import annotations
 
 import os
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from panelforge.llm.common import KEPT, _coded, solid
+from panelforge.llm.common import KEPT, solid
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A space that does not open a part: at the end or before white space (a wide reading of the latter).
 ODD_SPACE = r" (?:[\s\x0B\x1C-\x1F\x85\p{Z}]|\z)"
 #: Distinct parts that a worker keeps (about 120 bytes each); those met later are encoded anew for each batch.
 KNOWN_PARTS = 1_300_000
+#: Characters whose parts are looked up at once.
+STRETCH = 1 << 21
 
 
 def vocabulary_path() -> str:
@@ -45,19 +49,20 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a byte-level token has a character for each byte
             self.token_bytes[i] = len(token)
-        self.known: dict[str, int] = {}
-        self.new: list[str] = []
+        # parts after a space, and a place to fill in for a text's opening part; then opening parts
+        self.known: defaultdict[str, int] = defaultdict(None, {"": 0})
+        self.openings: defaultdict[str, int] = defaultdict(None)
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32), 0
-        self.starts, self.lengths, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.starts, self.lengths, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 1
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts, how many each has). Each part opens with a space, so the library may encode them in one
-        string; the bytes that tokens stand for tell where a part ends."""
-        ids = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, np.int64)
-        ends = np.cumsum([len(p.encode()) for p in parts])
+        """(ids of all parts, how many each has), each with the space before it. As that space opens a part, the library
+        may encode them in one string; the bytes that tokens stand for tell where a part ends."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False).ids, np.int64)
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
         return ids, np.diff(at, prepend=0)
 
@@ -76,50 +81,75 @@ class Encoder:
         self.flat[self.used : total] = ids
         self.starts[self.n : need] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.n : need] = sizes
-        self.known.update(zip(parts, range(self.n, need), strict=True))
-        self.new += parts
         self.n, self.used = need, total
 
-    def _numbers(self, parts: list[str], joined: bool) -> np.ndarray:
-        known = self.known
-        if new := [p for p in dict.fromkeys(parts) if p not in known]:
-            self._learn(new, joined)
-        return np.fromiter((known[p] for p in parts), np.int64, len(parts))
+    def _numbers(self, parts: list[str], known: defaultdict[str, int]) -> np.ndarray:
+        """The number of every part; a part met first gets the next one and stands last in ``known``."""
+        before = len(known)
+        known.default_factory = count(self.n).__next__
+        found = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        if len(known) > before:
+            self._learn(list(islice(reversed(known), len(known) - before))[::-1], known is self.known)
+        return found
 
-    def _forget(self, n: int, used: int) -> None:
+    def _forget(self, inner: int, openings: int, n: int, used: int) -> None:
         """Once the table is full, rare parts met later are not kept."""
-        if len(self.known) > self.known_parts:
-            for p in self.new:
-                del self.known[p]
+        if len(self.known) + len(self.openings) > self.known_parts:
+            for known, size in ((self.known, inner), (self.openings, openings)):
+                while len(known) > size:
+                    known.popitem()
             self.n, self.used = n, used
-        self.new = []
+
+    def _stretch(self, texts: list[str], follows: bool) -> list[np.ndarray]:
+        """The ids of every text; if ``follows``, the first one stands after a space."""
+        before = len(self.known), len(self.openings), self.n, self.used
+        parts, bounds, openings = [], [0], []
+        for i, text in enumerate(texts):
+            own = text.split(" ")
+            if i or not follows:
+                openings.append(own[0])
+                own[0] = ""  # no part within a text is empty: see ODD_SPACE
+            parts += own
+            bounds.append(len(parts))
+        numbers = self._numbers(parts, self.known)
+        numbers[bounds[int(follows) : -1]] = self._numbers(openings, self.openings)
+        lengths = self.lengths[numbers].astype(np.int64)
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        self._forget(*before)
+        return np.split(ids.astype(np.uint32), ends[np.array(bounds[1:-1], np.int64) - 1])
+
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of a text of any length, gone through in stretches that end before a space."""
+        out, at, follows = [], 0, False
+        while True:
+            end = text.find(" ", at + STRETCH)
+            out += self._stretch([text[at:] if end < 0 else text[at:end]], follows)
+            if end < 0:
+                return np.concatenate(out)
+            at, follows = end + 1, True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text; null is the empty text."""
         if not len(texts):
             return []
         texts = solid(texts)
-        before = self.n, self.used
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
-        split = _coded(pc.split_pattern(pc.if_else(odd, "", texts), " "))
-        first = split.bounds[:-1]
-        inner = np.ones(len(split.codes), bool)
-        inner[first] = False
-        used = np.unique(split.codes[inner])
-        number = np.zeros(len(split.vocab), np.int64)
-        number[used] = self._numbers([" " + split.vocab[c] for c in used], True)
-        part = number[split.codes]
-        part[first] = self._numbers([split.vocab[c] for c in split.codes[first]], False)
-        lengths = self.lengths[part].astype(np.int64)
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[part] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = ends[split.bounds[1:] - 1]
-        out = np.split(ids.astype(np.uint32), cuts[:-1])
-        self._forget(*before)
-        if pc.any(odd).as_py():
-            which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-            for i, x in zip(which, self.direct(texts.take(pa.array(which)).to_pylist()), strict=True):
-                out[i] = x
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        whole, short, which, size = texts.to_pylist(), [], [], 0
+        for i, text in enumerate(whole):
+            if odd[i]:
+                out[i] = self.direct([text])[0]
+            elif len(text) > STRETCH:
+                out[i] = self._long(text)
+            else:
+                short.append(text)
+                which.append(i)
+                size += len(text)
+            if short and (size > STRETCH or i == len(whole) - 1):
+                for k, ids in zip(which, self._stretch(short, False), strict=True):
+                    out[k] = ids
+                short, which, size = [], [], 0
         return out
 
 

@@ -108,6 +108,20 @@ def test_each_language_keeps_its_own_words(spark, monkeypatch):
 # ---- 2 packing, 9 token store -----------------------------------------------------------
 
 
+def test_ids_are_the_same_in_stretches_and_with_a_full_table(monkeypatch):
+    pick = random.Random(3)
+    alphabet = ["a", "b", " ", " ", "\n", "\t", " the", "\u00e9", "\u4e2d", "'s", "12", ",", "\u00a0", "\u3000", "x" * 30, "<|endoftext|>"]
+    texts = ["".join(pick.choices(alphabet, k=pick.randrange(40))) for _ in range(1500)] + [None, "", " ", "  ", "a ", " a"]
+    want = tokens.Encoder().direct([t or "" for t in texts])
+    for stretch, known_parts in ((1 << 21, 10**6), (7, 10**6), (50, 30), (1 << 21, 1)):
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        enc = tokens.Encoder(known_parts=known_parts)
+        for _ in range(2):
+            got = enc.encode(pa.array(texts))
+            assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+        assert len(enc.known) + len(enc.openings) <= known_parts
+
+
 def test_parts_give_the_ids_of_whole_texts():
     texts = ["", "  a  b", "a ", "a \n b", "it's   x <|endoftext|> y", "\n\n x\n", "x 　y", "tab\t t", "日本語 テキスト", " \x1c a", "a\x85 b", "don't  we'll", sentence(random.Random(1), 400)]
     enc = tokens.Encoder()
