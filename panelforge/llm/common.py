@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/panelforge/{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size that the planner expects ``df`` to have: of the files it reads, in proportion to the columns it takes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_by_bytes(df: DataFrame, each: int) -> int:
+    """Partitions of about ``each`` bytes of the input files, but no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
+
+
+def moved(spark: SparkSession, old: str, new: str) -> bool:
+    """Renames a folder of the shared file system, so that its files appear in the new place at once; False if there is none."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(source):
+        return False
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{old} could not be moved to {new}")
+    return True
+
+
+@contextmanager
+def session_conf(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
