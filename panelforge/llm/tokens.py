@@ -3,14 +3,16 @@
 The byte-level vocabulary splits a text by a pattern before merging. A space
 followed by another character always opens a new part there, so a text can be cut
 before each such space, its parts encoded one by one, and the ids joined: the
-ids are those of the whole text. Parts recur, so each is looked up in a table
-that the worker keeps. Texts with a space at the end or before white space are
-given to the library whole.
+ids are those of the whole text. A space at the end or before white space is no such
+place and stays within its part. Parts recur, so each is looked up in a table
+that the worker keeps. A long text is gone through in stretches that end before the last
+white space of a run; only a stretch without any is as long as it happens to be.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from itertools import count, islice
 
@@ -23,6 +25,10 @@ from panelforge.llm.common import KEPT, solid
 VOCABULARY = "byte_bpe_50k.json"
 #: A space that does not open a part: at the end or before white space (a wide reading of the latter).
 ODD_SPACE = r" (?:[\s\x0B\x1C-\x1F\x85\p{Z}]|\z)"
+#: Spaces that open a part, in texts that have others too.
+OPENING = re.compile(r" (?!\s|\Z)")
+#: Where a long text may be cut: before white space that is followed by something else.
+CUT = re.compile(r"\s(?=\S)")
 #: Distinct parts that a worker keeps (about 120 bytes each); those met later are encoded anew for each batch.
 KNOWN_PARTS = 1_300_000
 #: Characters whose parts are looked up at once.
@@ -100,15 +106,15 @@ class Encoder:
                     known.popitem()
             self.n, self.used = n, used
 
-    def _stretch(self, texts: list[str], follows: bool) -> list[np.ndarray]:
-        """The ids of every text; if ``follows``, the first one stands after a space."""
+    def _stretch(self, texts: list[str], odd: list[bool], follows: bool) -> list[np.ndarray]:
+        """The ids of every text; ``odd``: it has spaces that open no part; if ``follows``, the first one stands after a space."""
         before = len(self.known), len(self.openings), self.n, self.used
         parts, bounds, openings = [], [0], []
         for i, text in enumerate(texts):
-            own = text.split(" ")
+            own = OPENING.split(text) if odd[i] else text.split(" ")
             if i or not follows:
                 openings.append(own[0])
-                own[0] = ""  # no part within a text is empty: see ODD_SPACE
+                own[0] = ""  # no part within a text is empty
             parts += own
             bounds.append(len(parts))
         numbers = self._numbers(parts, self.known)
@@ -119,15 +125,16 @@ class Encoder:
         self._forget(*before)
         return np.split(ids.astype(np.uint32), ends[np.array(bounds[1:-1], np.int64) - 1])
 
-    def _long(self, text: str) -> np.ndarray:
-        """The ids of a text of any length, gone through in stretches that end before a space."""
+    def _long(self, text: str, odd: bool) -> np.ndarray:
+        """The ids of a text of any length, gone through in stretches that end before white space."""
         out, at, follows = [], 0, False
         while True:
-            end = text.find(" ", at + STRETCH)
-            out += self._stretch([text[at:] if end < 0 else text[at:end]], follows)
-            if end < 0:
+            cut = CUT.search(text, at + STRETCH)
+            out += self._stretch([text[at : cut.start()] if cut else text[at:]], [odd], follows)
+            if not cut:
                 return np.concatenate(out)
-            at, follows = end + 1, True
+            follows = cut[0] == " "
+            at = cut.end() if follows else cut.start()
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text; null is the empty text."""
@@ -138,16 +145,14 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         whole, short, which, size = texts.to_pylist(), [], [], 0
         for i, text in enumerate(whole):
-            if odd[i]:
-                out[i] = self.direct([text])[0]
-            elif len(text) > STRETCH:
-                out[i] = self._long(text)
+            if len(text) > STRETCH:
+                out[i] = self._long(text, odd[i])
             else:
                 short.append(text)
                 which.append(i)
                 size += len(text)
             if short and (size > STRETCH or i == len(whole) - 1):
-                for k, ids in zip(which, self._stretch(short, False), strict=True):
+                for k, ids in zip(which, self._stretch(short, odd[which].tolist(), False), strict=True):
                     out[k] = ids
                 short, which, size = [], [], 0
         return out
