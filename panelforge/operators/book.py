@@ -115,6 +115,22 @@ def month_split(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
     return df.withColumn("split", F.when(F.month(keys.time) % 2 == 1, "train").when(position * 2 <= n, "valid").otherwise("test"))
 
 
+def day_blocks(df: DataFrame, time: str, by: str, blocks: int = 60) -> DataFrame:
+    """Adds block and split: the days of each series in ``blocks`` runs of about equal length; odd blocks train, of even ones
+    the first half valid, the rest test. Series with fewer days are left out. A day's number is the count of the series'
+    days below it, by ranges and without a window over them all."""
+    day = F.unix_date(F.to_date(time))
+    days = df.select(by, day.alias("__day")).filter("__day is not null").distinct().withColumn("c", F.lit(1).cast("long"))
+    numbered = with_below(days, "__day", [by]).select(F.col(by).alias("__by"), "__day", F.col("below").alias("__number"))
+    totals = days.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__days")).filter(F.col("__days") >= blocks)
+    numbered = numbered.join(totals, "__by")
+    begun = F.filter(F.sequence(F.lit(0), F.lit(blocks)), lambda i: F.floor(i * (F.col("__days") / F.lit(float(blocks)))) <= F.col("__number"))
+    numbered = numbered.withColumn("block", F.size(begun) - 1)
+    split = F.when(F.col("block") % 2 == 1, "train").when(F.col("block") / 2 < F.lit(-(-blocks // 2) // 2), "valid").otherwise("test")
+    out = df.withColumn("__d", day).join(numbered.withColumn("split", split), (F.col(by) == F.col("__by")) & (F.col("__d") == F.col("__day")))
+    return out.select(*df.columns, "block", "split")
+
+
 def rank_transform(df: DataFrame, column: str, train: DataFrame, new: str) -> DataFrame:
     """Share of the training values strictly below, by counts of the values of both tables; null for a null value."""
     counts = counted(train, column).unionByName(counted(df, column).withColumn("c", F.lit(0).cast("long")))

@@ -50,11 +50,17 @@ def embargo_split(df: DataFrame, time: str, label_end: str, cutoff: str, embargo
     return out.withColumn("split", split).drop("__border")
 
 
-def rolling_folds(spark, start: str, end: str, first_years: int = 4, months: int = 3) -> DataFrame:
-    """(fold, test_start, test_end): test windows that follow one another from ``first_years`` after the start."""
-    first = F.add_months(F.lit(start).cast("date"), 12 * first_years)
-    starts = F.sequence(first, F.lit(end).cast("date"), F.expr(f"INTERVAL {months} MONTHS"))
-    return spark.range(1).select(F.posexplode(starts).alias("fold", "test_start")).withColumn("test_end", F.add_months("test_start", months))
+def rolling_folds(df: DataFrame, time: str, first_years: int = 4, months: int = 3) -> DataFrame:
+    """(fold, test_start, test_end, train_rows, test_rows): test windows that follow one another from ``first_years`` after
+    the first row's day; a fold trains on all rows before its window. Rows are counted by day, folds by their days."""
+    days = df.select(F.to_date(time).alias("__day")).filter("__day is not null").groupBy("__day").agg(F.count(F.lit(1)).alias("__n"))
+    ends = days.agg(F.min("__day").alias("a"), F.max("__day").alias("b"))
+    steps = F.sequence(F.lit(0), F.floor(F.greatest(F.months_between("b", "a") - 12 * first_years, F.lit(0)) / months).cast("int"))
+    folds = ends.select("a", "b", F.explode(steps).alias("fold")).withColumns({k: F.add_months("a", 12 * first_years + months * (F.col("fold") + i)) for i, k in enumerate(("test_start", "test_end"))})
+    folds = folds.filter(F.col("test_start") <= F.col("b")).select("fold", "test_start", "test_end")
+    seen = days.join(F.broadcast(folds), F.col("__day") < F.col("test_end"))  # as many folds as quarters
+    test = F.col("__day") >= F.col("test_start")
+    return seen.groupBy("fold", "test_start", "test_end").agg(F.sum(F.when(~test, F.col("__n")).otherwise(0)).alias("train_rows"), F.sum(F.when(test, F.col("__n")).otherwise(0)).alias("test_rows"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:

@@ -30,17 +30,20 @@ TAIL = (
 # End of the fixed values.
 
 
-def inverse_normal(u: Column) -> Column:
-    """The standard normal quantile to 1e-15 (relative), all Columns: one rational function near the median, two in the tails."""
+def with_inverse_normal(df: DataFrame, u: Column, new: str) -> DataFrame:
+    """Adds the standard normal quantile of ``u`` to 1e-15 (relative): one rational function near the median, two in the
+    tails. Each step is a column of its own, so that generated code holds no argument twice."""
 
     def ratio(x: Column, parts) -> Column:
         top, bottom = (reduce(lambda a, c: a * x + c, reversed(p[:-1]), F.lit(p[-1])) for p in parts)
         return top / bottom
 
-    q = u - 0.5
-    r = F.sqrt(-F.ln(F.least(u, 1 - u)))
-    tail = F.when(r <= 5, ratio(r - 1.6, MIDDLE)).otherwise(ratio(r - 5, TAIL))
-    return F.when(F.abs(q) <= 0.425, q * ratio(0.180625 - q * q, CENTRE)).otherwise(F.signum(q) * tail)
+    df = df.withColumn("__iu", u)
+    df = df.withColumns({"__iq": F.col("__iu") - 0.5, "__ir": F.sqrt(-F.ln(F.least("__iu", 1 - F.col("__iu"))))})
+    df = df.withColumns({"__ic": 0.180625 - F.col("__iq") * F.col("__iq"), "__im": F.col("__ir") - 1.6, "__it": F.col("__ir") - 5})
+    df = df.withColumns({"__ic": ratio(F.col("__ic"), CENTRE), "__im": ratio(F.col("__im"), MIDDLE), "__it": ratio(F.col("__it"), TAIL)})
+    tail = F.when(F.col("__ir") <= 5, F.col("__im")).otherwise(F.col("__it"))
+    return df.withColumn(new, F.when(F.abs("__iq") <= 0.425, F.col("__iq") * F.col("__ic")).otherwise(F.signum("__iq") * tail)).drop("__iu", "__iq", "__ir", "__ic", "__im", "__it")
 
 
 def gaussianised(df: DataFrame, x: str, new: str, cap: float = 3.0, keys: Keys = KEYS) -> DataFrame:
@@ -49,9 +52,10 @@ def gaussianised(df: DataFrame, x: str, new: str, cap: float = 3.0, keys: Keys =
     ordered = c.orderBy(F.col(x).asc_nulls_last())
     rank = F.rank().over(ordered) + (F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     df = df.withColumns({"__n": F.count(x).over(c), "__rank": rank})
-    u = F.least(F.greatest((F.col("__rank") - 0.5) / F.col("__n"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    z = F.when(F.col("__n") <= 1, F.col(x) * 0).otherwise(clip(inverse_normal(u), F.lit(-cap), F.lit(cap)))
-    return df.withColumn(new, F.when(F.col(x).isNotNull(), z)).drop("__n", "__rank")
+    u = F.least(F.greatest(F.try_divide(F.col("__rank") - 0.5, nonzero(F.col("__n"))), F.lit(1e-6)), F.lit(1 - 1e-6))
+    df = with_inverse_normal(df, u, "__z")
+    z = F.when(F.col("__n") <= 1, F.col(x) * 0).otherwise(clip(F.col("__z"), F.lit(-cap), F.lit(cap)))
+    return df.withColumn(new, F.when(F.col(x).isNotNull(), z)).drop("__n", "__rank", "__z")
 
 
 def forward_decay(df: DataFrame, r: str, start: int = 1, horizon: int = 40, half_life: float = 20.0, new: str = "alpha", keys: Keys = KEYS) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from panelforge.functions.panel import KEYS, Keys, nonzero
 from panelforge.operators.asof import as_of, latest, micros, within
+from panelforge.operators.ranks import with_below
+from panelforge.sources.scratch import written
 
 DAY = 86_400_000_000
 
@@ -113,3 +115,40 @@ def normalised_forward_return(prices: DataFrame, events: DataFrame, event_id: st
     grid = grid.withColumn(new, F.when(F.col("__dates") - F.col("__k") >= days, F.coalesce(raw / F.col("__std"), raw)))
     at = as_of(events.withColumn("__all", F.lit(1)), dates.withColumn("__all", F.lit(1)).withColumnRenamed(keys.time, "__date"), "__all", event_time, "__date", ["__k"], "forward")
     return at.join(grid.select(keys.entity, "__k", new), [keys.entity, "__k"], "left").select(event_id, new)
+
+
+def horizon_returns(calls: DataFrame, returns: DataFrame, key: str, time: str, at: str, r: str, horizons: list[int]) -> DataFrame:
+    """``calls`` with T (the first grid hour at or after the call's time, rounded up to the hour) and, for each horizon k,
+    return_k: the compounded returns of the call's name over T+1..T+k; missing returns count as 0. Null where the
+    name has no returns, T is beyond the grid, or T+k is. The grid is every hour of ``returns`` (key, at, r).
+
+    Positions are counts of grid hours below (no global window); products are differences of prefix sums of log |1 + r|
+    with counts of negative and zero factors, so a horizon costs one look-up and not a window."""
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    grid = returns.select(second(at).alias("__s")).filter("__s is not null").distinct().withColumn("c", F.lit(1).cast("long"))
+    hours = F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 3_600_000_000) * 3600
+    asked = calls.withColumn("__s", hours.cast("long"))
+    both = grid.unionByName(asked.select("__s", F.lit(0).cast("long").alias("c")).filter("__s is not null").distinct()).groupBy("__s").agg(F.sum("c").alias("c"))
+    placed = with_below(both, "__s").select("__s", F.col("below").alias("__pos"), "c")
+    hour_at = placed.filter("c = 1").select(F.col("__pos"), F.col("__s").alias("__hour"))
+    n = grid.agg(F.count(F.lit(1)).alias("__hours"))
+    factor = F.lit(1.0) + F.coalesce(F.col(r), F.lit(0.0))
+    w = Window.partitionBy(key).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = returns.withColumn("__s", second(at)).join(placed.select("__s", "__pos"), "__s").select(
+        key, "__pos", F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(w).alias("__log"),
+        F.sum((factor < 0).cast("long")).over(w).alias("__neg"), F.sum((factor == 0).cast("long")).over(w).alias("__zero"),
+    )
+    asked = asked.withColumn("__call", F.monotonically_increasing_id())
+    asked = written(asked.join(placed.select("__s", "__pos"), "__s", "left").crossJoin(F.broadcast(n)))  # one row
+    known = returns.select(key).distinct().withColumn("__known", F.lit(True))
+    ends = asked.select("__call", key, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("__pos") + k).alias("p")) for k in (0, *horizons)])).alias("e"))
+    ends = ends.select("__call", key, "e.k", F.timestamp_seconds("e.p").alias("__at"))
+    steps = sums.withColumn("__at", F.timestamp_seconds("__pos"))
+    found = as_of(ends, steps, key, "__at", "__at", ["__log", "__neg", "__zero"])
+    value = lambda c, k: F.max(F.when(F.col("k") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}")
+    sides = found.groupBy("__call").agg(*[value(c, k) for c in ("__log", "__neg", "__zero") for k in (0, *horizons)])
+    out = asked.join(known, key, "left").join(hour_at, "__pos", "left").join(sides, "__call")
+    sign = lambda k: F.when((F.col(f"__neg{k}") - F.col("__neg0")) % 2 == 0, 1.0).otherwise(-1.0)
+    product = lambda k: F.when(F.col(f"__zero{k}") > F.col("__zero0"), 0.0).otherwise(sign(k) * F.exp(F.col(f"__log{k}") - F.col("__log0")))
+    fits = lambda k: F.col("__known") & (F.col("__pos") + k < F.col("__hours"))
+    return out.select(*calls.columns, F.when(fits(0), F.timestamp_seconds("__hour")).alias("T"), *[F.when(fits(k), product(k) - 1).alias(f"return_{k}") for k in horizons])

@@ -662,9 +662,12 @@ def embargo_split(spark, sf_dir):
     return L.embargo_split(e, "ts", "done", "2024-01-22", 80).select("event_id", "split")
 
 
-@query("rolling_folds", "WITH f AS (SELECT unnest(range(0, 11)) AS fold) SELECT fold, strftime(DATE '1999-01-01' + to_months(CAST(3 * fold AS INTEGER)), '%Y-%m-%d') AS test_start, strftime(DATE '1999-01-01' + to_months(CAST(3 * fold + 3 AS INTEGER)), '%Y-%m-%d') AS test_end FROM f")
+@query("rolling_folds", """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT min(day) AS a, max(day) AS b FROM o),
+f AS (SELECT CAST(k AS INTEGER) AS fold, CAST(a + to_months(48 + 3 * CAST(k AS INTEGER)) AS DATE) AS x, CAST(a + to_months(51 + 3 * CAST(k AS INTEGER)) AS DATE) AS y FROM e, range(0, 400) r(k) WHERE CAST(a + to_months(48 + 3 * CAST(k AS INTEGER)) AS DATE) <= b)
+SELECT fold, strftime(x, '%Y-%m-%d') AS test_start, strftime(y, '%Y-%m-%d') AS test_end, count(day) FILTER (day < x) AS train_rows, count(day) FILTER (day >= x AND day < y) AS test_rows FROM f CROSS JOIN o GROUP BY ALL""")
 def rolling_folds(spark, sf_dir):
-    return L.rolling_folds(spark, "1995-01-01", "2001-07-31").select("fold", F.date_format("test_start", "yyyy-MM-dd").alias("test_start"), F.date_format("test_end", "yyyy-MM-dd").alias("test_end"))
+    out = L.rolling_folds(table(spark, sf_dir, "orders"), "o_orderdate")
+    return out.select("fold", F.date_format("test_start", "yyyy-MM-dd").alias("test_start"), F.date_format("test_end", "yyyy-MM-dd").alias("test_end"), "train_rows", "test_rows")
 
 
 @query("winsorised", "WITH q AS (SELECT quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM events) SELECT event_id, round(least(greatest(value, a), b) + 1e-8, 6) AS value FROM events, q")
@@ -929,13 +932,6 @@ def single_segment_days(spark, sf_dir):
     return g.filter("k = 1").select(F.col("d").cast("string").alias("day"), "status")
 
 
-@query("return_matrix", BARS_SQL + "SELECT CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"max(CASE WHEN ticker = 'Brand#{k}' THEN close END) AS brand_{k}" for k in (1, 2, 3)) + " FROM bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ts")
-def return_matrix(spark, sf_dir):
-    names = ["Brand#1", "Brand#2", "Brand#3"]
-    wide = B.to_matrix(weekly_bars(spark, sf_dir).filter(F.col("ticker").isin(*names)), "close", names)
-    return wide.select(F.expr(DAY), *[F.col(f"`{n}`").alias(n.lower().replace("#", "_")) for n in names])
-
-
 @query("return_matrix_all", BARS_SQL + "SELECT CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"max(CASE WHEN ticker = 'Brand#{k}' THEN close END) AS brand_{k}" for k in range(1, 26)) + " FROM bars GROUP BY ts")
 def return_matrix_all(spark, sf_dir):
     """The matrix of all tickers and weeks; the names are those of the table."""

@@ -95,9 +95,62 @@ def leaks(panel: DataFrame, factor, columns: list[str], times: list, scale: floa
     return both.filter(changed).select("test", F.substring_index(keys.entity, "#", 1).alias(keys.entity))
 
 
+def leak_report(panel: DataFrame, factors: dict[str, object], columns: list[str], times: list, scale: float = 0.1, tolerance: float = 1e-8, keys: Keys = KEYS) -> DataFrame:
+    """(factor, status, changes) for every factor, in one job: clean or leak, with the number of (test, entity) values that
+    change when only later rows are perturbed; error (changes null) for a factor that cannot be built. The panel is copied
+    twice for each test, as it is and perturbed, the copies told apart by the entity; all trees are compiled together."""
+    built, failed = {}, []
+    for name, factor in factors.items():
+        try:
+            factor(panel, "__f").schema if callable(factor) else compiled(panel, {"__f": factor}, keys).schema  # noqa: B018
+            built[name] = factor
+        except Exception:  # whatever a factor does wrong, the others are still judged
+            failed.append(name)
+    tests = F.explode(F.array(*[F.struct(F.lit(i).alias("test"), F.lit(t).alias("at"), F.lit(side).alias("side")) for i, t in enumerate(times) for side in (0, 1)]))
+    copies = panel.withColumn("__name", F.col(keys.entity)).withColumn("__c", tests).withColumns({"__test": F.col("__c.test"), "__at": F.col("__c.at"), "__side": F.col("__c.side")}).drop("__c")
+    noise = lambda c: (F.pmod(F.xxhash64(keys.entity, keys.time, F.lit(c)), F.lit(2001)) - 1000) / 1000.0
+    shaken = (F.col("__side") == 1) & (F.col(keys.time) > F.col("__at"))
+    df = copies.withColumns({c: F.when(shaken, F.col(c) * (1 + scale * noise(c))).otherwise(F.col(c)) for c in columns})
+    df = df.withColumn(keys.entity, F.concat_ws("#", F.col(keys.entity).cast("string"), "__test", "__side"))
+    own = {n: f"__f{i}" for i, n in enumerate(built)}
+    kept = df.columns
+    df = compiled(df, {own[n]: f for n, f in built.items() if not callable(f)}, keys)
+    for n, f in built.items():
+        if callable(f):
+            df = f(df, own[n])
+    at = df.filter(F.col(keys.time) == F.col("__at")).select(*[c for c in kept if c.startswith("__")], *own.values())
+    value = lambda c, side: F.max(F.when(F.col("__side") == side, F.col(c)))
+    pairs = at.groupBy("__test", "__name").agg(*[value(c, s).alias(f"{c}_{s}") for c in own.values() for s in (0, 1)])
+    changed = lambda c: ((F.abs(F.col(f"{c}_0") - F.col(f"{c}_1")) > tolerance) | (F.col(f"{c}_0").isNull() != F.col(f"{c}_1").isNull())).cast("long")
+    sums = pairs.agg(*[F.coalesce(F.sum(changed(c)), F.lit(0)).alias(c) for c in own.values()])
+    rows = [F.struct(F.lit(n).alias("factor"), F.when(F.col(c) > 0, "leak").otherwise("clean").alias("status"), F.col(c).alias("changes")) for n, c in own.items()]
+    rows += [F.struct(F.lit(n).alias("factor"), F.lit("error").alias("status"), F.lit(None).cast("long").alias("changes")) for n in failed]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def without_leaks(panel: DataFrame, factors: dict[str, object], columns: list[str], times: list, keys: Keys = KEYS) -> dict[str, object]:
-    """The factors that pass the leakage check."""
-    return {n: t for n, t in factors.items() if leaks(panel, t, columns, times, keys=keys).isEmpty()}
+    """The factors that pass the leakage check, and those that it could not judge."""
+    bad = {r["factor"] for r in leak_report(panel, factors, columns, times, keys=keys).filter("status = 'leak'").collect()}  # a row a factor
+    return {n: t for n, t in factors.items() if n not in bad}
+
+
+def with_tickers(rows: DataFrame, title: str, text: str, stamp: str, path: str) -> DataFrame:
+    """Writes the rows that name a ticker and have an Eastern time stamp to ``path``, with the ticker, and gives one row of
+    counts, gathered by the same pass: rows, those without ticker, without zone, kept, and found in title or transcript."""
+    from pyspark.sql import Observation
+
+    from panelforge.functions import text as X
+
+    found, where = X.ticker(F.col(title), F.col(text))
+    rows = rows.withColumns({"__ticker": found, "__where": where, "__zone": X.has_eastern_zone(F.col(stamp))})
+    named = F.col("__ticker").isNotNull()
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    seen = Observation()
+    counts = {"original_rows": F.count(F.lit(1)), "no_ticker_dropped": n(~named), "non_et_timezone_dropped": n(named & ~F.col("__zone")), "final_rows": n(named & F.col("__zone")), "title_source_count": n(F.col("__where") == "title"), "transcript_source_count": n(F.col("__where") == "transcript")}
+    watched = rows.observe(seen, *[c.alias(k) for k, c in counts.items()])
+    watched.filter(named & F.col("__zone")).withColumn("ticker", F.col("__ticker")).drop("__ticker", "__where", "__zone").write.parquet(path)
+    got = seen.get
+    return rows.sparkSession.createDataFrame([tuple(int(got[k]) for k in counts)], ", ".join(f"{k} bigint" for k in counts))
 
 
 def backtest(df: DataFrame, signal: str, r: str, lag: int = 1, half_life: float = 128.0, periods: int = 2016, how: str = "long_short", keys: Keys = KEYS) -> DataFrame:
@@ -122,9 +175,11 @@ def optimised_pnl(df: DataFrame, f: str = "f", r: str = "r", lookback: int = 100
     df = df.withColumns({"__var": F.var_samp(r).over(before), "__rows": F.count(F.lit(1)).over(before)})
     df = df.filter(F.col(f).isNotNull() & F.col(r).isNotNull())
     n = F.count(F.lit(1)).over(c)
-    score = F.when(n > 2, clip(portfolio.inverse_normal(cs_rank(F.col(f), keys) * n / (n + 1)), F.lit(-3.0), F.lit(3.0))).otherwise(F.col(f))
+    df = df.withColumns({"__n": n, "__rank": cs_rank(F.col(f), keys)})
+    df = portfolio.with_inverse_normal(df, F.col("__rank") * F.col("__n") / (F.col("__n") + 1), "__z")
+    score = F.when(F.col("__n") > 2, clip(F.col("__z"), F.lit(-3.0), F.lit(3.0))).otherwise(F.col(f))
     variance = F.when(F.col("__rows") >= 20, F.greatest(F.col("__var"), F.lit(1e-6))).otherwise(F.abs(r) + 1e-6)
-    df = df.withColumns({"__n": n, "__score": score, "__v": variance}).select(keys.time, keys.entity, r, "__n", "__score", "__v")
+    df = df.withColumns({"__score": score, "__v": variance}).select(keys.time, keys.entity, r, "__n", "__score", "__v")
     weights = portfolio.optimised(df, "__score", "__v", "__w", budget, 0.0, gross, keys=keys)
     return weights.groupBy(keys.time).agg(F.when(F.first("__n") >= least, F.sum(F.col("__w") * F.col(r))).alias("pnl"))
 

@@ -1,5 +1,6 @@
 """All queries of the library and their SQL."""
 
-from panelforge.plans import catalogue, inventory
+from panelforge.plans import catalogue, inventory, stored
 
-QUERIES, ORACLES = {**catalogue.QUERIES, **inventory.QUERIES}, {**catalogue.ORACLES, **inventory.ORACLES}
+MODULES = (catalogue, inventory, stored)
+QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, what).items()} for what in ("QUERIES", "ORACLES"))

@@ -69,3 +69,13 @@ def running_errors(scored: DataFrame, truth: str, prediction: str) -> DataFrame:
     up, hit = (y > 0).cast("double"), ((y > 0) == (p > 0)).cast("double")
     rate = lambda mask: F.try_divide(F.sum(hit * mask), F.nullif(F.sum(mask), F.lit(0.0)))
     return scored.groupBy().agg(F.count(F.lit(1)).alias("n"), F.avg((p - y) * (p - y)).alias("mse"), F.avg(F.abs(p - y)).alias("mae"), F.avg(hit).alias("sign_accuracy"), ((rate(up) + rate(1 - up)) / 2).alias("balanced_accuracy"))
+
+
+def errors_by_batch(scored: DataFrame, truth: str, prediction: str, path: str, checkpoint: str) -> None:
+    """Runs ``running_errors`` over what a stream has now. The sums are state of the stream; every batch writes its running row
+    under its number, so a batch that is run again overwrites its own row, and a later call goes on from the state."""
+
+    def keep(row: DataFrame, batch: int) -> None:
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    running_errors(scored, truth, prediction).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
