@@ -118,7 +118,7 @@ def normalised_forward_return(prices: DataFrame, events: DataFrame, event_id: st
 
 
 def horizon_returns(calls: DataFrame, returns: DataFrame, key: str, time: str, at: str, r: str, horizons: list[int]) -> DataFrame:
-    """``calls`` with T (the first grid hour at or after the call's time, rounded up to the hour) and, for each horizon k,
+    """``calls`` with T_timestamp (T, the first grid hour at or after the call's time, rounded up to the hour) and, for each horizon k,
     return_k: the compounded returns of the call's name over T+1..T+k; missing returns count as 0. Null where the
     name has no returns, T is beyond the grid, or T+k is. The grid is every hour of ``returns`` (key, at, r).
 
@@ -141,14 +141,14 @@ def horizon_returns(calls: DataFrame, returns: DataFrame, key: str, time: str, a
     asked = asked.withColumn("__call", F.monotonically_increasing_id())
     asked = written(asked.join(placed.select("__s", "__pos"), "__s", "left").crossJoin(F.broadcast(n)))  # one row
     known = returns.select(key).distinct().withColumn("__known", F.lit(True))
-    ends = asked.select("__call", key, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("__pos") + k).alias("p")) for k in (0, *horizons)])).alias("e"))
-    ends = ends.select("__call", key, "e.k", F.timestamp_seconds("e.p").alias("__at"))
+    ends = asked.select("__call", key, F.explode(F.array(*[F.struct(F.lit(k).alias("__step"), (F.col("__pos") + k).alias("__to")) for k in (0, *horizons)])).alias("__e"))
+    ends = ends.select("__call", key, "__e.__step", F.timestamp_seconds("__e.__to").alias("__at"))
     steps = sums.withColumn("__at", F.timestamp_seconds("__pos"))
     found = as_of(ends, steps, key, "__at", "__at", ["__log", "__neg", "__zero"])
-    value = lambda c, k: F.max(F.when(F.col("k") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}")
+    value = lambda c, k: F.max(F.when(F.col("__step") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}")
     sides = found.groupBy("__call").agg(*[value(c, k) for c in ("__log", "__neg", "__zero") for k in (0, *horizons)])
     out = asked.join(known, key, "left").join(hour_at, "__pos", "left").join(sides, "__call")
     sign = lambda k: F.when((F.col(f"__neg{k}") - F.col("__neg0")) % 2 == 0, 1.0).otherwise(-1.0)
     product = lambda k: F.when(F.col(f"__zero{k}") > F.col("__zero0"), 0.0).otherwise(sign(k) * F.exp(F.col(f"__log{k}") - F.col("__log0")))
     fits = lambda k: F.col("__known") & (F.col("__pos") + k < F.col("__hours"))
-    return out.select(*calls.columns, F.when(fits(0), F.timestamp_seconds("__hour")).alias("T"), *[F.when(fits(k), product(k) - 1).alias(f"return_{k}") for k in horizons])
+    return out.select(*calls.columns, F.when(fits(0), F.timestamp_seconds("__hour")).alias("T_timestamp"), *[F.when(fits(k), product(k) - 1).alias(f"return_{k}") for k in horizons])
