@@ -47,7 +47,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that close an open element of the given kinds when they start.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SECTIONS = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
-WORDS_AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|masthead|complementary|contentinfo|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|pagination|pager|search|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
+WORDS_AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|widget\w*|footer|masthead|complementary|contentinfo|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|pagination|pager|search|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)|(?:^|\s)side(?:\s|$)", re.I)
 HEADER = re.compile(r"(?:^|[^a-z])header(?:[^a-z]|$)", re.I)  # boilerplate unless it is the article's own
 WORDS_FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|entry|post|story|main|body|text|page)(?:[^a-z]|$)", re.I)
 

@@ -51,6 +51,8 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on over line breaks, as MIME and PEM wrap it.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*\r?\n[A-Za-z0-9+/_-]{2,}={0,2}|[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})+={1,2}")
 PARTS = tuple(re.compile(f"[A-Za-z0-9{x}]{{16,}}") for x in ("+/", "_-", "+_-"))  # of a run: one alphabet, or between slashes
 BEHIND = re.compile(r"[+/_-]")
 #: What may start a gzip or zlib stream, at the start of a run or behind a sign.
@@ -364,6 +366,14 @@ def _unpacked(layer: Layer | None, text: str, visit):
                 yield placed(new, a + s + at * 4 // 3, np.minimum(a + s - (-(at + width) * 4 // 3), b), True)
 
 
+def _unwrapped(layer: Layer | None, text: str):
+    """Base64 runs of ``text`` that are wrapped, each with its lines joined: to be decoded, not to be scanned itself."""
+    for m in WRAPPED.finditer(text):
+        raw = np.frombuffer(m[0].encode(), np.uint8)
+        at = m.start() + np.flatnonzero((raw != 10) & (raw != 13))
+        yield Layer(m[0].replace("\r", "").replace("\n", ""), layer.starts[at] if layer else at, layer.ends[at] if layer else at + 1, bool(layer and layer.rough))
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): the second adds what the decoded layers hold, mapped to the original text."""
     base = base_spans(text)
@@ -381,7 +391,8 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
                     (rough if layer.rough else found).add((int(layer.starts[s]), int(layer.ends[s:e].max()), kind))
             new = [_replaced(layer, body, URL_RUN, _unquoted) if "%" in body else None]
             new.append(_replaced(layer, body, ESCAPE, _unescaped) if "\\" in body or "&#" in body else None)
-            for x in [*new, *_unpacked(layer, body, visit)]:
+            wrapped = (x for w in _unwrapped(layer, body) for x in _unpacked(w, w.text, visit)) if "\n" in body else ()
+            for x in [*new, *_unpacked(layer, body, visit), *wrapped]:
                 if x is not None and len(x.text) and (k := x.key()) not in seen:
                     seen.add(k)
                     work.append(x)

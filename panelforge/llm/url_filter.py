@@ -26,30 +26,25 @@ from panelforge.llm.common import table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BUCKETS, SIZES = 4096, (3, 4, 5)
 
-#: Labelled hosts; labelled() joins them with prefixes, ends and paths. Five of the unwanted ones (casino-win, free-bets,
-#: adult-x, spam-farm, cheap-pills) also occur in the sample pages; a test fits without them and judges those pages.
-UNWANTED_HOSTS = """casino-win casinoroyal best-casino online-casino vegas-slots lucky-slots jackpot-city poker-room free-poker
-free-bets sure-bets bet-now sportsbet betting-tips adult-x adult-cams xxx-videos hot-porn pornhq sex-chat nude-pics live-cams
-spam-farm spam-mail link-farm click-farm cheap-pills viagra-shop pharma-pills payday-loans quick-loans get-rich crypto-doubler
+#: Labelled hosts; labelled() joins them with prefixes, ends and paths. None of them is a host of the sample pages.
+UNWANTED_HOSTS = """casinoroyal best-casino online-casino vegas-slots lucky-slots jackpot-city poker-room free-poker
+sure-bets bet-now sportsbet betting-tips adult-cams xxx-videos hot-porn pornhq sex-chat nude-pics live-cams
+spam-mail link-farm click-farm viagra-shop pharma-pills payday-loans quick-loans get-rich crypto-doubler
 free-iphone win-prizes lottery-win warez-zone crack-keys keygen-hub malware-site phish-login hack-tools torrent-warez""".split()
 WANTED_HOSTS = """daily-news city-library open-museum river-school garden-club weather-now math-notes history-lab cooking-home
 travel-guide bike-tours music-review film-archive science-daily health-advice law-journal tech-blog code-forum data-atlas
 photo-album poem-corner green-energy space-watch chess-club rail-times farm-market book-shelf art-house kids-learning wiki-pages
-northern thames thistle ringer hearth tinsh lyther stone ander estion rethan thering handle other reading winter shore
+northern thames thistle ringer hearth tinsh stone ander estion rethan handle other reading winter shore
 thatch enders theater heron ingle orient sanden ledger atlas entire nation wholen theory blend tenor rationale""".split()
 PATHS = ("/", "/en/articles/21", "/fr/825", "/news/2020/03/story.html", "/de/511", "/docs/guide", "/es/103/", "/en/99", "/about", "/blog/post-17.html")
 UNWANTED_PATHS = ("/bonus/signup", "/win/free-spins", "/xxx/hot", "/offer/click", "/buy-now/pills", "/casino/play", "/adult/videos", "/betting/odds")
 PREFIXES, ENDS = ("", "www.", "blog.", "m."), ("example.com", "example.org", "example.net", "com", "org", "net")
-#: Fragments of common words; every pair of them is a made-up wanted host.
-FRAGMENTS = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve")
-
 
 def labelled() -> list[tuple[str, str, int]]:
     """The labelled URL table as (host, path, unwanted) rows. Prefixes, ends and everyday paths are shared out alike
     over both labels, so that what the model learns is in the names."""
     rows = []
-    made_up = [a + b for i, a in enumerate(FRAGMENTS) for b in FRAGMENTS[i % 3 :: 3]]
-    for label, hosts in ((1, UNWANTED_HOSTS), (0, WANTED_HOSTS + made_up)):
+    for label, hosts in ((1, UNWANTED_HOSTS), (0, WANTED_HOSTS)):
         for i, host in enumerate(hosts):
             for k in range(4 if i < 80 else 1):
                 rows.append((f"{PREFIXES[(i + k) % 4]}{host}.{ENDS[(i + 2 * k + i // 6) % 6]}", PATHS[(i + 3 * k) % len(PATHS)], label))
@@ -116,7 +111,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", score(F.col("host"), F.col("path")))
-    by_model = F.when((F.col("host") != "") & (F.col("score") >= threshold), "block").otherwise("allow")
+    by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_model).alias("verdict"), "score")
 
 

@@ -212,3 +212,52 @@ def test_a_long_odd_text_is_encoded_in_bounded_memory():
     assert resource.RUSAGE_SELF == 0
     peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
     assert peak < 800, peak  # 20 MB of text; the library needs some 3 GB for it
+
+
+def test_an_id_that_names_a_side_effect_is_no_sidebar(spark):
+    from panelforge.llm import html_extract
+
+    body = "<p>The study went on for two years and saw few of them, all of them mild and short.</p>"
+    page = f"<html><body><div class='side'><p>Most read: other things that you may like to see here.</p></div><article><h1>Trial</h1>{body}<section id='side-effects'><h2>Side effects</h2>{body}</section></article></body></html>"
+    rows = spark.createDataFrame([(1, "http://a.org/x", page)], "page_id long, url string, html string")
+    text = html_extract.extracted(rows).first()["text"]
+    assert text.count("two years") == 2 and "Side effects" in text and "Most read" not in text
+
+
+@pytest.mark.parametrize("pack", [False, True])
+def test_secrets_in_wrapped_base64_are_found(pack):
+    import base64
+    import gzip
+
+    from panelforge.llm import secret_scan
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [rng.choice(["the", "log", "of", "a", "server", "at", "noon"]) for _ in range(60)]
+        at = rng.randrange(60)
+        secret = "".join(rng.choice("abcdefXYZ0123456789") for _ in range(20))
+        inner = " ".join([*words[:at], f"password={secret}", *words[at:]]).encode()
+        wrapped = base64.encodebytes(gzip.compress(inner) if pack else inner).decode()
+        for ends in ("\n", "\r\n"):
+            text = "see below\n" + wrapped.replace("\n", ends) + "and that was it"
+            base, found = secret_scan.all_spans(text)
+            assert not [x for x in base if x[2] == 0]
+            assert [x for x in found if x[2] == 0 and text.index(wrapped[:10]) <= x[0] < x[1] <= len(text) - 10], (seed, ends)
+
+
+def test_two_wrapped_digests_are_not_one(spark):
+    from panelforge.llm import secret_scan
+
+    text = "0123456789abcdef01234567\nfedcba9876543210fedcba98\n"
+    base, found = secret_scan.all_spans(text)
+    assert [x[:2] for x in base] == [(0, 24), (25, 49)] and set(base) <= set(found) and (0, 49, 2) not in found
+
+
+def test_an_address_without_host_is_judged_by_the_method(spark):
+    from panelforge.llm import url_filter
+
+    rows = spark.createDataFrame([(1, "http:///casino/win"), (2, None), (3, "no address")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judged(rows).collect()}
+    assert (got[1]["host"], got[1]["path"]) == ("", "/casino/win")
+    assert all(r["verdict"] == ("block" if r["score"] >= 0.5 else "allow") for r in got.values())
+    assert got[2]["verdict"] == got[3]["verdict"] == "allow"
