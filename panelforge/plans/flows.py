@@ -188,8 +188,7 @@ def sweep(df: DataFrame, signal: str, r: str, half_lives: list[float], lags: lis
     """(half_life, lag, sharpe) over a grid of settings, pivoted at a sink. Signal ranks are worked out once, all variances
     in one pass by name, and all lags in one pass over the weights."""
     df = portfolio.gaussianised(df, signal, "__alpha", keys=keys).select(keys.time, keys.entity, r, "__alpha")
-    for i, h in enumerate(half_lives):
-        df = kernels.ewma_variance(df, r, f"__v{i}", h, periods, keys=keys)
+    df = kernels.ewma_variances(df, r, {f"__v{i}": h for i, h in enumerate(half_lives)}, periods, keys=keys)
     stacked = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("half_life"), F.col(f"__v{i}").alias("v")) for i, h in enumerate(half_lives)]))
     rows = df.select(keys.time, keys.entity, r, "__alpha", stacked.alias("p")).select(keys.time, r, "__alpha", "p.half_life", "p.v", F.struct("p.half_life", keys.entity).alias("__name"))
     by = Keys("__name", "__at")
