@@ -102,9 +102,16 @@ def normalised_forward_return(prices: DataFrame, events: DataFrame, event_id: st
     it, over the standard deviation of the returns of the ``window`` dates up to it. Unscaled where there are fewer
     dates, fewer than ``least`` returns or a flat window; null without those two prices or with fewer than ``days``
     dates to come. Dates are those of the whole table, as in a wide matrix."""
-    dates = prices.select(keys.time).distinct().withColumn("__k", F.row_number().over(Window.orderBy(keys.time)))
+    one, none = F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("c")
+    dates = prices.select(keys.time).filter(F.col(keys.time).isNotNull()).distinct().withColumn("__at", micros(keys.time))
+    asked = events.withColumn("__at", micros(event_time))
+    # A date's number, and that of the first date at or after an event, is the count of dates below, and one.
+    both = dates.select("__at", one).unionByName(asked.select("__at", none).filter("__at is not null").distinct()).groupBy("__at").agg(F.sum("c").alias("c"))
+    placed = written(with_below(both, "__at").select("__at", (F.col("below") + 1).alias("__k")))
+    dates = dates.join(placed, "__at").drop("__at")
     total = dates.agg(F.max("__k").alias("__dates"))
-    grid = dates.join(F.broadcast(prices.select(keys.entity).distinct()), F.lit(True)).join(prices.select(*[keys.entity, keys.time], price), [keys.entity, keys.time], "left")
+    grid = dates.crossJoin(prices.select(keys.entity).distinct())  # dates x names, as in a wide matrix
+    grid = grid.join(prices.select(*[keys.entity, keys.time], price), [keys.entity, keys.time], "left")
     s = keys.series()
     grid = grid.withColumns({"__p0": F.lag(price).over(s), "__p1": F.lead(price).over(s)})
     grid = grid.withColumn("__ret", F.try_divide(F.col(price), nonzero(F.col("__p0"))) - 1)
@@ -113,7 +120,7 @@ def normalised_forward_return(prices: DataFrame, events: DataFrame, event_id: st
     raw = F.try_divide(F.col("__p1") - F.col("__p0"), nonzero(F.col("__p0")))
     grid = grid.withColumn("__std", std).crossJoin(F.broadcast(total))  # one row
     grid = grid.withColumn(new, F.when(F.col("__dates") - F.col("__k") >= days, F.coalesce(raw / F.col("__std"), raw)))
-    at = as_of(events.withColumn("__all", F.lit(1)), dates.withColumn("__all", F.lit(1)).withColumnRenamed(keys.time, "__date"), "__all", event_time, "__date", ["__k"], "forward")
+    at = asked.join(placed, "__at", "left")
     return at.join(grid.select(keys.entity, "__k", new), [keys.entity, "__k"], "left").select(event_id, new)
 
 
