@@ -31,6 +31,8 @@ OPENING = re.compile(r" (?!\s|\Z)")
 CUT = re.compile(r"\s(?=\S)")
 #: Distinct parts that a worker keeps (about 120 bytes each); those met later are encoded anew for each batch.
 KNOWN_PARTS = 1_300_000
+#: Parts that the library encodes in one string; more in one take it longer for each.
+LEARNT = 250
 #: Characters whose parts are looked up at once.
 STRETCH = 1 << 21
 
@@ -67,14 +69,14 @@ class Encoder:
     def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, how many each has), each with the space before it. As that space opens a part, the library
         may encode them in one string; the bytes that tokens stand for tell where a part ends."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False).ids, np.int64)
+        ids = self.direct([" " + " ".join(parts)])[0].astype(np.int64)
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
         return ids, np.diff(at, prepend=0)
 
     def _learn(self, parts: list[str], joined: bool) -> None:
         if joined:
-            got = [self._joined(parts[i : i + 2000]) for i in range(0, len(parts), 2000)]
+            got = [self._joined(parts[i : i + LEARNT]) for i in range(0, len(parts), LEARNT)]
             ids, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
         else:
             lists = self.direct(parts)
