@@ -211,6 +211,30 @@ def words(texts: pa.Array, lower: bool = True, split=pc.ascii_split_whitespace)
     return split
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of all texts in order, where each begins and the last ends); null is the empty text."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, bounds, data = solid(texts).buffers()
+    bounds = np.frombuffer(bounds, np.int64)[: len(texts) + 1]
+    return (np.frombuffer(data, np.uint8) if bounds[-1] else np.zeros(0, np.uint8))[: bounds[-1]], bounds
+
+
+#: An odd factor, its inverse modulo 2 ** 64, and the powers of both as far as they were asked for.
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial in the factor, as a difference of running sums."""
+    if len(b) > len(_POWERS[0]):
+        n = 1 << int(len(b) - 1).bit_length()
+        for k, f in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, f, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(b)]))
+    return mixed((sums[ends] - sums[starts]) * _POWERS[1][starts])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every input bit over the word (xor-shift and multiply steps)."""
     x = x.astype(np.uint64, copy=True)

@@ -24,17 +24,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SMALL_SLICE_BYTES, mapped, mixed, slices, table, words
+from panelforge.llm.common import SMALL_SLICE_BYTES, bytes_of, mapped, mixed, slices, span_hashes, table
 from panelforge.llm.tokens import encoder
 
 LENGTH, DIMENSIONS, DEPTH, BUCKETS, TIE_BITS = 1024, 4, 11, 1 << 14, 18
-#: Parts of texts whose ids a worker keeps: fewer than elsewhere, as packing ends a long pipeline in one session.
-KNOWN_PARTS = 600_000
 #: Rows sampled for each partition border.
 SAMPLE_PER_PARTITION = 200
 #: For the borders a text counts once, and once more for each so many bytes.
@@ -46,14 +43,54 @@ def projection() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
 
 
+#: A-Z folded; white space is that of ASCII.
+LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+INK = ~np.isin(np.arange(256), [*range(0x09, 0x0E), 0x20])
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 20
+
+
+def stretches(data: np.ndarray, bounds: np.ndarray):
+    """Ranges of ``data`` of about STRETCH bytes that end between texts or, in a longer text, at white space."""
+    at, end = 0, int(bounds[-1])
+    while at < end:
+        stop = int(bounds[np.searchsorted(bounds, at + STRETCH, side="right") - 1])
+        if stop <= at:
+            own, size = int(bounds[np.searchsorted(bounds, at, side="right")]), STRETCH
+            stop = min(own, at + size)
+            while stop < own:
+                white = np.flatnonzero(~INK[data[at + 1 : stop]])
+                if len(white):
+                    stop = at + 1 + int(white[-1])
+                    break
+                size *= 2
+                stop = min(own, at + size)
+        yield at, stop
+        at = stop
+
+
 def vectors(texts: pa.Array, matrix: np.ndarray) -> np.ndarray:
     """The projected hashed vector of every text, scaled to (0, 1) in each dimension."""
-    w = words(texts)
+    data, bounds = bytes_of(texts)
     n = len(texts)
-    bucket = np.array([xxhash.xxh32_intdigest(v) for v in w.vocab], np.int64) % BUCKETS
-    rows = w.rows
-    total = np.stack([np.bincount(rows, matrix[bucket, d][w.codes], n) for d in range(DIMENSIONS)], axis=1) if len(rows) else np.zeros((n, DIMENSIONS))
-    return 0.5 + np.arctan(3 * total / np.sqrt(np.maximum(1, np.diff(w.bounds)))[:, None] ** 1.5) / np.pi
+    total, n_words = np.zeros((n, DIMENSIONS)), np.zeros(n, np.int64)
+    for at, stop in stretches(data, bounds):
+        b = LOWER[data[at:stop]]
+        first = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, stop)] - at
+        edge = np.zeros(len(b) + 1, bool)  # no word goes on across the place before this byte
+        edge[first] = edge[-1] = edge[0] = True
+        ink = INK[b]
+        starts = np.flatnonzero(ink & (edge[:-1] | ~np.append(False, ink[:-1])))
+        ends = np.flatnonzero(ink & (edge[1:] | ~np.append(ink[1:], False))) + 1
+        bucket = (span_hashes(b, starts, ends) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        lowest = int(np.searchsorted(bounds, at, side="right")) - 1
+        highest = int(np.searchsorted(bounds, stop))
+        own = np.diff(np.searchsorted(starts, bounds[lowest : highest + 1] - at))
+        rows = np.repeat(np.arange(len(own)), own)
+        for d in range(DIMENSIONS):
+            total[lowest:highest, d] += np.bincount(rows, matrix[bucket, d], len(own))
+        n_words[lowest:highest] += own
+    return 0.5 + np.arctan(3 * total / np.sqrt(np.maximum(1, n_words))[:, None] ** 1.5) / np.pi
 
 
 def hilbert(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -125,7 +162,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def _packed(length: int, path: str | None):
     def run(batches):
-        enc, at, base = encoder(path, KNOWN_PARTS), 0, TaskContext.get().partitionId() << 32
+        enc, at, base = encoder(path), 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 rows = []

@@ -119,7 +119,7 @@ def test_ids_are_the_same_in_stretches_and_with_a_full_table(monkeypatch):
         for _ in range(2):
             got = enc.encode(pa.array(texts))
             assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
-        assert len(enc.known) + len(enc.openings) <= known_parts
+        assert enc.n - 1 <= known_parts
 
 
 def test_parts_give_the_ids_of_whole_texts():
@@ -129,6 +129,37 @@ def test_parts_give_the_ids_of_whole_texts():
         assert got.tolist() == want.tolist()
 
 
+def test_cuts_between_all_kinds_of_characters():
+    kinds = ["a", " ", "\n", "\t", "\u00e9", "\u00d7", "\u4e2d", "'s", "'", "7", ",", "-", "\u00a0", "\u2014", "\u2009", "\u2028", "\u3000", "\u200b", "\x85", "\x1c", "\u00bd", "\u0301"]
+    texts = [x + y + z for x in kinds for y in kinds for z in kinds] + ["q" + c + " " + c + "\n" + c + "," + c + "w" + c for c in map(chr, range(0x300))]
+    enc = tokens.Encoder()
+    assert [g.tolist() for g in enc.encode(pa.array(texts))] == [w.tolist() for w in enc.direct(texts)]
+
+
+def test_parts_of_one_hash_keep_their_own_ids(monkeypatch):
+    hashes = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda *a: hashes(*a) >> np.uint64(60) << np.uint64(60))
+    texts, enc = [sentence(random.Random(i), 30) for i in range(60)], tokens.Encoder()
+    for _ in range(2):
+        for i in range(0, 60, 7):
+            assert [g.tolist() for g in enc.encode(pa.array(texts[i : i + 7]))] == [w.tolist() for w in enc.direct(texts[i : i + 7])]
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 5, 40])
+def test_vectors_are_sums_over_words(stretch, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    rng, matrix = random.Random(stretch), packing.projection()
+    texts = [None, "", " ", "a", "x" * 90 + " B\u00a0c"] + ["".join(rng.choices(["a", "Bc", " ", "\n", "\u00e9", "long-word"], k=rng.randrange(60))) for _ in range(80)] + ["", None]
+    got = packing.vectors(pa.array(texts), matrix)
+    for text, point in zip(texts, got, strict=True):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        total = np.zeros(packing.DIMENSIONS)
+        for w in words:
+            b = np.frombuffer(w.encode(), np.uint8)
+            total += matrix[int(packing.span_hashes(b, np.array([0]), np.array([len(b)]))[0]) >> 50]
+        assert np.allclose(point, 0.5 + np.arctan(3 * total / max(1, len(words)) ** 0.75) / np.pi)
+
+
 @pytest.fixture(scope="module")
 def mixed_docs(spark):
     rng = random.Random(4)
