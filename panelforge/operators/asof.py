@@ -1,7 +1,8 @@
 """As-of, interval and history joins without theta joins.
 
 ``as_of`` sorts the union of both sides by key and time and carries the nearest
-row across, one shuffle for each side. ``within`` turns an interval condition into
+row across, one shuffle for each side; ``as_of_by_slices`` does so by slices of time, for keys with
+a large share of the rows. ``within`` turns an interval condition into
 an equi-join on time buckets. ``history`` needs one window.
 """
 
@@ -38,6 +39,32 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return out.select("__row.*", *[F.col(f"__near.{v}").alias(v) for v in values])
 
 
+def as_of_by_slices(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], width: int, strict: bool = False, tolerance: int | None = None, tie: list[str] | None = None) -> DataFrame:
+    """``as_of`` backward, where no task needs all rows of a key: time is cut into slices of ``width`` microseconds, and
+    what holds at the start of a slice is carried over from the last rows of the slices before it.
+
+    Two windows: one over the slices of a key (a row each, combined map-side, so no more than the time span over
+    ``width``), one over the rows of a key within a slice. Null keys and times match nothing; repeated rows of ``left``
+    stay; an empty ``right`` gives nulls."""
+    slice_of = F.floor(F.col("__t") / F.lit(width)).cast("long")
+    packed = F.struct(micros(right_time).alias("__at"), *values)
+    known = right.filter(F.col(right_time).isNotNull() & F.col(key).isNotNull())
+    one = known.groupBy(key, right_time).agg(F.max_by(packed, F.struct(*tie) if tie else F.lit(0)).alias("__v"))
+    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    a = left.select(F.col(key).alias("__k"), micros(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__o"), row.alias("__row"), F.lit(None).cast(one.schema["__v"].dataType).alias("__v"))
+    b = one.select(F.col(key).alias("__k"), micros(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__o"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__v")
+    a, b = (side.withColumn("__slice", slice_of) for side in (a, b))
+    ends = b.select("__k", "__slice", "__t", "__v").unionByName(a.select("__k", "__slice", F.lit(None).cast("long").alias("__t"), "__v"))
+    ends = ends.filter(F.col("__k").isNotNull() & F.col("__slice").isNotNull()).groupBy("__k", "__slice").agg(F.max_by("__v", "__t").alias("__v"))
+    before = Window.partitionBy("__k").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("__k", "__slice", (F.col("__slice") * width).alias("__t"), F.lit(-1).alias("__o"), F.last("__v", ignorenulls=True).over(before).alias("__v"))
+    w = Window.partitionBy("__k", "__slice").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).unionByName(start, allowMissingColumns=True).withColumn("__near", F.last("__v", ignorenulls=True).over(w)).filter("__row IS NOT NULL")
+    if tolerance is not None:
+        out = out.withColumn("__near", F.when(F.col("__t") - F.col("__near.__at") <= tolerance, F.col("__near")))
+    return out.select("__row.*", *[F.col(f"__near.{v}").alias(v) for v in values])
+
+
 def at_position(left: DataFrame, grid: DataFrame, key: str, left_time: str, grid_time: str, values: list[str], offset: int = 0, strict: bool = False) -> DataFrame:
     """``values`` of the grid row ``offset`` positions after the first one at or after (strictly after) each time."""
     w = Window.partitionBy(key).orderBy(grid_time)

@@ -482,3 +482,20 @@ def equal_factors(spark, sf_dir):
     kept = distinct_factors(dict(zip(names, [call("add", "close", "open"), call("add", "close", "open")], strict=True)))
     out = compiled(weekly_bars(spark, sf_dir), kept)
     return out.select("ticker", F.expr(DAY), *[r6(n).alias("a") for n in kept])
+
+
+# ---- skewed keys ---------------------------------------------------------------------------------
+
+
+@query(
+    "sale_terms",
+    """WITH c AS (SELECT * FROM (SELECT client_id, valid_at, change_id, segment, city, row_number() OVER (PARTITION BY client_id, valid_at ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST, segment DESC NULLS LAST, city DESC NULLS LAST) AS k FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL) WHERE k = 1)
+SELECT s.sale_id, s.client_id, c.change_id, c.segment, c.city FROM sales s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at""",
+)
+def sale_terms(spark, sf_dir):
+    """Every sale with its client's segment and city as last changed at or before it, by slices of a day: one client may
+    have a third of all sales."""
+    changes = table(spark, sf_dir, "client_changes").select("client_id", "valid_at", "seq", "change_id", "segment", "city")
+    sales = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at")
+    out = A.as_of_by_slices(sales, changes, "client_id", "sold_at", "valid_at", ["change_id", "segment", "city"], 86_400_000_000, tie=["seq", "change_id", "segment", "city"])
+    return out.select("sale_id", "client_id", "change_id", "segment", "city")

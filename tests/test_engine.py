@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import text as X
 from panelforge.operators import kernels, portfolio
+from panelforge.operators.asof import as_of, as_of_by_slices
 from panelforge.plans.expr import ExpressionError, compiled, distinct_factors, tree_hash, unique_names, validated
 
 
@@ -188,3 +189,21 @@ def test_penalised_weights_are_feasible():
     w = portfolio.penalised_weights(alpha, loadings, np.array([0.2, 0.1, 0.05]), rng.uniform(0.01, 0.1, n), neutral=neutral, penalty=0.1)
     assert np.abs(w).max() <= 0.01 + 1e-6 and abs(w.sum()) < 1e-6 and np.abs(neutral @ w).max() < 1e-6 and np.abs(w).sum() <= 1 + 1e-6
     assert alpha @ w > 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("tolerance", [None, 40_000_000])
+def test_as_of_by_slices_is_as_of_whatever_the_width(spark, strict, tolerance):
+    rng = np.random.default_rng(3)
+    at = lambda n: [(pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(s))).to_pydatetime() for s in rng.integers(0, 300, n)]
+    key = lambda n: [["hot", "hot", "a", "b"][int(k)] for k in rng.integers(0, 4, n)]
+    left = spark.createDataFrame([*zip(range(200), key(200), at(200), strict=True), (200, "hot", None), (201, "none", at(1)[0]), (200, "hot", None)], "id long, k string, t timestamp")
+    right = spark.createDataFrame([*zip(key(90), at(90), range(90), strict=True), ("hot", None, 99), ("a", at(1)[0], None)], "k string, u timestamp, v long")
+    want = sorted(map(tuple, as_of(left, right, "k", "t", "u", ["v"], strict=strict, tolerance=tolerance, tie=["v"]).collect()), key=repr)
+    for width in (1, 7_000_000, 100_000_000, 10**15):
+        got = as_of_by_slices(left, right, "k", "t", "u", ["v"], width, strict, tolerance, ["v"])
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    nulls = spark.createDataFrame([(1, None, at(1)[0])], "id long, k string, t timestamp")
+    assert as_of_by_slices(nulls, right.union(spark.createDataFrame([(None, at(1)[0], 5)], right.schema)), "k", "t", "u", ["v"], 10**9).first()["v"] is None
+    assert as_of_by_slices(left, right.limit(0), "k", "t", "u", ["v"], 10**9).filter("v is not null").count() == 0
+    assert as_of_by_slices(left.limit(0), right, "k", "t", "u", ["v"], 10**9).count() == 0
