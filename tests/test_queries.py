@@ -10,7 +10,7 @@ import pytest
 from panelforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations sales client_changes".split()
 
 
 @pytest.fixture(scope="module")
