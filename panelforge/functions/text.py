@@ -198,9 +198,14 @@ def task_section(reply: Column, k: int) -> Column:
 
 def word_chunks(text: Column, size: int = 100) -> Column:
     """The words of a text in chunks of ``size``."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
+    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
+
+    # The words are bound by an outer lambda: inside an inner one the split would be done again for every chunk.
+    return F.transform(F.array(words), cut)[0]
 
 
 def fields(block: Column) -> Column:

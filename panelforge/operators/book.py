@@ -99,12 +99,19 @@ def features(df: DataFrame, levels: int = LEVELS, horizon: int = 10, keys: Keys
 
 def windows(df: DataFrame, columns: list[str], label: str, length: int = 100, stride: int = 10, keys: Keys = KEYS) -> DataFrame:
     """(entity, time, window, label): every ``stride``-th full window of rows without missing values, labelled by its
-    last row."""
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    w = keys.rows(length)
-    rows = df.withColumns({"__n": F.row_number().over(keys.series()), "__ok": F.sum(whole.cast("int")).over(w), "window": F.collect_list(F.array(*columns)).over(w)})
-    chosen = (F.col("__ok") == length) & ((F.col("__n") - length) % stride == 0) & F.col(label).isNotNull()
-    return rows.filter(chosen).select(keys.entity, keys.time, "window", F.col(label).alias("label"))
+    last row.
+
+    Rows are gathered in blocks that end where a window ends, and a window is put together from the blocks it reaches
+    back to: lists are built for the windows asked for and not for every row."""
+    n = F.row_number().over(keys.series())
+    row = F.struct("__n", F.col(keys.time).alias("time"), F.col(label).alias("label"), F.array(*columns).alias("x"))
+    rows = df.withColumn("__n", n).select(keys.entity, F.ceil((F.col("__n") - length) / stride).alias("__block"), row.alias("__row"))
+    blocks = rows.groupBy(keys.entity, "__block").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    back = Window.partitionBy(keys.entity).orderBy("__block").rowsBetween(-((length - 1) // stride), 0)
+    blocks = blocks.withColumns({"__last": F.element_at("__rows", -1), "__held": F.flatten(F.collect_list("__rows.x").over(back))})
+    ends = blocks.filter((F.col("__block") >= 0) & (F.col("__last.__n") == length + F.col("__block") * stride) & F.col("__last.label").isNotNull())
+    out = ends.select(keys.entity, F.col("__last.time").alias(keys.time), F.slice("__held", -length, length).alias("window"), F.col("__last.label").alias("label"))
+    return out.filter(F.forall("window", lambda x: F.forall(x, lambda v: v.isNotNull())))
 
 
 def month_split(df: DataFrame, keys: Keys = KEYS) -> DataFrame:

@@ -30,36 +30,46 @@ BLOCK = 512
 
 
 def _carried(alphas: dict[str, float], entity: str):
-    """What each block of a series begins with (``in``) and has at its first value (``at``), from the blocks before it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__slice", "__sub"]).reset_index(drop=True)
-        out = {c: pdf[c] for c in (entity, "__slice", "__sub")}
-        for k, alpha in alphas.items():
-            state, gap, rows = None, 0, []
-            for n, lead, trail, x, p, l1, l2, ls in zip(*(pdf[f"{c}{k}"] for c in ("__n", "__lead", "__trail", "__x", "__p", "__l", "__m", "__s")), strict=True):
-                before = state or (math.nan,) * 3
-                if lead != lead:  # no value in the block
-                    rows.append((*before, *(math.nan,) * 3))
-                    gap += n
-                    continue
-                if state is None:
-                    first = (x, x * x, 0.0)
-                else:
-                    old = (1 - alpha) ** (gap + lead + 1)
-                    c, d = old / (old + alpha), alpha / (old + alpha)
-                    first = (c * state[0] + d * x, c * state[1] + d * x * x, c * c * state[2] + 2 * c * d)
-                rows.append((*before, *first))
-                state, gap = (p * first[0] + l1, p * first[1] + l2, p * p * first[2] + ls), trail
-            for i, name in enumerate(("in", "in2", "ins", "at", "at2", "ats")):
-                out[f"__{name}{k}"] = [r[i] for r in rows]
-        return pd.DataFrame(out)
+    """What each block of a series begins with (``in``) and has at its first value (``at``), from the blocks before it. Batches
+    come in order of series and block; a series may go on in the next batch."""
+
+    def run(batches):
+        other = object()
+        series, states, gaps = other, {}, {}
+        for pdf in batches:
+            names, rows = [None if x is None or x != x else x for x in pdf[entity]], {k: [] for k in alphas}
+            values = {k: list(zip(*(pdf[f"{c}{k}"] for c in ("__n", "__lead", "__trail", "__x", "__p", "__l", "__m", "__s")), strict=True)) for k in alphas}
+            for i, name in enumerate(names):
+                if series is other or name != series:
+                    series, states, gaps = name, dict.fromkeys(alphas), dict.fromkeys(alphas, 0)
+                for k, alpha in alphas.items():
+                    n, lead, trail, x, p, l1, l2, ls = values[k][i]
+                    state = states[k]
+                    before = state or (math.nan,) * 3
+                    if lead != lead:  # no value in the block
+                        rows[k].append((*before, *(math.nan,) * 3))
+                        gaps[k] += n
+                        continue
+                    if state is None:
+                        first = (x, x * x, 0.0)
+                    else:
+                        old = (1 - alpha) ** (gaps[k] + lead + 1)
+                        c, d = old / (old + alpha), alpha / (old + alpha)
+                        first = (c * state[0] + d * x, c * state[1] + d * x * x, c * c * state[2] + 2 * c * d)
+                    rows[k].append((*before, *first))
+                    states[k], gaps[k] = (p * first[0] + l1, p * first[1] + l2, p * p * first[2] + ls), trail
+            out = {c: pdf[c] for c in (entity, "__slice", "__sub")}
+            for k in alphas:
+                for j, c in enumerate(("in", "in2", "ins", "at", "at2", "ats")):
+                    out[f"__{c}{k}"] = [r[j] for r in rows[k]]
+            yield pd.DataFrame(out)
 
     return run
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: Keys = KEYS, variance: bool = False) -> DataFrame:
-    """Adds exponentially weighted means (or unbiased variances): new column -> (column, alpha), all in one pass.
+def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: Keys = KEYS, variance: bool = False, tie: list[str] | None = None) -> DataFrame:
+    """Adds exponentially weighted means (or unbiased variances): new column -> (column, alpha), all in one pass. Rows of one
+    time are in order of ``tie``.
 
     A value is (old * average + alpha * x) / (old + alpha), old = (1 - alpha) ^ (rows since the last x): an affine map of the
     average before it. Series are cut by calendar quarter and then into blocks; inside a block windows give the
@@ -69,7 +79,7 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: Keys = KEYS,
     slice_ = F.date_trunc("quarter", F.col(keys.time).cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(0)
     size = min(BLOCK, *(max(1, int(200 / -math.log(1 - a))) if a < 1 else 1 for _, a in columns.values()))
     rows = df.withColumn("__slice", slice_)
-    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(keys.entity, "__slice").orderBy(keys.time)) - 1)
+    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(keys.entity, "__slice").orderBy(keys.time, *(tie or []))) - 1)
     rows = rows.withColumn("__sub", F.floor(F.col("__rn") / size))
     block = ["__slice", "__sub"]
     w = Window.partitionBy(keys.entity, *block).orderBy("__rn")
@@ -101,7 +111,7 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: Keys = KEYS,
     summary = rows.groupBy(keys.entity, *block).agg(*ends)
     kinds = {f.name: f.dataType.simpleString() for f in summary.schema.fields}
     names = [f"__{c}{k}" for k in alphas for c in ("in", "in2", "ins", "at", "at2", "ats")]
-    carried = summary.groupBy(keys.entity).applyInPandas(_carried(alphas, keys.entity), ", ".join([f"`{c}` {kinds[c]}" for c in (keys.entity, *block)] + [f"{c} double" for c in names]))
+    carried = summary.repartition(F.col(keys.entity)).sortWithinPartitions(keys.entity, *block).mapInPandas(_carried(alphas, keys.entity), ", ".join([f"`{c}` {kinds[c]}" for c in (keys.entity, *block)] + [f"{c} double" for c in names]))
     carried = carried.select(F.col(keys.entity).alias("__e"), *[F.col(c).alias(f"__b{c}") for c in block], *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names])
     same = F.col(keys.entity).eqNullSafe(F.col("__e"))
     for c in block:

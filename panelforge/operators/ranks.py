@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of the value that the counts are dealt to.
-RANGES = 200
+from panelforge.sources.scratch import written
+
+#: Ranges of the value that the counts are dealt to, and how many of them a step of the search for one spans.
+RANGES, STEP = 200, 14
 
 
 def counted(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -21,7 +23,11 @@ def with_below(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     """Adds ``below``: the sum of c over the smaller values (of the same group). A range's values are summed up in one
     task; what lies in lower ranges is added from the ranges' totals, which are few."""
     edges = counts.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 5000).alias("__edges"))
-    dealt = counts.crossJoin(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    # Lambdas are interpreted, so an edge is looked for among every STEP-th one and then among the STEP after it.
+    edges = edges.withColumn("__steps", F.transform(F.sequence(F.lit(STEP), F.lit(RANGES - 1), F.lit(STEP)), lambda i: F.element_at("__edges", i)))
+    lower_than = lambda held: F.size(F.filter(held, lambda e: e < F.col(value)))
+    dealt = counts.crossJoin(F.broadcast(edges)).withColumn("__step", lower_than("__steps") * STEP)
+    dealt = dealt.withColumn("__range", F.col("__step") + lower_than(F.slice("__edges", F.col("__step") + 1, STEP))).drop("__edges", "__steps", "__step")
     totals = dealt.groupBy(*by, "__range").agg(F.sum("c").alias("__total"))
     lower = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "__range", F.coalesce(F.sum("__total").over(lower), F.lit(0)).alias("__lower"))
@@ -46,3 +52,40 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame
     found = [x for i, h in enumerate(place) for x in (at(F.floor(h)).alias(f"a{i}"), at(F.ceil(h)).alias(f"b{i}"), F.max(h - F.floor(h)).alias(f"w{i}"))]
     g = placed.agg(*found)
     return g.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"w{i}") for i in range(len(shares))]).alias("edges"))
+
+
+#: Bits of a rank that one level of ``sliding_below`` tells apart.
+LEVEL_BITS = 4
+
+
+def sliding_below(rows: DataFrame, value: str, by: Sequence[str], at: str, span: int, width: int) -> DataFrame:
+    """(by, at, value, below, held) for every distinct (by, at, value): how many rows of the group with ``at`` in [at - span, at]
+    have a smaller value, and how many have a value at all. ``at`` is a long; rows with a null in any of these count nowhere.
+
+    No list of a window's values is ever held. A value's rank in its group is read as digits; a smaller one has, at the
+    first digit where they differ, a smaller digit under the same prefix. So each level needs running counts by digit
+    under a prefix, at the window's two ends: two rows for each point and digit. Runs are cut into slices of ``width``
+    of ``at``, each begun with the totals of the slices before, so that a task holds a slice of a group and no group."""
+    group, digits = [F.col(c) for c in by], 1 << LEVEL_BITS
+    points = rows.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*by, at, value))).groupBy(*by, at, value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = with_below(points.groupBy(*by, value).agg(F.sum("c").alias("c")), value, by)
+    points = written(points.join(ranked.select(*by, value, F.col("below").alias("__r")), [*by, value]))
+    top = points.agg(F.max("__r").alias("top")).first()["top"] or 0
+    levels = max(1, -(-int(top).bit_length() // LEVEL_BITS))
+    prefix = lambda k: F.shiftright("__r", LEVEL_BITS * (k + 1))
+    digit = lambda k: F.shiftright("__r", LEVEL_BITS * k).bitwiseAND(digits - 1)
+    end = lambda k, t, c, sign: F.struct(F.lit(k).alias("__l"), prefix(k).alias("__p"), digit(k).alias("__d"), t.alias("__t"), c.alias("__c"), F.lit(sign).alias("__sign"))
+    ends = [e for k in range(levels) for e in (end(k, F.col(at), F.col("c"), 1), end(k, F.col(at) - span - 1, F.lit(0).cast("long"), -1))]
+    events = points.select(*by, at, value, F.explode(F.array(*ends)).alias("__e")).select(*by, at, value, "__e.*").withColumn("__slice", F.floor(F.col("__t") / width))
+    smaller = [F.sum(F.when(F.col("__d") < k, F.col("__c")).otherwise(0)) for k in range(1, digits + 1)]
+    totals = events.groupBy(*by, "__l", "__p", "__slice").agg(*[x.alias(f"__s{k}") for k, x in enumerate(smaller)])
+    before = Window.partitionBy(*group, "__l", "__p").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.array(*[F.coalesce(F.sum(f"__s{k}").over(before), F.lit(0)) for k in range(digits)])
+    starts = totals.select(*by, "__l", "__p", "__slice", (F.col("__slice") * width - 1).alias("__t"), carried.alias("__start"))
+    run = Window.partitionBy(*group, "__l", "__p", "__slice").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = events.unionByName(starts, allowMissingColumns=True)
+    counts = [F.sum(F.when(F.col("__start").isNotNull(), F.col("__start")[k]).when(F.col("__d") <= k, F.col("__c")).otherwise(0)).over(run) for k in range(digits)]
+    found = both.withColumn("__counts", F.array(*counts)).filter("__sign IS NOT NULL")
+    under = F.when(F.col("__d") > 0, F.try_element_at("__counts", F.col("__d").cast("int"))).otherwise(0)
+    held = F.when(F.col("__l") == levels - 1, F.try_element_at("__counts", F.lit(digits))).otherwise(0)
+    return found.groupBy(*by, at, value).agg(F.sum(under * F.col("__sign")).alias("below"), F.sum(held * F.col("__sign")).alias("held"))

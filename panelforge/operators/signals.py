@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from panelforge.functions.panel import KEYS, Keys, nonzero
 from panelforge.operators.asof import as_of, latest, micros, within
-from panelforge.operators.ranks import with_below
+from panelforge.operators.kernels import ewm
+from panelforge.operators.ranks import sliding_below, with_below
 from panelforge.sources.scratch import written
 
 DAY = 86_400_000_000
@@ -21,11 +22,13 @@ def target_ratios(targets: DataFrame, prices: DataFrame, key: str, target_time:
 
 
 def firm_rank(df: DataFrame, firm: str, time: str, value: str, days: int = 365, least: int = 2, new: str = "rank") -> DataFrame:
-    """Share of the firm's values strictly below the row's in the ``days`` up to it, same-day peers included."""
-    w = Window.partitionBy(firm).orderBy(micros(time)).rangeBetween(-days * DAY, 0)
-    df = df.withColumn("__held", F.collect_list(value).over(w))
-    below = F.size(F.filter("__held", lambda v: v < F.col(value)))
-    return df.withColumn(new, F.when((F.size("__held") >= least) & F.col(value).isNotNull(), below / F.size("__held"))).drop("__held")
+    """Share of the firm's values strictly below the row's in the ``days`` up to it, same-day peers included. Null where the
+    firm, the time or the value is, or with fewer than ``least`` values."""
+    at = df.withColumn("__at", micros(time))
+    found = sliding_below(at, value, [firm], "__at", days * DAY, 30 * DAY)
+    found = found.select(F.col(firm).alias("__f"), F.col("__at").alias("__a"), F.col(value).alias("__v"), "below", "held")
+    out = at.join(found, (F.col(firm) == F.col("__f")) & (F.col("__at") == F.col("__a")) & (F.col(value) == F.col("__v")), "left")
+    return out.select(*df.columns, F.when(F.col("held") >= least, F.col("below") / F.col("held")).alias(new))
 
 
 def quantile_edges(values: Column, k: int) -> Column:
@@ -53,9 +56,12 @@ def signal_grid(df: DataFrame, weight: str, names: DataFrame, times: DataFrame,
     return grid.join(mean, [keys.time, keys.entity], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
 
 
-def smoothed(values: Column, alpha: float = 0.3) -> Column:
-    """Exponential smoothing of an array: s0 = x0, s = alpha x + (1 - alpha) s."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(alpha * x + (1 - alpha) * s))
+def smoothed(df: DataFrame, value: str, alpha: float = 0.3, new: str = "smoothed", tie: list[str] | None = None, keys: Keys = KEYS) -> DataFrame:
+    """(entity, new): the exponential smoothing of a series at its last row: s0 = x0, s = alpha x + (1 - alpha) s. Rows without
+    a value are left out. A scan over blocks: no series is gathered."""
+    rows = df.filter(F.col(value).isNotNull()).select(keys.entity, keys.time, *(tie or []), value)
+    run = ewm(rows, {"__s": (value, alpha)}, keys, tie=tie)
+    return run.groupBy(keys.entity).agg(F.max_by("__s", F.struct(keys.time, *(tie or []))).alias(new))
 
 
 def decay_filled(df: DataFrame, value: str, half_life: float, most: float | None = None, keys: Keys = KEYS, new: str | None = None) -> DataFrame:

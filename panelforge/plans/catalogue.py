@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import text as X
-from panelforge.functions.panel import nonzero
+from panelforge.functions.panel import Keys, nonzero
 from panelforge.operators import asof as A
 from panelforge.operators import bars as B
 from panelforge.operators import book as O
@@ -569,8 +569,8 @@ def target_ratio(spark, sf_dir):
 
 @query("smoothing", "WITH h AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda s, x: 0.3 * x + 0.7 * s) + 1e-8, 6) AS s FROM h")
 def smoothing(spark, sf_dir):
-    h = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("h"))
-    return h.select("user_id", r6(S.smoothed(F.col("h.value"), 0.3)).alias("s"))
+    out = S.smoothed(table(spark, sf_dir, "events"), "value", 0.3, "s", ["event_id"], Keys("user_id", "ts"))
+    return out.select("user_id", r6("s").alias("s"))
 
 
 @query("event_window_return", PANEL_SQL + "SELECT ticker, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN count(r / 100) OVER w = 4 THEN product(1 + r / 100) OVER w - 1 END + 1e-8, 6) + 0.0 AS fwd FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)")
@@ -704,14 +704,16 @@ def first_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.first_number(F.col("text")).alias("x"))
 
 
-@query("word_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '') AS w FROM documents) SELECT doc_id, CAST(ceil(len(w) / 100.0) AS INTEGER) AS chunks FROM w")
+@query("word_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '') AS w FROM documents) SELECT doc_id, CAST(ceil(len(w) / 100.0) AS INTEGER) AS chunks, md5(array_to_string(list_transform(range(0, len(w), 100), lambda i: array_to_string(w[i + 1:i + 100], ' ')), '|')) AS held FROM w")
 def word_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.word_chunks(F.col("text"))).alias("chunks"))
+    chunks = X.word_chunks(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(chunks).alias("chunks"), F.md5(F.array_join(chunks, "|").cast("binary")).alias("held"))
 
 
-@query("plain_text", "SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS n FROM documents")
+@query("plain_text", "SELECT doc_id, length(t) AS n, md5(t) AS plain FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents)")
 def plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.plain_text(F.col("text"))).alias("n"))
+    plain = X.plain_text(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(plain).alias("n"), F.md5(plain.cast("binary")).alias("plain"))
 
 
 TITLES = "SELECT s_suppkey, s_name || ' (' || upper(substr(s_name, 1, 3)) || ') reports' AS title FROM supplier"
@@ -836,10 +838,11 @@ def book_pipeline(spark, sf_dir):
     return O.features(book(spark, sf_dir), 3, 5).select("ticker", F.expr(DAY), r6("cum_imbalance_momentum").alias("momentum"), r6("target_5").alias("target_5"))
 
 
-@query("training_windows", BARS_SQL + f", n AS (SELECT ticker, ts, close, volume, row_number() OVER {SERIES} AS n FROM bars) SELECT ticker, CAST(ts AS VARCHAR) AS ts, 20 AS rows, round(close, 6) AS label FROM n WHERE n >= 20 AND (n - 20) % 5 = 0")
+@query("training_windows", BARS_SQL + f", n AS (SELECT ticker, ts, close, row_number() OVER {SERIES} AS n, lag(volume, 19) OVER {SERIES} AS first, sum(close * volume) OVER {frame(20)} AS turned FROM bars) SELECT ticker, CAST(ts AS VARCHAR) AS ts, 20 AS rows, round(close, 6) AS label, first AS first_volume, round(turned + 1e-8, 3) AS turned FROM n WHERE n >= 20 AND (n - 20) % 5 = 0")
 def training_windows(spark, sf_dir):
     w = O.windows(weekly_bars(spark, sf_dir), ["close", "volume"], "close", 20, 5)
-    return w.select("ticker", F.expr(DAY), F.size("window").alias("rows"), F.round("label", 6).alias("label"))
+    turned = F.aggregate("window", F.lit(0.0), lambda s, x: s + x[0] * x[1])
+    return w.select("ticker", F.expr(DAY), F.size("window").alias("rows"), F.round("label", 6).alias("label"), F.col("window")[0][1].alias("first_volume"), F.round(turned + 1e-8, 3).alias("turned"))
 
 
 @query("month_split", BARS_SQL + ", s AS (SELECT ticker, ts, row_number() OVER w AS i, count(*) OVER (PARTITION BY ticker, date_trunc('month', ts)) AS n FROM bars WINDOW w AS (PARTITION BY ticker, date_trunc('month', ts) ORDER BY ts)) SELECT ticker, CAST(ts AS VARCHAR) AS ts, CASE WHEN month(ts) % 2 = 1 THEN 'train' WHEN i * 2 <= n THEN 'valid' ELSE 'test' END AS split FROM s")

@@ -313,11 +313,12 @@ def log_loss(spark, sf_dir):
 # ---- text ------------------------------------------------------------------------------------------------------
 
 
-@query("visible_text", "SELECT doc_id, length(text) AS n FROM documents")
+@query("visible_text", "SELECT doc_id, length(text) AS n, md5(text) AS held FROM documents")
 def visible_text(spark, sf_dir):
-    """Control and zero-width characters put in come out again."""
-    noisy = F.concat(F.lit("\x01​"), F.col("text"), F.lit("﻿\x7f"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.visible_text(noisy)).alias("n"))
+    """Control and zero-width characters put in, at both ends and at every space, come out again."""
+    noisy = F.concat(F.lit("\x01\u200b"), F.replace("text", F.lit(" "), F.lit("\u200d \x08")), F.lit("\ufeff\x7f"))
+    seen = X.visible_text(noisy)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(seen).alias("n"), F.md5(seen.cast("binary")).alias("held"))
 
 
 @query("units", "SELECT s_suppkey, floor(s_acctbal) AS x, 'million USD' AS unit, floor(s_acctbal) * 10000.0 AS in_unit FROM supplier")
@@ -372,10 +373,20 @@ def lexicon_table(spark, sf_dir):
     return X.lexicon_scores(table(spark, sf_dir, "documents"), "doc_id", "text", signs)
 
 
-@query("char_chunks", "SELECT c_custkey, 1 AS chunks, c_mktsegment AS first FROM customer")
+CHUNKS_SQL = r"""WITH RECURSIVE c(conv_id, turn, i, chunk, rest) AS (
+  SELECT conv_id, turn, 0, CAST(NULL AS VARCHAR), trim(text) FROM conversations WHERE text IS NOT NULL
+  UNION ALL
+  SELECT conv_id, turn, i + 1, rtrim(rest[1:cut]), ltrim(rest[cut + 1:])
+  FROM (SELECT *, CASE WHEN length(rest) <= 40 THEN 40 WHEN spaced > 1 THEN spaced - 1 ELSE 40 END AS cut
+        FROM (SELECT *, length(regexp_extract(rest[1:41], '^(?s:.*) ')) AS spaced FROM c WHERE rest <> '')))
+SELECT conv_id, turn, max(i) AS chunks, coalesce(string_agg(chunk, '|' ORDER BY i), '') AS held FROM c GROUP BY ALL"""
+
+
+@query("char_chunks", CHUNKS_SQL)
 def char_chunks(spark, sf_dir):
-    chunks = X.char_chunks("c_mktsegment", F.lit(40))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.size(chunks).alias("chunks"), chunks[0].alias("first"))
+    chunks = X.char_chunks("text", F.lit(40))
+    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").withColumn("c", chunks)
+    return turns.select("conv_id", "turn", F.size("c").alias("chunks"), F.array_join("c", "|").alias("held"))
 
 
 @query("first_words", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')[1:7], ' ') AS head FROM documents")

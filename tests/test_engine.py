@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -207,3 +209,50 @@ def test_as_of_by_slices_is_as_of_whatever_the_width(spark, strict, tolerance):
     assert as_of_by_slices(nulls, right.union(spark.createDataFrame([(None, at(1)[0], 5)], right.schema)), "k", "t", "u", ["v"], 10**9).first()["v"] is None
     assert as_of_by_slices(left, right.limit(0), "k", "t", "u", ["v"], 10**9).filter("v is not null").count() == 0
     assert as_of_by_slices(left.limit(0), right, "k", "t", "u", ["v"], 10**9).count() == 0
+
+
+def test_firm_rank_counts_in_slices_as_lists_of_the_window_do(spark):
+    """Against the values of every window, with ties, repeated rows, nulls and one firm that has most of the rows."""
+    from panelforge.operators.signals import firm_rank
+
+    rng = np.random.default_rng(7)
+    day = datetime(2024, 1, 1)
+    rows = [("hot" if rng.random() < 0.8 else f"f{rng.integers(3)}", day + timedelta(days=int(rng.integers(400))), float(rng.integers(60))) for _ in range(700)]
+    rows += rows[:20] + [("hot", day, None), (None, day, 3.0), ("hot", None, 3.0), ("alone", day, 1.0)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id int, firm string, ts timestamp, x double")
+    got = {r["id"]: r["rank"] for r in firm_rank(df, "firm", "ts", "x", 90).collect()}
+
+    def want(firm, ts, x):
+        if firm is None or ts is None or x is None:
+            return None
+        held = [v for _, f, t, v in rows if f == firm and t is not None and v is not None and ts - timedelta(days=90) <= t <= ts]
+        return sum(v < x for v in held) / len(held) if len(held) >= 2 else None
+
+    assert got == {i: want(f, t, x) for i, f, t, x in rows}
+    assert firm_rank(df.limit(0), "firm", "ts", "x", 90).count() == 0
+
+
+@pytest.mark.parametrize(("length", "stride"), [(5, 5), (7, 3), (2, 4), (1, 1)])
+def test_windows_from_blocks_are_those_of_the_rows(panel, length, stride):
+    from panelforge.operators.book import windows
+
+    got = {(r["ticker"], r["ts"]): ([list(x) for x in r["window"]], r["label"]) for r in windows(panel[1], ["x", "y"], "y", length, stride).collect()}
+    want = {}
+    for name, g in panel[0].groupby("ticker"):
+        g = g.sort_values("ts")
+        for end in range(length, len(g) + 1, stride):
+            w = g.iloc[end - length : end]
+            if w[["x", "y"]].notna().all().all():
+                want[name, w.ts.iloc[-1].to_pydatetime()] = (w[["x", "y"]].to_numpy().tolist(), w.y.iloc[-1])
+    assert got == want and want
+
+
+def test_smoothing_without_gathered_series(spark):
+    from panelforge.functions.panel import Keys
+    from panelforge.operators.signals import smoothed
+
+    rows = [("a", 1, 2, 3.0), ("a", 1, 1, 5.0), ("a", 2, 0, None), ("a", 9, 0, 1.0), ("b", 4, 0, 2.0), ("c", 1, 0, None)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, x double")
+    got = {r["k"]: r["s"] for r in smoothed(df, "x", 0.3, "s", ["i"], Keys("k", "t")).collect()}
+    assert got == pytest.approx({"a": 0.3 * 1 + 0.7 * (0.3 * 3 + 0.7 * 5), "b": 2.0})
