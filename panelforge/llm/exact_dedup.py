@@ -7,8 +7,9 @@ content, and the number of rows. The state itself is then read as a table.
 Because the state outlives a run, later feeds can be added to the same folder.
 
 A digest met more than once is a hit: the full bytes of all its rows are
-compared (least and greatest text, combined map-side, so a group that holds a
-third of all rows moves one text for each task). If two texts ever share a
+compared (least and greatest text, combined map-side). Hits are found by
+broadcast, or beyond ``BROADCAST_DIGESTS`` of them by shuffle except for large
+groups, so a group that holds a third of all rows moves two texts for each task. If two texts ever share a
 digest, those rows are grouped by their bytes instead.
 
 Defined cases. Null text counts as empty; empty texts form one group. A null
@@ -89,13 +90,15 @@ def stream_state(spark: SparkSession, feed_path: str, schema: T.StructType, stat
         )
 
 
-def _colliding(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests of ``hits`` under which rows differ in their bytes."""
-    few = hits.count() <= BROADCAST_DIGESTS
+def _colliding(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
+    """Digests of ``hits`` (digest, n) under which rows differ in their bytes."""
     rows = docs.select(digest_of(text_col).alias("digest"), whole(text_col).alias("body"))
+    if hits.count() <= BROADCAST_DIGESTS:
+        found = rows.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
+    else:  # texts of large groups stay where they lie, so that each task reduces its own to two
+        found = joined_by_weight(rows, hits, "digest", "n")
     return (
-        rows.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
-        .groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
+        found.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
         .filter(F.col("least") != F.col("greatest")).select("digest")
     )
 
@@ -117,7 +120,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         state = stream_state(spark, f"{base}/feed", feed.schema, f"{base}/state")
         answer = joined_by_weight(feed.select("digest", "id"), state.select("digest", "keep_id", "n"), "digest", "n", "left")
-        bad = written(_colliding(docs, state.filter("n > 1").select("digest"), id_col, text_col))
+        bad = written(_colliding(docs, state.filter("n > 1").select("digest", "n"), text_col))
         if not bad.isEmpty():
             answer = answer.join(bad, "digest", "left_anti").unionByName(_by_bytes(docs, bad, id_col, text_col))
     return answer.select(

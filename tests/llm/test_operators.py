@@ -329,6 +329,22 @@ def test_rows_under_one_digest_are_told_apart(spark):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_large_groups_are_checked_where_they_lie(spark, monkeypatch):
+    """Beyond the bound on broadcast hits: one group with most of the rows, whose texts are not shuffled by digest."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", 0)
+    rows = [(i, "same") for i in range(1500)] + [(2000 + i, f"t{i % 20}") for i in range(60)]
+    docs = documents(spark, rows).repartition(6)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {i: (1499, 1500) if i < 2000 else (2040 + i % 20, 3) for i, _ in rows}
+    hits = spark.createDataFrame([("x", 1500), ("y", 3)], "digest string, n long")
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.when(F.length(c) > 3, "x").when(F.col(c) == "t1", "y"))
+    assert exact_dedup._colliding(docs, hits, "text").isEmpty()
+    bad = exact_dedup._colliding(docs.unionByName(documents(spark, [(9000, "other")])), hits, "text")
+    assert [r["digest"] for r in bad.collect()] == ["x"]
+
+
 def test_deduplicated_under_one_digest_and_clashing_names(spark, monkeypatch):
     from pyspark.sql import functions as F
 
