@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -221,7 +222,15 @@ def sections(text: Column, header: str) -> Column:
 
 
 def without_common_chunks(df: DataFrame, text: str, other: str, new: str, size: int = 100, similarity: float = 0.8) -> DataFrame:
-    """Drops the chunks of ``text`` whose matching-blocks ratio to some chunk of ``other`` reaches ``similarity``."""
+    """Drops the chunks of ``text`` whose matching-blocks ratio to some chunk of ``other`` reaches ``similarity``.
+
+    The worker cuts the chunks of ``word_chunks`` itself: Spark may not know a Python function with lambdas in its
+    arguments again when it plans it, and then tries to evaluate it in the JVM."""
+
+    def chunks(t) -> list[str]:
+        words = [] if t is None else re.findall(r"[^ \t\n\x0b\f\r]+", t)
+        return [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+
     @F.pandas_udf(T.StringType())
     def kept(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(mine, theirs) -> str:
@@ -236,9 +245,9 @@ def without_common_chunks(df: DataFrame, text: str, other: str, new: str, size:
                     out.append(chunk)
             return " ".join(out)
 
-        return pd.Series([one(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b, strict=True)])
+        return pd.Series([one(chunks(x), chunks(y)) for x, y in zip(a, b, strict=True)])
 
-    return df.withColumn(new, kept(word_chunks(F.col(text), size), word_chunks(F.col(other), size)))
+    return df.withColumn(new, kept(F.col(text), F.col(other)))
 
 
 def first_words(text: Column, n: int) -> Column:
