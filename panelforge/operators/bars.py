@@ -76,13 +76,16 @@ def aligned(factor: DataFrame, returns: DataFrame, keys: Keys = KEYS) -> DataFra
     return factor.join(returns, [keys.entity, "bin"])
 
 
-def forward_return(df: DataFrame, price: str, horizon: int, new: str = "r", by_day: bool = False, keys: Keys = KEYS, tie: list[str] | None = None) -> DataFrame:
-    """price[t + horizon] / price[t] - 1 by rows, within the day if asked; rows of one time are in order of ``tie``."""
+def forward_return(df: DataFrame, price: str, horizon: int, new: str = "r", by_day: bool = False, keys: Keys = KEYS, tie: list[str] | None = None, guarded: bool = True) -> DataFrame:
+    """price[t + horizon] / price[t] - 1 by rows, within the day if asked; rows of one time are in order of ``tie``. After a
+    price of 0 it is null or, if not ``guarded``, infinite (NaN from 0 to 0)."""
     from pyspark.sql.window import Window
 
     day = [F.to_date(keys.time)] if by_day else []
     w = Window.partitionBy(keys.entity, *day).orderBy(keys.time, *(tie or []))
-    return df.withColumn(new, F.try_divide(F.lead(price, horizon).over(w), nonzero(F.col(price))) - 1)
+    later = F.lead(price, horizon).over(w)
+    ratio = F.try_divide(later, nonzero(F.col(price)))
+    return df.withColumn(new, (ratio if guarded else F.when(F.col(price) == 0, later * float("inf")).otherwise(ratio)) - 1)
 
 
 def to_matrix(df: DataFrame, value: str, names: list[str], keys: Keys = KEYS) -> DataFrame:

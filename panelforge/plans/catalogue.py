@@ -443,7 +443,7 @@ def split_session_events(spark, sf_dir):
 
 @query("forward_return_by_day", EVENTS_SQL + " SELECT event_id, round(lead(price, 3) OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, event_id) / price - 1 + 1e-8, 6) + 0.0 AS r FROM e")
 def forward_return_by_day(spark, sf_dir):
-    return B.forward_return(events(spark, sf_dir), "price", 3, "r", True, tie=["event_id"]).select("event_id", r6("r").alias("r"))
+    return B.forward_return(events(spark, sf_dir), "price", 3, "r", True, tie=["event_id"], guarded=False).select("event_id", r6("r").alias("r"))
 
 
 def calls_and_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
