@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.panel import nonzero
+from panelforge.sources.scratch import written
 
 
 def quarter_key(q: Column) -> Column:
@@ -30,8 +31,9 @@ def quarters_back(q: Column, n: int) -> Column:
 
 def graph_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of facts (ticker, quarter, metric, value, reason): merged nodes by label and name, and links of
-    every fact to them."""
-    facts = facts.withColumn("fact", F.sha2(F.to_json(F.struct("ticker", "quarter", "metric", "value", "reason")), 256))
+    every fact to them. Facts are written first: their ids hash their values, and a sum of doubles that is worked out
+    again may end in other digits."""
+    facts = written(facts.withColumn("fact", F.sha2(F.to_json(F.struct("ticker", "quarter", "metric", "value", "reason")), 256)))
     links = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("name")) for label, c in (("Ticker", "ticker"), ("Quarter", "quarter"), ("Metric", "metric"), ("Value", "value"), ("Reason", "reason"))]))
     edges = facts.select("fact", links.alias("to")).select("fact", "to.label", "to.name").filter("name is not null").distinct()
     nodes = edges.select("label", "name").distinct().unionByName(facts.select(F.lit("Fact").alias("label"), F.col("fact").alias("name")).distinct())
