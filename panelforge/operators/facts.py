@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.panel import nonzero
+from panelforge.operators.best_pairs import best_pairs
 from panelforge.sources.scratch import written
 
 
@@ -87,26 +88,24 @@ def unit(v: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.3, vector: str = "embedding", key: str = "vec_id", condition: Column | None = None, first_top: bool = True, most_queries: int = 10_000) -> DataFrame:
     """(query, key, score): cosine top-k of every query against all rows, scores above ``least``.
 
-    ``queries`` (query, vector, ...) is a stated set; it is broadcast in blocks of ``most_queries`` against the one
-    pass over ``vectors``. ``condition`` compares the columns of a row with q_<column> of the query. By default it is
-    applied to the global top k, so fewer may come back; ``first_top=False`` applies it before. Rows are cut to the k
-    best of each task's group by a partial aggregate before the ranks are taken.
+    ``queries`` (query, vector, ...) is a stated set. ``condition`` compares the columns of a row with q_<column> of the
+    query. By default it is applied to the global top k, so fewer may come back, and the pairs are found by products of
+    blocks; ``first_top=False`` applies it before: then the queries are broadcast in blocks of ``most_queries``.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // most_queries))
+    named = lambda df: [F.col(c).alias("query" if c == "query" else f"q_{c}") for c in df.columns if c != vector]
+    if condition is None or first_top:
+        top = best_pairs(vectors, queries.select(*named(queries), F.col(vector).alias("__q")), k, least, vector, key)
+        return top if condition is None else top.filter(condition)
+    blocks = max(1, -(-queries.count() // most_queries))
     rows = vectors.withColumn("__u", unit(F.col(vector)))
     out = None
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        q = part.select(*[F.col(c).alias("query" if c == "query" else f"q_{c}") for c in part.columns], unit(F.col(vector)).alias("__q")).drop(f"q_{vector}")
-        pairs = rows.join(F.broadcast(q), F.lit(True)).withColumn("score", dot(F.col("__u"), F.col("__q")))
-        if condition is not None and not first_top:
-            pairs = pairs.filter(condition)
+        q = part.select(*named(part), unit(F.col(vector)).alias("__q"))
+        pairs = rows.join(F.broadcast(q), F.lit(True)).withColumn("score", dot(F.col("__u"), F.col("__q"))).filter(condition)
         keep = [c for c in pairs.columns if c not in (vector, "__u", "__q")]
         w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key))
         top = pairs.select(*keep).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k)
-        if condition is not None and first_top:
-            top = top.filter(condition)
         top = top.filter(F.col("score") > least).drop("__n")
         out = top if out is None else out.unionByName(top)
     return out
