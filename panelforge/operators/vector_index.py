@@ -2,9 +2,10 @@
 
 Centres are fitted on ``sample`` rows at most, those with the smallest hash of their
 key; every row is then assigned and written, partitioned by list. A search joins the
-queries to the lists they probe (an equi-join on the list, no nested loop), applies the
-conditions before the best are taken, and scores exactly. Probing all lists is the exact
-search. A list that outgrows the others is split by adaptive execution in that join.
+queries to the lists they probe and scores exactly: by products of blocks within a list
+or, with a condition, which is applied before the best are taken, by an equi-join on the list.
+Probing all lists is the exact search. A list that outgrows the others is cut into blocks,
+or split by adaptive execution in that join.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.best_pairs import best_pairs, matrices
 from panelforge.operators.facts import dot, unit
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     """Rows at length 1; a null or empty vector, or one of zeros, is a row of zeros."""
-    lists = vectors.to_pylist()
-    width = max((len(v) for v in lists if v), default=1)
-    x = np.array([v if v and len(v) == width else [0.0] * width for v in lists], np.float64)
-    x = np.nan_to_num(x)
+    found = matrices(vectors)
+    sizes = vectors.value_lengths().drop_null()
+    first = next((n for n in sizes.to_pylist() if n), 1)
+    x = np.zeros((len(vectors), first))
+    if first in found:
+        at, rows = found[first]
+        x[at] = np.nan_to_num(rows)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -79,6 +84,9 @@ def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 1
     """(query, q_..., columns of the index, score): the ``k`` best rows of each query above ``least`` that meet ``condition``
     (columns of the index against q_<column> of the query), among the ``probes`` nearest lists."""
     q = with_lists(queries, centres, vector, probes)
+    if condition is None:
+        q = q.select(*[F.col(c).alias(c if c in ("query", "list") else f"q_{c}") for c in q.columns if c != vector], F.col(vector).alias("__q"))
+        return best_pairs(index, q, k, least, "__u", key, ["list"]).drop("list")
     q = q.select(*[F.col(c).alias(c if c in ("query", "list") else f"q_{c}") for c in q.columns if c != vector], unit(F.col(vector)).alias("__q"))
     pairs = index.join(q, "list")
     if condition is not None:
