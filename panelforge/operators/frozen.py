@@ -2,7 +2,7 @@
 
 The table has, for each group, the lower edges of its ranges (one row a group) and the
 ranges: the count of rows below, and the distinct values with their counts. A lookup
-finds the range by the edges, joins it, and searches within it. A range holds ``each``
+finds the range by the edges, joins it, and searches within it, both by halving. A range holds ``each``
 rows or more only if they share a value; a group has ``MOST_RANGES`` ranges at most.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators.ranks import counted, with_below
@@ -33,6 +33,13 @@ def frozen_counts(train: DataFrame, value: str, by: Sequence[str] = (), each: in
     return written(edges.select(*keys, F.transform("p", lambda x: x["low"]).alias("__lows"), F.transform("p", lambda x: x["number"]).alias("__numbers"), "__total")), ranges
 
 
+def _before(values: Column, earlier) -> Column:
+    """How many elements of a sorted array are ``earlier`` (a condition that holds up to some place), by halving; null for null."""
+    steps, bits = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)]), F.length(F.bin(F.size(values)))
+    passes = lambda at: F.coalesce(earlier(F.get(values, at - 1)), F.lit(False))
+    return F.aggregate(F.slice(steps, 32 - bits, bits), F.lit(0), lambda at, step: F.when(passes(at + step), at + step).otherwise(at))
+
+
 def placed(df: DataFrame, frozen: tuple[DataFrame, DataFrame], value: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` (table or stream) with ``below``, ``same`` and ``total``: frozen rows of its group smaller than, equal to its value,
     and in all. Null for a null value, or where the group has none."""
@@ -41,11 +48,12 @@ def placed(df: DataFrame, frozen: tuple[DataFrame, DataFrame], value: str, by: S
     v = F.col(value).cast("double")
     left = df.withColumns({k: F.col(b) for b, k in zip(by, keys, strict=True)} | {"__one": F.lit(1)})
     out = left.join(edges.withColumn("__one", F.lit(1)), ["__one", *keys], "left").drop("__one")
-    at = F.size(F.filter("__lows", lambda low: low <= v))
-    out = out.withColumn("__number", F.when(at > 0, F.element_at("__numbers", F.greatest(at, F.lit(1))))).drop("__lows", "__numbers")
+    out = out.withColumn("__number", F.get("__numbers", _before(F.col("__lows"), lambda low: low <= v) - 1)).drop("__lows", "__numbers")
     out = out.join(ranges, [*keys, "__number"], "left")
-    passed = F.aggregate(F.filter("__values", lambda x: x["v"] < v), F.coalesce("__below", F.lit(0)), lambda a, x: F.greatest(a, x["below"] + x["c"]))
-    same = F.aggregate(F.filter("__values", lambda x: x["v"] == v), F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    out = out.withColumn("__at", _before(F.col("__values"), lambda x: x["v"] < v))
+    last, here = F.get("__values", F.col("__at") - 1), F.get("__values", F.col("__at"))
+    passed = F.coalesce(last["below"] + last["c"], "__below")
+    same = F.when(here["v"] == v, here["c"])
     known = v.isNotNull() & F.col("__total").isNotNull()
     return out.select(*df.columns, F.when(known, F.coalesce(passed, F.lit(0))).alias("below"), F.when(known, F.coalesce(same, F.lit(0))).alias("same"), F.col("__total").alias("total"))
 
