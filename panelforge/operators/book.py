@@ -77,9 +77,33 @@ def moving_average(x: str, n: int, keys: Keys = KEYS) -> Column:
 
 
 def range_zscores(df: DataFrame, columns: list[str], minutes: int = 30, keys: Keys = KEYS) -> DataFrame:
-    """z-scores over the (t - minutes, t] window of time, from one row up; a flat window gives null."""
-    w = Window.partitionBy(keys.entity).orderBy(micros(keys.time)).rangeBetween(-(minutes * 60_000_000 - 1), 0)
-    return df.withColumns({f"{c}_zscore": F.try_divide(F.col(c) - F.avg(c).over(w), nonzero(F.stddev_samp(c).over(w))) for c in columns})
+    """z-scores over the (t - minutes, t] window of time, from one row up; a flat window gives null.
+
+    Time is cut into slices as long as the window, which is then the begin of its row's slice and the end of the slice
+    before: two running aggregates, put together. No window is gone through row by row, and a task holds no series."""
+    span, names = minutes * 60_000_000, list(enumerate(columns))
+    made = {"n": F.count, "mean": F.avg, "var": F.var_pop, "low": F.min, "high": F.max}
+    running = lambda x, i, tag, w: {f"__{k}{tag}{i}": f(x).over(w) for k, f in made.items()}
+    rows = df.withColumn("__at", micros(keys.time))
+    rows = rows.withColumn("__slice", F.col("__at") - F.pmod(F.col("__at"), F.lit(span)))
+    begin = Window.partitionBy(keys.entity, "__slice").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    data = rows.select(keys.entity, "__slice", F.col("__at").alias("__from"), *[F.col(c).alias(f"__x{i}") for i, c in names])
+    asked = rows.withColumns({k: c for i, x in names for k, c in running(x, i, "a", begin).items()})
+    asked = asked.withColumns({"__slice": F.col("__slice") - span, "__from": F.col("__at") - span + 1, "__asks": F.lit(True)})
+    end = Window.partitionBy(keys.entity, "__slice").orderBy(F.col("__from").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(data, allowMissingColumns=True)
+    both = both.withColumns({k: c for i, _ in names for k, c in running(f"__x{i}", i, "b", end).items()}).filter("__asks")
+    scores = {}
+    for i, c in names:
+        get = lambda k, i=i: (F.col(f"__{k}a{i}"), F.when(F.col("__at").isNotNull(), F.col(f"__{k}b{i}")))
+        (n1, n2), (m1, m2), (v1, v2), low, high = get("n"), get("mean"), get("var"), F.least(*get("low")), F.greatest(*get("high"))
+        n2 = F.coalesce(n2, F.lit(0))
+        n, none = n1 + n2, F.lit(0.0)
+        mean = F.try_divide(F.coalesce(m1 * n1, none) + F.coalesce(m2 * n2, none), n)
+        apart = F.coalesce(F.try_divide((m2 - m1) * (m2 - m1) * n1 * n2, n), none)
+        spread = F.sqrt(F.try_divide(F.coalesce(v1 * n1, none) + F.coalesce(v2 * n2, none) + apart, n - 1))
+        scores[f"{c}_zscore"] = F.when((low != high) | F.isnan(high), F.try_divide(F.col(c) - mean, nonzero(spread)))
+    return both.select(*[c for c in df.columns if c not in scores], *[x.alias(c) for c, x in scores.items()])
 
 
 def carried(df: DataFrame, columns: list[str], keys: Keys = KEYS) -> DataFrame:
