@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelforge.sources.scratch import written
@@ -54,26 +57,71 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame
     return g.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"w{i}") for i in range(len(shares))]).alias("edges"))
 
 
-#: Bits of a rank that one level of ``sliding_below`` tells apart.
-LEVEL_BITS = 4
+#: Bits of a block's number that one level of ``_below_by_digits`` tells apart, and of a rank within a block.
+LEVEL_BITS, BLOCK_BITS = 4, 18
+
+
+def _within(by: Sequence[str], at: str, span: int):
+    """Worker: ``below`` and ``held`` of the points of one block, by the bits of their ranks: at each bit, points with a 0 go
+    before those with a 1, and a window stays a stretch of them."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by(at)
+        time, weight = (block.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in (at, "c"))
+        rank = np.unique(block.column("__r").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        low, high = np.searchsorted(time, time - span, "left"), np.searchsorted(time, time, "right")
+        total = np.concatenate([[0], np.cumsum(weight)])
+        held, below, now = total[high] - total[low], np.zeros(len(time), np.int64), rank
+        for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+            one = (now >> bit & 1).astype(bool)
+            zeros = np.concatenate([[0], np.cumsum(~one)])
+            total = np.concatenate([[0], np.cumsum(np.where(one, 0, weight))])
+            up = (rank >> bit & 1).astype(bool)
+            below += np.where(up, total[high] - total[low], 0)
+            low, high = (np.where(up, zeros[-1] + x - zeros[x], zeros[x]) for x in (low, high))
+            order = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+            now, weight = now[order], weight[order]
+        out = block.drop_columns(["c", "__r"])
+        return out.append_column("below", pa.array(below)).append_column("held", pa.array(held))
+
+    return run
 
 
 def sliding_below(rows: DataFrame, value: str, by: Sequence[str], at: str, span: int, width: int) -> DataFrame:
     """(by, at, value, below, held) for every distinct (by, at, value): how many rows of the group with ``at`` in [at - span, at]
     have a smaller value, and how many have a value at all. ``at`` is a long; rows with a null in any of these count nowhere.
 
-    No list of a window's values is ever held. A value's rank in its group is read as digits; a smaller one has, at the
-    first digit where they differ, a smaller digit under the same prefix. So each level needs running counts by digit
-    under a prefix, at the window's two ends: two rows for each point and digit. Runs are cut into slices of ``width``
-    of ``at``, each begun with the totals of the slices before, so that a task holds a slice of a group and no group."""
-    group, digits = [F.col(c) for c in by], 1 << LEVEL_BITS
+    A group's values are cut by rank into blocks of some 2 ^ BLOCK_BITS rows, a value with more rows being a block of its
+    own. Smaller values of a point's block are counted in a task that holds the block, those of smaller blocks by counts of
+    (by, at, block), see ``_below_by_digits``. No list of a window's values is ever held."""
     points = rows.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*by, at, value))).groupBy(*by, at, value).agg(F.count(F.lit(1)).alias("c"))
     ranked = with_below(points.groupBy(*by, value).agg(F.sum("c").alias("c")), value, by)
-    points = written(points.join(ranked.select(*by, value, F.col("below").alias("__r")), [*by, value]))
-    top = points.agg(F.max("__r").alias("top")).first()["top"] or 0
-    levels = max(1, -(-int(top).bit_length() // LEVEL_BITS))
-    prefix = lambda k: F.shiftright("__r", LEVEL_BITS * (k + 1))
-    digit = lambda k: F.shiftright("__r", LEVEL_BITS * k).bitwiseAND(digits - 1)
+    alone = (F.col("c") >= 1 << BLOCK_BITS).cast("int")  # what follows such a value begins in a later block
+    ranked = ranked.select(*by, value, F.col("below").alias("__r"), (F.shiftright("below", BLOCK_BITS) * 2 + alone).alias("__block"))
+    points = written(points.join(ranked, [*by, value]).select(*by, at, value, "__r", "__block", "c"))
+    kinds = T.StructType([f for f in points.schema.fields if f.name not in ("c", "__r")]).add("below", "long").add("held", "long")
+    own = points.filter(F.col("__block") % 2 == 0).groupBy(*by, "__block").applyInArrow(_within(by, at, span), kinds)
+    top = points.agg(F.max("__block").alias("top")).first()["top"] or 0
+    if not top:
+        return own.drop("__block")
+    alone = points.filter(F.col("__block") % 2 == 1).select(*by, at, value, "__block", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("held"))
+    counts = points.groupBy(*by, at, "__block").agg(F.sum("c").alias("c"))
+    lower = _below_by_digits(counts, "__block", int(top), by, at, span, width).withColumnsRenamed({"below": "__lower", "held": "__held"})
+    out = own.unionByName(alone).join(lower, [*by, at, "__block"])
+    return out.select(*by, at, value, (F.col("below") + F.col("__lower")).alias("below"), F.col("__held").alias("held"))
+
+
+def _below_by_digits(points: DataFrame, value: str, top: int, by: Sequence[str], at: str, span: int, width: int) -> DataFrame:
+    """What ``sliding_below`` gives, for points (by, at, value, c) with whole values from 0 to ``top``.
+
+    A value is read as digits; a smaller one has, at the first digit where they differ, a smaller digit under the same
+    prefix. So each level needs running counts by digit under a prefix, at the window's two ends: two rows for each point
+    and digit. Runs are cut into slices of ``width`` of ``at``, each begun with the totals of the slices before, so
+    that a task holds a slice of a group and no group."""
+    group, digits = [F.col(c) for c in by], 1 << LEVEL_BITS
+    levels = max(1, -(-top.bit_length() // LEVEL_BITS))
+    prefix = lambda k: F.shiftright(value, LEVEL_BITS * (k + 1))
+    digit = lambda k: F.shiftright(value, LEVEL_BITS * k).bitwiseAND(digits - 1)
     end = lambda k, t, c, sign: F.struct(F.lit(k).alias("__l"), prefix(k).alias("__p"), digit(k).alias("__d"), t.alias("__t"), c.alias("__c"), F.lit(sign).alias("__sign"))
     ends = [e for k in range(levels) for e in (end(k, F.col(at), F.col("c"), 1), end(k, F.col(at) - span - 1, F.lit(0).cast("long"), -1))]
     events = points.select(*by, at, value, F.explode(F.array(*ends)).alias("__e")).select(*by, at, value, "__e.*").withColumn("__slice", F.floor(F.col("__t") / width))
