@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,24 +38,48 @@ def closing_event(events: DataFrame, time: str, after: str) -> DataFrame:
     return last.select(*[F.col("__t").cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields])
 
 
-def streaming_average(events: DataFrame, entity: str, time: str, value: str, alpha: float, tie: str | None = None) -> DataFrame:
-    """(entity, time, value, average): an exponentially weighted average by entity whose last value is kept as state.
-    Rows of a batch are taken in order of time, equal times in order of ``tie``."""
-    kind = events.schema[entity].dataType.simpleString()
-    schema = f"{entity} {kind}, {time} timestamp, {value} double, average double"
+#: Rows of a frame that ``streaming_average`` gives out.
+FRAME = 100_000
+
+
+def _averaged(entity: str, time: str, value: str, alpha: float, tie: str | None):
+    """Worker: what a batch has of an entity is held as plain numbers (time, value, tie and an order, 8 bytes each) and goes
+    out in frames of bounded size."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values([time, *([tie] if tie else [])], kind="stable")
+        held: dict[str, list[np.ndarray]] = {c: [] for c in (time, value, *([tie] if tie else []))}
+        for batch in batches:
+            for c, own in held.items():
+                own.append(batch[c].to_numpy(copy=True))
+        rows = {}
+        for c in list(held):
+            rows[c] = np.concatenate(held.pop(c))
+        if tie and rows[tie].dtype == object:  # texts: their places in order, null last
+            codes = pd.factorize(rows[tie], sort=True)[0]
+            rows[tie] = np.where(codes < 0, len(codes), codes)
+        order = np.lexsort((rows.pop(tie), rows[time])) if tie else np.argsort(rows[time], kind="stable")
         average = state.get[0] if state.exists else None
-        out = []
-        for x in rows[value]:
-            if x is not None and x == x:
-                average = float(x) if average is None else alpha * float(x) + (1 - alpha) * average
-            out.append(average)
+        for a in range(0, len(order), FRAME):
+            part = order[a : a + FRAME]
+            values, out = rows[value][part].astype(np.float64), []
+            for x in values.tolist():
+                if x == x:
+                    average = x if average is None else alpha * x + (1 - alpha) * average
+                out.append(average)
+            yield pd.DataFrame({entity: [key[0]] * len(part), time: rows[time][part], value: values, "average": np.array(out, np.float64)})
         if average is not None:
             state.update((average,))
-        yield rows[[entity, time, value]].assign(average=out)
 
+    return run
+
+
+def streaming_average(events: DataFrame, entity: str, time: str, value: str, alpha: float, tie: str | None = None) -> DataFrame:
+    """(entity, time, value, average): an exponentially weighted average by entity whose last value is kept as state.
+    Rows of a batch are taken in order of time, equal times in order of ``tie``. A worker holds an entity's rows of one
+    batch: ``files_per_batch`` of ``read_events`` bounds it."""
+    kind = events.schema[entity].dataType.simpleString()
+    schema = f"{entity} {kind}, {time} timestamp, {value} double, average double"
+    run = _averaged(entity, time, value, alpha, tie)
     return events.select(entity, F.col(time).cast("timestamp").alias(time), F.col(value).cast("double").alias(value), *([tie] if tie else [])).groupBy(entity).applyInPandasWithState(run, schema, "average double", "append", "NoTimeout")
 
 
