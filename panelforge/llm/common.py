@@ -123,7 +123,7 @@ def mapped(df: DataFrame, run, schema, keep: str = "") -> DataFrame:
 HEAVY_KEYS = 50_000
 
 
-def joined_by_weight(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def joined_by_weight(rows: DataFrame, side: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
     """``rows`` with the one row of ``side`` that has the same ``key`` (how: inner or left); ``weight`` says how many of
     ``rows`` have that key. Both are tables that were written before.
 

@@ -10,9 +10,9 @@
    many pairs as members. Pairs whose sketches allow the similarity, with a wide
    margin, are confirmed on the full sets, worked out again from the texts.
 4. Where members of a bucket are still in different components, the members
-   outside the centre's component are compared by sketch with those whose sets
-   are of a size near enough, in blocks of bounded size inside a worker, and what
-   the sketches allow is confirmed on full sets; a block returns a spanning
+   outside the component that most of them are in are compared by sketch with those
+   whose sets are of a size near enough, in blocks of bounded size inside a worker, and
+   what the sketches allow is confirmed on full sets; a block returns a spanning
    forest, never all pairs. So no pair that shares a band and is similar enough
    is left unexamined. This step grows with (members outside) x (members of like
    size) of a bucket: fast where copies of a text agree, slow where very many
@@ -48,8 +48,8 @@ from panelforge.llm.components import components
 SAMPLES, SKETCH_BITS = 130, 512
 #: How far below the threshold a sketch's estimate may fall (more than five standard errors).
 MARGIN = 0.2
-#: Members and shingles of one side of a block, about.
-CHUNK, CHUNK_SHINGLES = 512, 1_000_000
+#: Members and shingles of one side of a block, about. A member is copied into a block for each CHUNK members that it meets.
+CHUNK, CHUNK_SHINGLES = 2048, 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -281,6 +281,50 @@ def _of_one_id(prepared: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
+def _outside(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``placed`` in buckets of several components, with their class of sizes (cls) and ``probe``: whether
+    they are outside the component that most members of the bucket are in. Only pairs with a probe can add a link."""
+    tally = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = tally.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members")).filter("members > top.m")
+    main = written(main.select("key", F.col("top.component").alias("main"), "members"))
+    # Similar sets differ in size by less than one class: a probe meets its own class and the two beside it.
+    cls = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int").alias("cls")
+    return written(joined_by_weight(placed, main, "key", "members").select("key", "rep", "n", "component", (F.col("component") != F.col("main")).alias("probe"), cls))
+
+
+def _meetings(placed: DataFrame, percent: int) -> DataFrame:
+    """A row for each (key, cls) with rows of ``placed`` to compare: their number ``o``, their slot as others of probes
+    (own) and the slots in which its probes meet others of a size near enough (targets), each with its numbers of chunks."""
+    probe_n = F.when(F.col("probe"), F.col("n"))
+    count = placed.groupBy("key", "cls").agg(
+        *(F.count(probe_n).alias("p"), F.sum(probe_n).alias("pn"), F.min(probe_n).alias("p_least"), F.max(probe_n).alias("p_most")),
+        *(F.count("n").alias("o"), F.sum("n").alias("on"), F.min("n").alias("least"), F.max("n").alias("most")),
+    )
+    count = written(count)
+    near = count.filter("p > 0").select("key", F.col("cls").alias("of"), "p", "pn", "p_least", "p_most", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])).alias("cls"))
+    near = near.join(count.select("key", "cls", "o", "on", "least", "most"), ["key", "cls"])
+    near = written(near.filter(f"100 * most >= {percent} * p_least and 100 * p_most >= {percent} * least and (cls <> of or o > 1)"))
+    chunks = lambda rows, total: F.greatest(F.ceil(F.col(rows) / CHUNK), F.ceil(F.col(total) / CHUNK_SHINGLES)).cast("int")
+    slots = near.groupBy("key", "cls").agg(F.sum("p").alias("p"), F.sum("pn").alias("pn"), F.first("o").alias("o"), F.first("on").alias("on"))
+    slots = slots.select("key", "cls", F.struct(F.xxhash64("key", "cls").alias("slot"), chunks("p", "pn").alias("rows"), chunks("o", "on").alias("columns")).alias("own"))
+    targets = near.select("key", "cls", "of").join(slots, ["key", "cls"]).groupBy("key", F.col("of").alias("cls")).agg(F.collect_list("own").alias("targets"))
+    both = count.select("key", "cls", "o").join(slots, ["key", "cls"], "left").join(targets, ["key", "cls"], "left")
+    return written(both.filter("own is not null or targets is not null"))
+
+
+#: The blocks of a row: as one of the others of its slot, and as a probe in its targets.
+_PLACES = """concat(
+    if(own is null, array(), transform(sequence(0, own.rows - 1), i -> named_struct('slot', own.slot, 'i', i, 'j', cast(pmod(h, own.columns) as int), 'probe', false))),
+    if(not probe or targets is null, array(), flatten(transform(targets, t -> transform(sequence(0, t.columns - 1), j -> named_struct('slot', t.slot, 'i', cast(pmod(h, t.rows) as int), 'j', j, 'probe', true))))))"""
+
+
+def _blocks(placed: DataFrame, meetings: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of every block (slot, i, j): a probe is in each chunk of the others of its targets, and the reverse."""
+    dealt = joined_by_weight(placed, meetings, ["key", "cls"], "o").drop("n").join(reps.select("rep", "n", "bands", "sketch"), "rep")
+    dealt = dealt.filter("array_contains(bands, key)").withColumn("h", F.xxhash64("rep")).withColumn("places", F.expr(_PLACES))
+    return dealt.drop("probe").select("*", F.inline("places")).select(*[x.split()[0] for x in BLOCK.split(", ")])
+
+
 #: Members of a bucket that share a copy of its centre's sketch and set.
 PAIRS_A_COPY = 1000
 #: Ids up to so many are broadcast to pick their texts where they lie; more are joined by shuffle.
@@ -331,36 +375,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     edges = written(edges.unionByName(_of_one_id(prepared, classes)))
     found = written(components(edges))
 
-    # What is left between components inside a bucket.
+    # What is left between components inside a bucket. Every member has met the centre, so that one stays out.
     label = found.select(F.col("node").alias("rep"), "component")
-    of_centre = found.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-    larger = members.filter("members > 2").select("key", "rep", "n", "centre")
-    of_centre = written(larger.groupBy("centre").agg(F.count(F.lit(1)).alias("weight")).join(of_centre, "centre", "left"))
-    placed = joined_by_weight(larger, of_centre, "centre", "weight").join(label, "rep", "left")
-    placed = placed.select("key", "rep", "n", "centre", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "centre").alias("main"))
-    # Similar sets differ in size by less than one class: a probe meets its own class and the two beside it.
-    cls = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
-    placed = placed.filter("rep <> centre").withColumn("probe", F.col("component") != F.col("main")).withColumn("cls", cls)
-    placed = written(placed.select("key", "rep", "n", "component", "probe", "cls"))
-    count = placed.groupBy("key", "cls").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum(F.when(F.col("probe"), F.col("n"))).alias("pn"), F.count(F.lit(1)).alias("o"), F.sum("n").alias("on"))
-    count = written(count)
-    near = count.filter("p > 0").select("key", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])).alias("cls"), "p", "pn")
-    near = near.groupBy("key", "cls").agg(F.sum("p").alias("probes"), F.sum("pn").alias("pn"))
-    chunks = lambda rows, total: F.greatest(F.ceil(F.col(rows) / CHUNK), F.ceil(F.col(total) / CHUNK_SHINGLES)).cast("int")
-    slot = F.xxhash64("key", "cls").alias("slot")
-    sizes = written(near.join(count.select("key", "cls", "o", "on"), ["key", "cls"]).select(slot, "probes", chunks("probes", "pn").alias("is"), "o", chunks("o", "on").alias("js"), (F.col("probes") + F.col("o")).alias("weight")))
-    # How often a member is in a block: a probe in each chunk of the others and the reverse.
-    probes = placed.filter("probe").withColumn("cls", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])))
-    sided = probes.unionByName(placed.withColumn("probe", F.lit(False))).select(slot, "key", "rep", "component", "probe")
-    dealt = joined_by_weight(sided, sizes, "slot", "weight").join(reps.select("rep", "n", "bands", "sketch"), "rep").filter("array_contains(bands, key)")
-    own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
-    span = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    whole_row = ("key", "rep", "component", "n", "bands", "sketch", "probe")
-    as_probe = dealt.filter("probe").select("slot", own("is").alias("i"), span("js").alias("j"), *whole_row)
-    as_other = dealt.filter("not probe").select("slot", span("is").alias("i"), own("js").alias("j"), *whole_row)
+    placed = members.filter("members > 2 and rep <> centre").select("key", "rep", "n").join(label, "rep", "left")
+    placed = _outside(written(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))), percent)
     # A block is small in bytes and large in work: it is dealt to a fixed number of tasks, not to as few as the bytes fill.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = as_probe.unionByName(as_other).select(*[x.split()[0] for x in BLOCK.split(", ")]).repartition(tasks, "slot", "i", "j")
+    blocks = _blocks(placed, _meetings(placed, percent), reps).repartition(tasks, "slot", "i", "j")
     screened = written(blocks.groupBy("slot", "i", "j").applyInPandas(_screened(percent), BLOCK))
     if not screened.isEmpty():
         sets = _set_table(texts, screened.select("rep"), shingle)
